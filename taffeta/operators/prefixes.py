@@ -29,17 +29,19 @@ def tokenise(df: DataFrame, text_col: str = "text", out: str = "tokens") -> Data
 
 
 def prefix_pairs(df: DataFrame, text_col: str = "templated", bos: str = BOS, eos: str = EOS,
-                 dedup: bool = True) -> DataFrame:
-    """G1 (+A1 when ``dedup``): all (prompt, completion) prefix splits of each text."""
-    w = df.select(F.array_join(py_split_ws(text_col), " ").alias("_norm"))
+                 dedup: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """G1 (+A1 when ``dedup``): all (prompt, completion) prefix splits of each text.
+    ``keep`` columns ride along to every pair of their text (with ``dedup`` they must be
+    functions of the text, e.g. a split label keyed on it)."""
+    w = df.select(*keep, F.array_join(py_split_ws(text_col), " ").alias("_norm"))
     if dedup:
         w = w.dropDuplicates(["_norm"])
-    w = w.select(F.split(F.col("_norm"), " ").alias("w")).where(F.size("w") > 1)
+    w = w.select(*keep, F.split(F.col("_norm"), " ").alias("w")).where(F.size("w") > 1)
     n = F.size("w")
     pairs = F.transform(_cuts(n), lambda i: F.struct(
         F.concat(F.lit(bos), F.array_join(F.slice("w", 1, i), " "), F.lit(" ")).alias("prompt"),
         F.concat(F.array_join(F.slice("w", i + 1, n - i), " "), F.lit(eos)).alias("completion")))
-    return w.select(F.inline(pairs))
+    return w.select(*keep, F.inline(pairs))
 
 
 def prefix_cuts(df: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
