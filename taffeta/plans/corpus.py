@@ -25,7 +25,7 @@ def flagship(spark, sf_dir):
     return G.prefix_pairs(recs, "templated")
 
 
-PAIRS_CTE = R + f"""
+PAIRS_BODY = f"""
 , m as (select text, {extract('text', TEMPS, 1)} tx, {extract('text', TEMPS, 2)} tn from taf_records),
 w as (select {split_ws("'TAF [' || tx || ' ' || tn || '] ' || replace(text, 'TAF ', '')")} as w
       from m where tx is not null and tn is not null),
@@ -33,6 +33,7 @@ c as (select w, unnest(range(1, len(w))) as i from w),
 pairs as (select distinct '<|bos|>' || array_to_string(w[1:i], ' ') || ' ' as prompt,
        array_to_string(w[i+1:], ' ') || '<|eos|>' as completion from c)
 """
+PAIRS_CTE = R + PAIRS_BODY
 
 query("prefix_pairs", PAIRS_CTE + "select prompt, completion from pairs")(flagship)
 
