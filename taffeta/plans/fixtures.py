@@ -7,9 +7,14 @@ TAF query grows with the events table and its oracle sees exactly the same input
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from taffeta.sources.tables import load_table
+from taffeta.session import scratch_path
+from taffeta.sources.tables import load_table, spread
+
+_MATERIALISED: dict = {}
 
 # The 18 stations of the reference corpus, in its order.
 STATIONS = ("KADW,KBLV,KDAA,KDOV,KFAF,KFFO,KFTK,KGUS,KHOP,KLFI,KMTC,KMUI,KOFF,KRDR,KWRI,"
@@ -48,12 +53,26 @@ from (select event_id as rec_id, sid, strategy,
 """.replace("__STATIONS__", STATIONS)
 
 
+def _materialised(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """Build a derived fixture once per application and input folder, written as Parquet below
+    the shared checkpoint folder; queries then read it like any stored table (so a pushed-down
+    filter reads a column instead of re-deriving the text)."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"fixture-{name}")
+        df = spark.sql(sql, events=load_table(spark, sf_dir, "events", spread_small=False))
+        spread(df).write.parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
 def taf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TAF_RECORDS_SQL, events=load_table(spark, sf_dir, "events"))
+    return _materialised(spark, sf_dir, "taf_records", TAF_RECORDS_SQL)
 
 
 def taf_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TAF_RESULTS_SQL, events=load_table(spark, sf_dir, "events"))
+    return _materialised(spark, sf_dir, "taf_results", TAF_RESULTS_SQL)
 
 
 def duckdb_cte(names=("taf_records", "taf_results")) -> str:
