@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+
 from taffeta.operators.strategies import PARAMS_TYPE, STRATEGIES
 
 CUM_TYPE = "decimal(38,15)"
@@ -27,7 +29,7 @@ def ngram_model(seqs: DataFrame, seq_col: str = "seq", n: int = 2) -> DataFrame:
     ev = F.transform(js, lambda j: F.struct(
         F.array_join(F.slice(seq_col, j - n + 1, n), " ").alias("context"),
         F.element_at(seq_col, j + 1).alias("token")))
-    counts = seqs.select(F.inline(ev)).groupBy("context", "token").agg(F.count(F.lit(1)).alias("count"))
+    counts = inline_rows(seqs, [], ev).groupBy("context", "token").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("context").agg(F.sum("count").alias("total"))
     return counts.join(totals, "context").withColumn("p", F.col("count") / F.col("total"))
 
@@ -134,6 +136,6 @@ def no_repeat_ngram(candidates: DataFrame, seqs: DataFrame, key: str, seq_col: s
     js = F.filter(F.sequence(F.lit(size - 1), F.greatest(n - 1, F.lit(size - 1))), lambda j: j < n)
     banned_arr = F.transform(F.filter(js, lambda j: F.slice(seq_col, j - size + 2, size - 1) == tail),
                              lambda j: F.element_at(seq_col, j + 1))
-    banned = seqs.select(key, F.explode(F.array_distinct(banned_arr)).alias("token"))
+    banned = explode_rows(seqs, [key], F.array_distinct(banned_arr), "token")
     kept = candidates.join(banned, [key, "token"], "left_anti")
     return _renorm(kept, [key], "count", "p")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+
 from taffeta.functions.taf import BOS, EOS
 from taffeta.functions.text import py_split_ws
 
@@ -31,24 +33,28 @@ def tokenise(df: DataFrame, text_col: str = "text", out: str = "tokens") -> Data
 def prefix_pairs(df: DataFrame, text_col: str = "templated", bos: str = BOS, eos: str = EOS,
                  dedup: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """G1 (+A1 when ``dedup``): all (prompt, completion) prefix splits of each text.
-    ``keep`` columns ride along to every pair of their text (with ``dedup`` they must be
-    functions of the text, e.g. a split label keyed on it)."""
+
+    The text is first normalised to single-space-separated tokens; pair i then cuts that string
+    after its i-th token (``substring_index`` gives the cut point), so each pair is two native
+    substring copies, with no per-pair array building. ``keep`` columns ride along to every pair
+    of their text (with ``dedup`` they must be functions of the text, e.g. a split keyed on it).
+    """
     w = df.select(*keep, F.array_join(py_split_ws(text_col), " ").alias("_norm"))
     if dedup:
         w = w.dropDuplicates(["_norm"])
-    w = w.select(*keep, F.split(F.col("_norm"), " ").alias("w")).where(F.size("w") > 1)
-    n = F.size("w")
-    pairs = F.transform(_cuts(n), lambda i: F.struct(
-        F.concat(F.lit(bos), F.array_join(F.slice("w", 1, i), " "), F.lit(" ")).alias("prompt"),
-        F.concat(F.array_join(F.slice("w", i + 1, n - i), " "), F.lit(eos)).alias("completion")))
-    return w.select(*keep, F.inline(pairs))
+    w = w.withColumn("_n", F.size(F.split(F.col("_norm"), " "))).where(F.col("_n") > 1)
+    x = explode_rows(w, [*keep, "_norm"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    cut = F.expr("length(substring_index(_norm, ' ', _i))")
+    return x.select(*keep,
+                    F.concat(F.lit(bos), F.substring(F.col("_norm"), F.lit(1), cut), F.lit(" ")).alias("prompt"),
+                    F.concat(F.substring(F.col("_norm"), cut + 2, F.lit(1 << 30)), F.lit(eos)).alias("completion"))
 
 
 def prefix_cuts(df: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
     """Compact G1: (key, cut, n_tokens) per pair; texts are rebuilt from the token array only
     where needed. Linear in the corpus, whereas materialised pairs are quadratic per record."""
     d = df.select(key_col, F.size(py_split_ws(text_col)).alias("n_tokens"))
-    return d.select(key_col, "n_tokens", F.explode(_cuts(F.col("n_tokens"))).alias("cut"))
+    return explode_rows(d, [key_col, "n_tokens"], _cuts(F.col("n_tokens")), "cut")
 
 
 def dedup_pairs(df: DataFrame, cols=("prompt", "completion")) -> DataFrame:

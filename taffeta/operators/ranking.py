@@ -2,8 +2,9 @@
 
 ``orderBy`` range-partitions and sorts; partition i then holds only keys below those of i+1.
 Each row's rank is (rows in earlier partitions) + (position within its partition). The sorted
-frame is checkpointed to the shared checkpoint folder so the per-partition counts and the rows
-come from the same materialisation; the offsets table has one row per partition and is
+frame, with its partition id and in-partition position, is written once as a table below the
+shared checkpoint folder (one computation, lineage cut), so the per-partition counts and the
+rows come from the same materialisation; the offsets table has one row per partition and is
 broadcast (its size is the partition count, not the data size).
 """
 
@@ -12,13 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taffeta.session import scratch_path
+
 
 def global_rank(df: DataFrame, order_cols, out: str = "rank") -> DataFrame:
     """1-based rank of every row in the given total order (ties keep an arbitrary order)."""
-    s = (df.orderBy(*order_cols)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .checkpoint(eager=True))
+    spark = df.sparkSession
+    path = scratch_path(spark, "rank")
+    (df.orderBy(*order_cols)
+       .withColumn("_pid", F.spark_partition_id())
+       .withColumn("_mid", F.monotonically_increasing_id())
+       .write.parquet(path))
+    s = spark.read.parquet(path)
     parts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+
 from taffeta.functions.taf import RECORD_SPLIT
 from taffeta.functions.text import py_strip
 
@@ -16,5 +18,5 @@ def segment_records(df: DataFrame, text_col: str = "value", pattern: str = RECOR
     Like Python's ``re.split`` a trailing delimiter leaves an empty last piece; callers that
     template records drop it together with other records lacking metadata.
     """
-    return (df.select(*keep, F.posexplode(F.split(F.col(text_col), pattern, -1)).alias("pos", "raw"))
-              .select(*keep, "pos", py_strip("raw").alias("text")))
+    pieces = posexplode_rows(df, keep, F.split(F.col(text_col), pattern, -1), "pos", "raw")
+    return pieces.select(*keep, "pos", py_strip("raw").alias("text"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
 from pyspark.sql import types as T
 
 from taffeta.functions.taf import BOS, EOS, PAD
@@ -43,7 +45,7 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", reserved=RESERVED)
 
 
 def explode_tokens(df: DataFrame, key_cols, tokens_col: str = "tokens") -> DataFrame:
-    return df.select(*key_cols, F.posexplode(tokens_col).alias("pos", "token"))
+    return posexplode_rows(df, key_cols, F.col(tokens_col), "pos", "token")
 
 
 def encode(df: DataFrame, key_cols, vocab: DataFrame, tokens_col: str = "tokens",
@@ -59,7 +61,7 @@ def encode(df: DataFrame, key_cols, vocab: DataFrame, tokens_col: str = "tokens"
 def decode(df: DataFrame, key_cols, vocab: DataFrame, ids_col: str = "ids", out: str = "text",
            skip=RESERVED[:3]) -> DataFrame:
     """K8: ids -> text, special tokens skipped, words joined by a space."""
-    ex = df.select(*key_cols, F.posexplode(ids_col).alias("pos", "id"))
+    ex = posexplode_rows(df, key_cols, F.col(ids_col), "pos", "id")
     j = ex.join(vocab.select("token", "id"), "id", "left").where(~F.col("token").isin(list(skip)))
     g = j.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
     return g.select(*key_cols, F.array_join(F.transform("_p", lambda x: x["token"]), " ").alias(out))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+
 from taffeta.functions import taf
 from taffeta.operators import metadata as M
 from taffeta.operators import prefixes as G
@@ -134,7 +136,7 @@ from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from t)
 """)
 def q_tokenise(spark, sf_dir):
     d = G.tokenise(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return posexplode_rows(d, ["doc_id"], F.col("tokens"), "pos", "token")
 
 
 def _wind_sql(x):
@@ -184,8 +186,8 @@ from (select *, unnest(range(1, len(lines) + 1)) as pos from l)
 """.replace(RS, RS, 1).replace("with l as", ", l as", 1))
 def q_split_change_groups(spark, sf_dir):
     d = taf_results(spark, sf_dir)
-    return d.select("rec_id", "strategy",
-                    F.posexplode(taf.change_groups(F.concat("prompt", "completion"))).alias("pos", "line"))
+    return posexplode_rows(d, ["rec_id", "strategy"], taf.change_groups(F.concat("prompt", "completion")),
+                           "pos", "line")
 
 
 @query("dedup_pairs", """

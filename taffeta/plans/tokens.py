@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+
 from taffeta.functions import taf
 from taffeta.functions.text import py_split_ws
 from taffeta.operators import metadata as M
@@ -42,7 +44,7 @@ def doc_tokens(spark, sf_dir):
 
 
 def doc_vocab(spark, sf_dir):
-    return K.build_vocab(doc_tokens(spark, sf_dir).select(F.explode("tokens").alias("token")))
+    return K.build_vocab(explode_rows(doc_tokens(spark, sf_dir), [], F.col("tokens"), "token"))
 
 
 def doc_ids(spark, sf_dir):
@@ -105,7 +107,7 @@ def taf_pair_ids(spark, sf_dir):
     recs = M.template_records(taf_records(spark, sf_dir))
     norm = (recs.select(F.array_join(py_split_ws("templated"), " ").alias("norm"))
                 .dropDuplicates(["norm"]).withColumn("w", F.split("norm", " ")).where(F.size("w") > 1))
-    vocab = K.build_vocab(norm.select(F.explode("w").alias("token")))
+    vocab = K.build_vocab(explode_rows(norm, [], F.col("w"), "token"))
     seq = norm.select("norm", F.concat(F.array(F.lit(taf.BOS)), "w", F.array(F.lit(taf.EOS))).alias("tokens"))
     enc = K.encode(seq, ["norm"], vocab, "tokens", "ids")
     w = F.split(F.col("norm"), " ")
@@ -116,7 +118,7 @@ def taf_pair_ids(spark, sf_dir):
         F.concat(F.array_join(F.slice(w, i + 1, n - i), " "), F.lit(taf.EOS)).alias("completion"),
         F.slice("ids", 1, i + 1).alias("prompt_ids"),
         F.slice("ids", i + 2, n - i + 1).alias("completion_ids")))
-    return enc.select(F.inline(rows))
+    return inline_rows(enc, [], rows)
 
 
 def taf_batches(spark, sf_dir):
