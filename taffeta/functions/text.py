@@ -34,15 +34,22 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_PY_WS_CHARS = "".join(PY_WHITESPACE)
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(col_of(c), f"^{PY_WS}+|{PY_WS}+$", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode whitespace (``btrim`` with the
+    whitespace set: no regex)."""
+    return F.btrim(col_of(c), F.lit(_PY_WS_CHARS))
 
 
 def py_split_ws(c) -> Column:
-    """Python ``str.split()``: split on runs of whitespace, no empty tokens, ``''`` -> ``[]``."""
+    """Python ``str.split()``: split on runs of whitespace, no empty tokens, ``''`` -> ``[]``.
+    Runs are first collapsed to one space by a cached regex, then the split is on a literal
+    space (Java's single-character fast path, no per-row pattern compile)."""
     s = py_strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{PY_WS}+"))
+    one = F.regexp_replace(s, f"{PY_WS}+", " ")
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(one, " "))
 
 
 def tokens_of(c, specials=()) -> Column:
