@@ -88,19 +88,21 @@ def histogram(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
     """Numpy-style equal-width histogram per group with density.
 
     Range = the group's [min, max], widened by +-0.5 when min == max; the last bin is closed
-    on the right. Every bin is emitted, empty ones with count 0. Group statistics are one small
-    aggregate joined back on the group key (AQE broadcasts it when it is small).
+    on the right. Every bin is emitted, empty ones with count 0. The rows are first reduced to
+    (group, value, count), a partial-aggregated group-by whose size is the number of distinct
+    values, so the group ranges, bin assignment and bin counts all run on that small table.
     """
-    d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    stats = d.groupBy(group).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"),
-                                 F.count(value).alias("n"))
+    d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    vc = d.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    stats = vc.groupBy(group).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"),
+                                  F.sum("_c").alias("n"))
     lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
     hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     stats = stats.select(group, "n", lo.alias("lo"), hi.alias("hi"))
     b = F.floor((F.col(value) - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo")))
-    counts = (d.join(stats, group)
-               .select(group, F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
-               .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count")))
+    counts = (vc.join(stats, group)
+                .select(group, F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"), "_c")
+                .groupBy(group, "bin").agg(F.sum("_c").alias("count")))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     every = stats.select(group, "n", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = every.join(counts, [group, "bin"], "left").fillna(0, ["count"])

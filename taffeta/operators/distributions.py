@@ -30,13 +30,16 @@ def ngram_model(seqs: DataFrame, seq_col: str = "seq", n: int = 2) -> DataFrame:
         F.array_join(F.slice(seq_col, j - n + 1, n), " ").alias("context"),
         F.element_at(seq_col, j + 1).alias("token")))
     counts = inline_rows(seqs, [], ev).groupBy("context", "token").agg(F.count(F.lit(1)).alias("count"))
-    totals = counts.groupBy("context").agg(F.sum("count").alias("total"))
-    return counts.join(totals, "context").withColumn("p", F.col("count") / F.col("total"))
+    # totals over the aggregated (context, token) table: one exchange by context, and the
+    # upstream (templating, de-dup, counting) is computed once rather than again for a join
+    total = F.sum("count").over(Window.partitionBy("context"))
+    return counts.withColumn("total", total).withColumn("p", F.col("count") / F.col("total"))
 
 
 def _renorm(d: DataFrame, keys, value: str, out: str) -> DataFrame:
-    z = d.groupBy(*keys).agg(F.sum(value).alias("_z"))
-    return d.join(z, list(keys)).withColumn(out, F.col(value) / F.col("_z")).drop("_z")
+    """Divide by the per-key sum; rows here are distinct (key, token) pairs, bounded per key by
+    the vocabulary."""
+    return d.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)))
 
 
 def apply_temperature(model: DataFrame, temperature: float, keys=("context",)) -> DataFrame:
@@ -111,8 +114,9 @@ def shape_by_strategy(model: DataFrame, keys=("context",)) -> DataFrame:
                                F.lit(v["top_p"]).cast("double").alias("top_p"))
                       for n, v in sampling_strategies()])
     d = model.select(*keys, "token", "count", "p", F.inline(strat))
-    part = Window.partitionBy("strategy", *keys)
-    ordered = part.orderBy(F.col("count").desc(), F.col("token"))
+    ordered = Window.partitionBy("strategy", *keys).orderBy(F.col("count").desc(), F.col("token"))
+    # full-partition frame on the same ordering: every window shares one exchange and one sort
+    part = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     q = F.pow(F.col("p"), 1.0 / F.coalesce(F.col("temperature"), F.lit(1.0)))
     d = d.withColumn("q", q).withColumn("q", F.col("q") / F.sum("q").over(part))
     k = F.coalesce(F.col("top_k"), F.lit(0))
