@@ -15,7 +15,9 @@ HOUR_US = 3_600_000_000
 
 
 def _micros(ts_col: str) -> F.Column:
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+    """Microseconds since the epoch, independent of the session time zone for TIMESTAMP_NTZ
+    (a plain cast to TIMESTAMP would go through the session zone and its DST shifts)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})")
 
 
 def with_previous(df: DataFrame, key: str, ts_col: str, tie: str, cols, bucket_us: int = HOUR_US,
