@@ -71,8 +71,17 @@ def taf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialised(spark, sf_dir, "taf_records", TAF_RECORDS_SQL)
 
 
+# Spark form of the same fixture: the fixed four-way fan-out is a generator over a literal array
+# (no join); DuckDB's oracle keeps the cross join with VALUES. The oracle checks prove both equal.
+TAF_RESULTS_SPARK_SQL = TAF_RESULTS_SQL.replace(
+    "from {events} e cross join (values (0,'GREEDY'),(1,'BEAM_SEARCH'),(2,'TOP_K50'),(3,'TOP_P92')) s(sid,strategy)",
+    "from {events} e lateral view inline(array(struct(0,'GREEDY'),struct(1,'BEAM_SEARCH'),"
+    "struct(2,'TOP_K50'),struct(3,'TOP_P92'))) s as sid, strategy")
+assert TAF_RESULTS_SPARK_SQL != TAF_RESULTS_SQL
+
+
 def taf_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialised(spark, sf_dir, "taf_results", TAF_RESULTS_SQL)
+    return _materialised(spark, sf_dir, "taf_results", TAF_RESULTS_SPARK_SQL)
 
 
 def duckdb_cte(names=("taf_records", "taf_results")) -> str:
