@@ -68,10 +68,12 @@ def pivot_mean(df: DataFrame, index: str = "icao", columns: str = "strategy",
 def normalise_by_max(df: DataFrame, value: str = "delta", below: float = 20.0,
                      out: str = "normalized") -> DataFrame:
     """W1 (+P5 P6): null out values >= ``below``, drop nulls, divide by the global max.
-    The max is an uncorrelated scalar subquery: partial max per partition, one value back."""
+    The max is one small job (partial max per partition, a single number back) used as a
+    literal, so the plans built on the result carry no subquery and identical branches reuse
+    their exchanges instead of recomputing the input."""
     d = df.where(F.col(value) < below)
-    mx = d.select(F.max(value)).scalar()
-    return d.withColumn(out, F.col(value) / mx)
+    mx = d.agg(F.max(value)).first()[0]
+    return d.withColumn(out, F.col(value) / F.lit(mx).cast("double"))
 
 
 def normalise_pivot(df: DataFrame, index: str = "icao", columns: str = "strategy",

@@ -57,3 +57,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialise(df, name: str):
+    """Write a frame once below the shared checkpoint folder and read it back: cuts lineage
+    (survives executor loss) and lets several branches of a plan, and pushed-down filters,
+    read stored columns instead of re-deriving them."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
