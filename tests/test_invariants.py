@@ -92,3 +92,40 @@ def test_save_if_absent_keeps_first(spark):
     store.save_if_absent(spark.range(5), path)
     store.save_if_absent(spark.range(100), path)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_debounce_hot_user_matches_brute_force(spark):
+    """One user holds a third of all events, spread over many hour buckets; the bucketed
+    operator must equal a direct per-user scan."""
+    import datetime as dt
+    import random
+
+    from taffeta.operators.sessions import debounce
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for user, n in ((1, 3000), (2, 3000), (3, 3000)):
+        t = base
+        for _ in range(n if user != 1 else 4500):
+            t = t + dt.timedelta(seconds=rnd.choice([1, 2, 5, 30, 200, 900, 2000, 4000]))
+            rows.append((eid, t, user, float(eid % 97)))
+            eid += 1
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+    gap_ms = 600_000
+    got = {(r.user_id, r.session_start, r.n_events, r.last_value) for r in debounce(df, gap_ms=gap_ms).collect()}
+    expected = set()
+    by_user = {}
+    for e, t, u, v in rows:
+        by_user.setdefault(u, []).append((t, e, v))
+    for u, evs in by_user.items():
+        evs.sort()
+        start, n, last, prev = None, 0, None, None
+        for t, e, v in evs:
+            if prev is not None and (t - prev) >= dt.timedelta(milliseconds=gap_ms):
+                expected.add((u, start, n, last))
+                start, n = None, 0
+            if start is None:
+                start = t
+            n, last, prev = n + 1, v, t
+        expected.add((u, start, n, last))
+    assert got == expected

@@ -9,7 +9,8 @@ from tools.check_oracle import TABLES, rows_of
 NAMES = ["prefix_pairs", "segment_records", "split_taf_tokens", "split_change_groups", "describe_delta",
          "delta_pivot", "hist_strategy", "score_validate", "resolve_strategy", "train_test_split",
          "build_vocab", "encode_pair", "shape_by_strategy", "sample_next", "debounce_events_30m",
-         "changed_prefix", "stream_debounce", "records_scan", "scan_raw_lines"]
+         "changed_prefix", "stream_debounce", "records_scan", "scan_raw_lines", "stream_prefix_pairs",
+         "no_repeat_ngram", "cap_per_station", "score_report"]
 
 
 @pytest.fixture(scope="module")
