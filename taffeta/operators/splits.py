@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taffeta.session import materialise
+
 DIGIT_BITS = 12
 FETCH_LIMIT = 50_000
 
@@ -58,7 +59,9 @@ def train_test_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: str
     if mode == "hash":
         u = F.conv(F.substring("_h", 1, 7), 16, 10).cast("bigint") / float(16 ** 7)
         return d.withColumn("split", F.when(u < test_size, "test").otherwise("train")).drop("_h")
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    # one durable materialisation below the checkpoint folder: the counting and radix passes and
+    # the final labelling all read it (no recomputation, survives executor loss, no cache pinned)
+    d = materialise(d, "split-input")
     n = d.count()
     k = math.ceil(test_size * n)
     t = kth_smallest_hash(d, "_h", k)

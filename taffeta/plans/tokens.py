@@ -15,6 +15,7 @@ from taffeta.plans.corpus import PAIRS_CTE
 from taffeta.plans.fixtures import taf_records
 from taffeta.plans.registry import query
 from taffeta.plans.sqlparts import split_ws
+from taffeta.session import materialise
 from taffeta.sources.tables import load_table
 
 N_RES = len(K.RESERVED)
@@ -107,18 +108,18 @@ def taf_pair_ids(spark, sf_dir):
     recs = M.template_records(taf_records(spark, sf_dir))
     norm = (recs.select(F.array_join(py_split_ws("templated"), " ").alias("norm"))
                 .dropDuplicates(["norm"]).withColumn("w", F.split("norm", " ")).where(F.size("w") > 1))
+    norm = materialise(norm, "taf-norm")  # read by the vocabulary and by the encoding
     vocab = K.build_vocab(explode_rows(norm, [], F.col("w"), "token"))
     seq = norm.select("norm", F.concat(F.array(F.lit(taf.BOS)), "w", F.array(F.lit(taf.EOS))).alias("tokens"))
     enc = K.encode(seq, ["norm"], vocab, "tokens", "ids")
-    w = F.split(F.col("norm"), " ")
-    n = F.size(w)
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i < n)
-    rows = F.transform(cuts, lambda i: F.struct(
-        F.concat(F.lit(taf.BOS), F.array_join(F.slice(w, 1, i), " "), F.lit(" ")).alias("prompt"),
-        F.concat(F.array_join(F.slice(w, i + 1, n - i), " "), F.lit(taf.EOS)).alias("completion"),
-        F.slice("ids", 1, i + 1).alias("prompt_ids"),
-        F.slice("ids", i + 2, n - i + 1).alias("completion_ids")))
-    return inline_rows(enc, [], rows)
+    enc = enc.withColumn("_n", F.size("ids") - 2)  # tokens without BOS/EOS
+    x = explode_rows(enc, ["norm", "ids", "_n"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    cut = F.expr("length(substring_index(norm, ' ', _i))")
+    return x.select(
+        F.concat(F.lit(taf.BOS), F.substring("norm", F.lit(1), cut), F.lit(" ")).alias("prompt"),
+        F.concat(F.substring("norm", cut + 2, F.lit(1 << 30)), F.lit(taf.EOS)).alias("completion"),
+        F.slice("ids", F.lit(1), F.col("_i") + 1).alias("prompt_ids"),
+        F.slice("ids", F.col("_i") + 2, F.col("_n") - F.col("_i") + 1).alias("completion_ids"))
 
 
 def taf_batches(spark, sf_dir):
