@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+from taffeta.functions.generators import explode_rows, inline_rows
 
 from taffeta.operators.strategies import PARAMS_TYPE, STRATEGIES
 

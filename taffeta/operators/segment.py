@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+from taffeta.functions.generators import posexplode_rows
 
 from taffeta.functions.taf import RECORD_SPLIT
 from taffeta.functions.text import py_strip

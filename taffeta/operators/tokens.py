@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+from taffeta.functions.generators import posexplode_rows
 from pyspark.sql import types as T
 
 from taffeta.functions.taf import BOS, EOS, PAD

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taffeta.functions.generators import explode_rows, inline_rows, posexplode_rows
+from taffeta.functions.generators import posexplode_rows
 
 from taffeta.functions import taf
 from taffeta.operators import metadata as M
