@@ -231,8 +231,8 @@ def score_frame(spark, sf_dir, variant="validate"):
 
 @query("score_validate", SCORE + """
 select rec_id, strategy,
-  case when not scored then 0.0 when len(matches) = 1 then
-    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -1.0 end) end as score,
+  cast(case when not scored then 0.0 when len(matches) = 1 then
+    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -1.0 end) end as double) as score,
   case when scored and len(matches) = 0 then 'no_line' when scored and len(matches) > 1 then 'many_lines' end as score_error
 from sm
 """)
@@ -242,8 +242,8 @@ def q_score_validate(spark, sf_dir):
 
 @query("score_penalty", SCORE + """
 select rec_id, strategy,
-  case when not scored then 0.0 when len(matches) >= 1 then
-    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -5.0 end) end as score,
+  cast(case when not scored then 0.0 when len(matches) >= 1 then
+    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -5.0 end) end as double) as score,
   case when scored and len(matches) = 0 then 'no_line' end as score_error
 from sm
 """)
@@ -253,8 +253,8 @@ def q_score_penalty(spark, sf_dir):
 
 @query("score_report", SCORE + """
 select strategy, rec_id, prompt as prompt_text, lines as generated_text,
-  case when not scored then 0.0 when len(matches) = 1 then
-    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -1.0 end) end as score
+  cast(case when not scored then 0.0 when len(matches) = 1 then
+    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -1.0 end) end as double) as score
 from sm order by score nulls first, strategy, rec_id
 """)
 def q_score_report(spark, sf_dir):
@@ -264,8 +264,8 @@ def q_score_report(spark, sf_dir):
 
 @query("rank_scores", SCORE + """
 select strategy, rec_id,
-  case when not scored then 0.0 when len(matches) >= 1 then
-    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -5.0 end) end as score
+  cast(case when not scored then 0.0 when len(matches) >= 1 then
+    (case when contains(matches[1], 'CB') then 1.0 else -1.0 end) + (case when upper_ok then 1.0 else -5.0 end) end as double) as score
 from sm order by score nulls first, strategy, rec_id
 """)
 def q_rank_scores(spark, sf_dir):
@@ -358,11 +358,13 @@ def q_attach_results(spark, sf_dir):
     return grid.join(res, ["rec_id", "strategy"], "left")
 
 
+_OVERRIDE = {"temperature": "cast(case when t.rec_id % 3 = 0 then 0.7 end as double)",
+             "top_k": "cast(case when t.rec_id % 5 = 0 then 10 end as integer)"}
+
+
 @query("override_params", RS + f"""
 select t.rec_id, t.strategy, {', '.join(
-    f"coalesce(case when t.rec_id % 3 = 0 and '{f}' = 'temperature' then 0.7 "
-    f"when t.rec_id % 5 = 0 and '{f}' = 'top_k' then 10 end, c.{f}) as {f}"
-    if f in ("temperature", "top_k") else f"c.{f}" for f in S.PARAM_FIELDS)}
+    f"coalesce({_OVERRIDE[f]}, c.{f}) as {f}" if f in _OVERRIDE else f"c.{f}" for f in S.PARAM_FIELDS)}
 from taf_results t join {CATALOG_SQL} c on c.name = t.strategy
 """)
 def q_override_params(spark, sf_dir):

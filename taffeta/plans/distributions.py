@@ -19,7 +19,7 @@ MODEL_BODY = PAIRS_BODY + f"""
 seqs as (select ['{taf.BOS}'] || string_split(norm, ' ') || ['{taf.EOS}'] as s from norms),
 ng as (select array_to_string(s[j-1:j], ' ') as context, s[j+1] as token
        from (select s, unnest(range(2, len(s))) as j from seqs)),
-model as (select context, token, count(*) as count, sum(count(*)) over (partition by context) as total,
+model as (select context, token, count(*) as count, cast(sum(count(*)) over (partition by context) as bigint) as total,
           count(*) / sum(count(*)) over (partition by context) as p from ng group by context, token),
 ordered as (select *, row_number() over (partition by context order by count desc, token) as r,
        coalesce(sum(count) over (partition by context order by count desc, token

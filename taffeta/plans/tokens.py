@@ -62,7 +62,7 @@ def q_encode_tokens(spark, sf_dir):
     return doc_ids(spark, sf_dir)
 
 
-@query("truncate_ids", DOCS + "select doc_id, len(ids) as n_ids, ids[1:256] as ids from enc")
+@query("truncate_ids", DOCS + "select doc_id, cast(len(ids) as integer) as n_ids, ids[1:256] as ids from enc")
 def q_truncate_ids(spark, sf_dir):
     d = doc_ids(spark, sf_dir)
     return d.select("doc_id", F.size("ids").alias("n_ids"), K.truncate(F.col("ids")).alias("ids"))
@@ -162,7 +162,7 @@ def q_pad_multiple(spark, sf_dir):
 
 
 @query("attention_mask", PAIR_ENC + f"""
-select prompt, completion, list_transform(prompt_ids, lambda x: 1) as attention_mask, len(prompt_ids) as n_real from enc
+select prompt, completion, list_transform(prompt_ids, lambda x: 1) as attention_mask, cast(len(prompt_ids) as integer) as n_real from enc
 """)
 def q_attention_mask(spark, sf_dir):
     d = taf_pair_ids(spark, sf_dir)
