@@ -113,8 +113,12 @@ def shape_by_strategy(model: DataFrame, keys=("context",)) -> DataFrame:
                                F.lit(v["top_k"]).cast("int").alias("top_k"),
                                F.lit(v["top_p"]).cast("double").alias("top_p"))
                       for n, v in sampling_strategies()])
-    d = model.select(*keys, "token", "count", "p", F.inline(strat))
-    ordered = Window.partitionBy("strategy", *keys).orderBy(F.col("count").desc(), F.col("token"))
+    # likelihood order is the same for every strategy: rank once per context on the model,
+    # then the fanned-out windows sort on that one integer
+    m = model.withColumn("_rk", F.row_number().over(
+        Window.partitionBy(*keys).orderBy(F.col("count").desc(), F.col("token"))))
+    d = m.select(*keys, "token", "count", "p", "_rk", F.inline(strat))
+    ordered = Window.partitionBy("strategy", *keys).orderBy("_rk")
     # full-partition frame on the same ordering: every window shares one exchange and one sort
     part = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     q = F.pow(F.col("p"), 1.0 / F.coalesce(F.col("temperature"), F.lit(1.0)))
