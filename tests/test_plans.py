@@ -37,3 +37,13 @@ def test_dedup_shuffles_records_not_pairs(spark, sf_small):
     p = catalog.QUERIES["prefix_pairs"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     # exactly one hash exchange (records), the Generate of pairs runs after it
     assert p.count("Exchange hashpartitioning") == 1
+
+
+def test_no_query_plans_a_cross_join(spark, sf_small):
+    import __spark_entry__ as E
+    offenders = []
+    for name, q in E.queries().items():
+        p = q(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in p or "NestedLoopJoin" in p:
+            offenders.append(name)
+    assert offenders == []
