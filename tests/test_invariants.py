@@ -129,3 +129,19 @@ def test_debounce_hot_user_matches_brute_force(spark):
             n, last, prev = n + 1, v, t
         expected.add((u, start, n, last))
     assert got == expected
+
+
+def test_cap_per_station_hot_station_matches_brute_force(spark):
+    """A third of all rows on one station: the salted two-stage top-k equals a direct sort."""
+    import hashlib
+
+    from taffeta.operators.metadata import cap_per_station
+    rows = [(i, "KHOT" if i % 3 == 0 else f"K{i % 7:03d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "rec_id long, icao string")
+    stations = ["KHOT", "K001", "K002"]
+    got = {(r.rec_id, r.icao) for r in cap_per_station(df, stations, cap=100).collect()}
+    expected = set()
+    for s in stations:
+        keys = sorted((hashlib.md5(f"taffeta{i}".encode()).hexdigest(), i) for i, st in rows if st == s)
+        expected |= {(i, s) for _, i in keys[:100]}
+    assert got == expected
