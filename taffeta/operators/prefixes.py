@@ -42,8 +42,11 @@ def prefix_pairs(df: DataFrame, text_col: str = "templated", bos: str = BOS, eos
     w = df.select(*keep, F.array_join(py_split_ws(text_col), " ").alias("_norm"))
     if dedup:
         w = w.dropDuplicates(["_norm"])
-    w = w.withColumn("_n", F.size(F.split(F.col("_norm"), " "))).where(F.col("_n") > 1)
-    x = explode_rows(w, [*keep, "_norm"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    # no filter on the token count: it would depend on the group key only and be pushed below
+    # the de-dup to the scan, re-running the whole text derivation; the guarded cut sequence
+    # already yields nothing for a one-token text
+    w = w.withColumn("_n", F.size(F.split(F.col("_norm"), " ")))
+    x = explode_rows(w, [*keep, "_norm"], _cuts(F.col("_n")), "_i")
     cut = F.expr("length(substring_index(_norm, ' ', _i))")
     return x.select(*keep,
                     F.concat(F.lit(bos), F.substring(F.col("_norm"), F.lit(1), cut), F.lit(" ")).alias("prompt"),
