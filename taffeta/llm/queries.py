@@ -36,3 +36,22 @@ def op10(spark, sf_dir):
     from taffeta.llm.bpe import digests, encode
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).drop("text"))
+
+
+@query("op6_secrets")
+def op6(spark, sf_dir):
+    from taffeta.llm.secrets import scan, summary
+    return summary(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+@query("op8_licenses")
+def op8(spark, sf_dir):
+    from taffeta.llm.licenses import scan, summary
+    return summary(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+@query("op9_mixing")
+def op9(spark, sf_dir):
+    from taffeta.llm.mixing import copies, narrow
+    out = copies(narrow(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
