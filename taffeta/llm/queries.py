@@ -55,3 +55,9 @@ def op9(spark, sf_dir):
     from taffeta.llm.mixing import copies, narrow
     out = copies(narrow(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query("op4_minhash")
+def op4(spark, sf_dir):
+    from taffeta.llm.minhash import near_duplicates
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), words=2).drop("rid")
