@@ -61,3 +61,9 @@ def op9(spark, sf_dir):
 def op4(spark, sf_dir):
     from taffeta.llm.minhash import near_duplicates
     return near_duplicates(spark, table(spark, sf_dir, "documents"), words=2).drop("rid")
+
+
+@query("op7_line_dedup")
+def op7(spark, sf_dir):
+    from taffeta.llm.lines import dedup_lines
+    return dedup_lines(spark, table(spark, sf_dir, "documents"))
