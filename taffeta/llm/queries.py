@@ -67,3 +67,14 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     from taffeta.llm.lines import dedup_lines
     return dedup_lines(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    from taffeta.llm.toxicity import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(spark, docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         (F.col("restored") != F.coalesce("text", F.lit(""))).alias("restored"))
