@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from taffeta.llm.hashing import Words, blocks, mix
+from taffeta.llm.numbering import numbered
 from taffeta.session import materialise
 
 MIN_WORDS = 50
@@ -146,19 +145,6 @@ def _merged(ranges: list) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out]
 
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """Stores the rows with a number that orders them: rid."""
-    schema = T.StructType([T.StructField("_rid", T.LongType()), *docs.schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + batch.num_rows), pa.int64()), *batch.columns], names=["_rid", *batch.schema.names])
-            rid += batch.num_rows
-
-    return materialise(docs.mapInArrow(run, schema), "lines-rows")
-
-
 def _line_rows(rows: DataFrame) -> DataFrame:
     """(rid, key, hash, words) of each distinct line of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +188,9 @@ def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``; later repeats of common blocks are deleted from the text."""
-    numbered = _numbered(docs, text)
-    rows = numbered.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
+    columns = docs.columns
+    rows_in = numbered(docs)
+    rows = rows_in.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
     lines = materialise(_line_rows(rows), "lines-hashes")
     shared = (lines.groupBy("hash").agg(F.min(F.struct("key", "rid")).alias("head"), F.count("*").alias("n"))
               .where("n > 1").select("hash", "head"))
@@ -215,8 +202,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
     found = (_overlaps(rows, pairs, min_words).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
              .select(F.col("rid").alias("_rid"), "_ranges"))
     found = materialise(found, "lines-found")
-    columns = docs.columns
-    out = numbered.join(found, "_rid", "left").select(*columns, "_ranges")
+    out = rows_in.join(found, "_rid", "left").select(*columns, "_ranges")
     at, n = columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

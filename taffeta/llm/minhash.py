@@ -26,12 +26,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taffeta.llm.components import components
 from taffeta.llm.hashing import Words, blocks, mix
+from taffeta.llm.numbering import numbered
 from taffeta.session import materialise
 
 UNIVERSE = 1 << 20
@@ -72,28 +72,22 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
 
 
-def _prepared(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """rid, doc_id, n, node, bands, text of each row. ``rid`` numbers the rows; it is stored here
-    and only read afterwards."""
+def _hashed(rows: DataFrame, words: int) -> DataFrame:
+    """rid, doc_id, n, node, bands of each row (rid, doc_id, text), stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 sets = Words(texts[a:b]).shingles(words)
                 keys = [bands(signature(s)) if len(s) else None for s in sets]
-                n = b - a
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(rid, rid + n), pa.int64()), batch.column(0).slice(a, n),
-                    pa.array([len(s) for s in sets], pa.int64()),
+                    *batch.slice(a, b - a).columns[:2], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())), batch.column(1).slice(a, n),
-                ], names=["rid", "doc_id", "n", "node", "bands", "text"])
-                rid += n
+                    pa.array(keys, pa.list_(pa.int64())),
+                ], names=["rid", "doc_id", "n", "node", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows.mapInArrow(run, "rid long, doc_id long, n long, node long, bands array<long>, text string"), "minhash-rows")
+    return materialise(rows.mapInArrow(run, "rid long, doc_id long, n long, node long, bands array<long>"), "minhash-rows")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -175,8 +169,12 @@ def _search_blocks(members: DataFrame, texts: DataFrame, words: int, percent: in
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
-    rows = _prepared(docs, text, words)
+    """rid, doc_id, n_shingles, component_id and kept of each row; ``rid`` is the number that
+    ``numbered`` gave it (rows without ``_rid`` are numbered here)."""
+    if "_rid" not in docs.columns:
+        docs = numbered(docs.select("doc_id", text))
+    whole = docs.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = _hashed(whole, words)
     nodes = materialise(rows.where("n > 0").groupBy("node").agg(
         F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"),
         F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "minhash-nodes")
@@ -198,7 +196,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", wo
     stars = found.where((F.col("members") > FEW) & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     pairs = materialise(pairs.union(stars).distinct(), "minhash-pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "rid"), "node")
-    texts = materialise(rows.select("rid", "text").join(wanted, "rid").select("node", "text"), "minhash-texts")
+    texts = materialise(whole.select("rid", "text").join(wanted, "rid").select("node", "text"), "minhash-texts")
     links = materialise(_confirm(pairs, texts, words, percent), "minhash-links")
     groups = materialise(components(links), "minhash-groups")
 
@@ -222,3 +220,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", wo
     group = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("rid", "doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(groups: DataFrame) -> DataFrame:
+    """(_rid) of one row of each group: its first one with the smallest doc_id. A row without
+    shingles is a group of its own, and so is one whose group has no doc_id at all."""
+    alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
+    first = (groups.where(~alone & F.col("kept")).groupBy("component_id").agg(F.min("rid").alias("_rid")).select("_rid"))
+    return first.union(groups.where(alone).select(F.col("rid").alias("_rid")))

@@ -78,3 +78,15 @@ def op2(spark, sf_dir):
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          (F.col("restored") != F.coalesce("text", F.lit(""))).alias("restored"))
+
+
+@query("op3_language")
+def op3(spark, sf_dir):
+    from taffeta.llm.language import identify
+    return identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op5_neighbours")
+def op5(spark, sf_dir):
+    from taffeta.llm.neighbours import search
+    return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
