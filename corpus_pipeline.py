@@ -14,17 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taffeta.llm import bpe, lines, minhash, mixing, toxicity
+from taffeta.llm.batches import small_batches
 from taffeta.llm.numbering import numbered
 from taffeta.session import materialise
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.withColumn("_text", F.col("text")), model, text="_text", out="_score", restored=None)
     return scored.where(F.col("_score") < 0.5).select(*docs.columns)
 
 
 def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     out = lines.dedup_lines(spark, docs.withColumn("_was", size)).withColumn("_is", size)
     if "n_chars" in docs.columns:
@@ -33,16 +36,19 @@ def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = numbered(docs)
     groups = minhash.near_duplicates(spark, rows)
     return rows.join(minhash.one_of_each(groups), "_rid").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers as P
     coded = bpe.encode(docs.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",

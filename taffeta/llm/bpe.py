@@ -29,7 +29,7 @@ from taffeta.llm.hashing import blocks
 #: Texts of about so many characters are encoded at a time.
 BLOCK_CHARS = 4 << 20
 #: Chunks that a worker remembers; it forgets all when there are more.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Steps of one recursive query. What is unfinished then goes on in the next one, so that states
 #: of very long pieces don't pile up.
 STEPS = 48
@@ -78,7 +78,7 @@ class Coder:
         import regex
         self.find = regex.compile(pattern).findall
         self.ranks = read_ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         vocabulary = pd.DataFrame({"id": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
         parts = []
         for token, merged in self.ranks.items():
@@ -92,7 +92,7 @@ class Coder:
             self.db.execute(f"create table {name} as select * from rows")
             self.db.unregister("rows")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}  # ids of chunks; those that are here decode to themselves
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Ids of each piece (as int32 bytes), and the bytes that those ids decode to."""
@@ -138,11 +138,9 @@ class Coder:
         pieces = list({p for x in found for p in x})
         code = self.encode_pieces(pieces) if pieces else {}
         for chunk, x in zip(new, found):
-            if len(x) == 1:
-                self.known[chunk] = code[x[0]]
-            else:
-                parts = [code[p] for p in x]
-                self.known[chunk] = (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts]))
+            if b"".join([code[p][1] for p in x]) != chunk.encode("utf-8", "surrogatepass"):
+                raise ValueError(f"ids of {chunk!r} decode to something else")
+            self.known[chunk] = code[x[0]][0] if len(x) == 1 else b"".join([code[p][0] for p in x])
 
 
 _DOUBLE = re.compile(r"\s\s").search
@@ -175,7 +173,8 @@ def _table(wids, ids: pa.Array) -> pa.Table:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds ``ids array<int>`` and, decoded from them, ``decoded binary``. Input columns of those
+    """Adds ``ids array<int>`` and ``decoded binary``: the decoded chunks, put together; the ids of
+    every chunk are decoded when they are learnt, and must give the chunk's bytes. Input columns of those
     names are replaced. ``path`` must name the rank file on every executor."""
     df = df.drop(ids, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
@@ -188,12 +187,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             for a, b in blocks(texts, BLOCK_CHARS):
                 split = [c.chunks(t) if t else [] for t in texts[a:b]]
                 c.learn(set().union(*split))
-                coded = [[c.known[x] for x in s] for s in split]
-                own = [b"".join([x for x, _ in s]) for s in coded]
+                own = [b"".join([c.known[x] for x in s]) for s in split]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns,
                      _int_lists(np.frombuffer(b"".join(own), np.int32), [len(x) // 4 for x in own]),
-                     _binary([b"".join([x for _, x in s]) for s in coded])],
+                     _binary(["".join(s).encode("utf-8", "surrogatepass") for s in split])],
                     names=[*batch.schema.names, ids, decoded])
 
     return df.mapInArrow(run, schema)
