@@ -29,7 +29,7 @@ from taffeta.llm.hashing import blocks
 #: Texts of about so many characters are encoded at a time.
 BLOCK_CHARS = 4 << 20
 #: Chunks that a worker remembers; it forgets all when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Steps of one recursive query. What is unfinished then goes on in the next one, so that states
 #: of very long pieces don't pile up.
 STEPS = 48

@@ -90,7 +90,8 @@ def merge(df: DataFrame, by: list[str], col: str = "fingerprint", k: int = K) ->
     @pandas_udf("array<binary>")
     def hashes(s):
         import pandas as pd
-        return pd.Series([[h.tobytes() for h in unpack(x).astype(">u8")] for x in s])
+        raw = [base64.b64decode(x or "") for x in s]
+        return pd.Series([[x[i : i + 8] for i in range(0, len(x), 8)] for x in raw])
 
     rows = df.select(*by, F.explode(hashes(F.col(col))).alias("_hash")).distinct()
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(64)))

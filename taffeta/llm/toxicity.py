@@ -111,8 +111,10 @@ class CharacterModel:
                     options.append((c * 2, -1.0))
             elif parted and c in " .-_*'~":
                 options = [("", -0.3 * n), (c * n, -2.0)]
+            elif c in "!|+(*" and j == len(low):
+                options = [(c * n, 0.0)]  # a closing sign
             elif c in LOOKS_LIKE:
-                options = [(c * n, -8.0)] + [(x * m, -1.0 - 0.5 * (m != n)) for x in LOOKS_LIKE[c] for m in {1, min(n, 2)}]
+                options = [(c * n, -8.0 if j < len(low) else -4.0)] + [(x * m, -1.0 - 0.5 * (m != n)) for x in LOOKS_LIKE[c] for m in {1, min(n, 2)}]
             else:
                 options = [(c * n, 0.0)]
             steps.append(options)
