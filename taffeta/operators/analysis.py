@@ -57,12 +57,11 @@ def std_by(df: DataFrame, keys=("strategy",), value: str = "delta") -> DataFrame
 
 
 def pivot_mean(df: DataFrame, index: str = "icao", columns: str = "strategy",
-               value: str = "delta") -> DataFrame:
-    """A4: mean per (index, column value) spread into columns. Null values are dropped first so
-    an all-null column never appears; the column values come from the data (Spark collects the
-    distinct pivot values, bounded by ``spark.sql.pivotMaxValues``)."""
+               value: str = "delta", values: list[str] | None = None) -> DataFrame:
+    """A4: mean per (index, column value) spread into columns, null values dropped. ``values``
+    names the columns; without it Spark collects the distinct ones (``spark.sql.pivotMaxValues``)."""
     d = df.where(F.col(index).isNotNull() & F.col(columns).isNotNull() & F.col(value).isNotNull())
-    return d.groupBy(index).pivot(columns).agg(F.avg(value))
+    return d.groupBy(index).pivot(columns, values).agg(F.avg(value))
 
 
 def normalise_by_max(df: DataFrame, value: str = "delta", below: float = 20.0,

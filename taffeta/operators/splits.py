@@ -4,8 +4,8 @@ W5 reproduces the reference's exact sizes: test = ceil(share * n) rows, chosen a
 the smallest md5(seed || key). A global row_number would need one ordered partition; instead the
 md5 threshold is found by radix selection: each pass counts rows per 12-bit digit of the hash
 inside the current prefix (an aggregate of at most 4096 rows), keeps the digit where the k-th row
-falls, and descends. Once the boundary bucket is small its hashes are fetched (bounded) and the
-k-th is picked. Then ``md5 <= threshold`` labels every row in one projection.
+falls, and descends to the last digit. Rows whose hashes tie there are told apart by their place in
+the stored input, found the same way. One comparison then labels every row.
 """
 
 from __future__ import annotations
@@ -18,55 +18,51 @@ from pyspark.sql import functions as F
 from taffeta.session import materialise
 
 DIGIT_BITS = 12
-FETCH_LIMIT = 50_000
 
 
 def hash_key(cols, seed: str) -> F.Column:
     return F.md5(F.concat_ws("\u0001", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
 
 
-def _h60(c):
-    return F.conv(F.substring(c, 1, 15), 16, 10).cast("bigint")
-
-
-def kth_smallest_hash(df: DataFrame, hcol: str, k: int) -> str | None:
-    """The k-th smallest (1-based) md5 hex value of ``hcol`` (values assumed distinct)."""
+def kth_smallest(df: DataFrame, col: F.Column, k: int, bits: int = 60) -> tuple[int, int] | None:
+    """The k-th smallest (1-based) value of a non-negative bigint below 2**bits, and which of its
+    equals the k-th row is. Every digit is one aggregate of at most 4096 rows."""
     if k <= 0:
         return None
-    h = _h60(F.col(hcol))
-    shift, prefix, remaining = 60, None, k
-    cond = F.lit(True)
-    while True:
+    shift, prefix, remaining, cond = bits, 0, k, F.lit(True)
+    while shift > 0:
         shift -= DIGIT_BITS
-        digit = F.shiftright(h, shift).bitwiseAND((1 << DIGIT_BITS) - 1)
-        counts = sorted(df.where(cond).groupBy(digit.alias("d")).count().collect())
-        for d, n in counts:
+        digit = F.shiftright(col, shift).bitwiseAND((1 << DIGIT_BITS) - 1)
+        for d, n in sorted(df.where(cond).groupBy(digit.alias("d")).count().collect()):
             if remaining <= n:
                 break
             remaining -= n
-        prefix = (d if prefix is None else (prefix << DIGIT_BITS) | d)
-        cond = F.shiftright(h, shift) == F.lit(prefix)
-        if n <= FETCH_LIMIT or shift == 0:
-            vals = sorted(r[0] for r in df.where(cond).select(hcol).collect())
-            return vals[remaining - 1]
+        prefix = (prefix << DIGIT_BITS) | d
+        cond = F.shiftright(col, shift) == F.lit(prefix)
+    return prefix, remaining
 
 
 def train_test_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: str = "taffeta",
                      mode: str = "exact") -> DataFrame:
     """Add ``split`` in {train, test}. ``exact``: ceil(test_size * n) test rows, like the
-    reference's splitter; ``hash``: one pass, each row independently (approximate sizes)."""
+    reference's splitter, repeated keys told apart by their place; ``hash``: one pass, each row
+    independently (approximate sizes)."""
     d = df.withColumn("_h", hash_key(key_cols, seed))
     if mode == "hash":
         u = F.conv(F.substring("_h", 1, 7), 16, 10).cast("bigint") / float(16 ** 7)
         return d.withColumn("split", F.when(u < test_size, "test").otherwise("train")).drop("_h")
     # one durable materialisation below the checkpoint folder: the counting and radix passes and
     # the final labelling all read it (no recomputation, survives executor loss, no cache pinned)
-    d = materialise(d, "split-input")
-    n = d.count()
-    k = math.ceil(test_size * n)
-    t = kth_smallest_hash(d, "_h", k)
-    label = F.when(F.col("_h") <= F.lit(t), "test").otherwise("train") if t is not None else F.lit("train")
-    return d.withColumn("split", label).drop("_h")
+    d = d.withColumn("_h", F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint"))
+    d = materialise(d.withColumn("_row", F.monotonically_increasing_id()), "split-input")
+    h, row = F.col("_h"), F.col("_row")
+    found = kth_smallest(d, h, math.ceil(test_size * d.count()))
+    if found is None:
+        return d.withColumn("split", F.lit("train")).drop("_h", "_row")
+    value, nth = found
+    last, _ = kth_smallest(d.where(h == value), row, nth)
+    test = (h < value) | ((h == value) & (row <= last))
+    return d.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_row")
 
 
 def split_by_key(df: DataFrame, key_cols, test_size: float = 0.2, seed: str = "taffeta") -> DataFrame:

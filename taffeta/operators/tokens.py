@@ -11,9 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taffeta.functions.generators import posexplode_rows
-from pyspark.sql import types as T
-
 from taffeta.functions.taf import BOS, EOS, PAD
 from taffeta.operators.ranking import global_rank
 
@@ -21,7 +18,8 @@ from taffeta.operators.ranking import global_rank
 # configured additional tokens and additional special tokens (whole words, without the
 # byte-level space marker).
 RESERVED = (PAD, BOS, EOS, "TAF", "BECMG", "TEMPO", "LAST", "NO", "AMDS", "RMK", "COR")
-SPECIALS = (PAD, BOS, EOS)
+# The special ones: the first three and the configured additional special tokens.
+SPECIALS = (PAD, BOS, EOS, "LAST", "NO", "AMDS", "RMK", "COR")
 PAD_ID = 0
 MAX_LENGTH = 256
 BATCH_SIZE = 8
@@ -44,27 +42,34 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", reserved=RESERVED)
     return reserved_vocab(spark, reserved).unionByName(words)
 
 
-def explode_tokens(df: DataFrame, key_cols, tokens_col: str = "tokens") -> DataFrame:
-    return posexplode_rows(df, key_cols, F.col(tokens_col), "pos", "token")
-
-
 def encode(df: DataFrame, key_cols, vocab: DataFrame, tokens_col: str = "tokens",
            out: str = "ids", unk_id: int | None = None) -> DataFrame:
-    """K2: token arrays -> id arrays, per key. Unknown tokens map to ``unk_id`` (null if None)."""
-    ex = explode_tokens(df, key_cols, tokens_col)
-    j = ex.join(vocab.select("token", "id"), "token", "left")
-    idc = F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")) if unk_id is not None else F.col("id")
-    g = j.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("pos", idc.alias("id")))).alias("_p"))
-    return g.select(*key_cols, F.transform("_p", lambda x: x["id"]).alias(out))
+    """K2: token arrays -> id arrays, per key. Unknown tokens map to ``unk_id`` (null if None).
+    A row without tokens keeps its place, with an empty array."""
+    ex = df.select(*key_cols, F.posexplode_outer(tokens_col).alias("_pos", "_token"))
+    known = vocab.select(F.col("token").alias("_word"), F.col("id").alias("_id"))
+    j = ex.join(known, F.col("_token") == F.col("_word"), "left")
+    idc = F.coalesce(F.col("_id"), F.lit(unk_id).cast("bigint")) if unk_id is not None else F.col("_id")
+    return _gathered(j, key_cols, idc).select(*key_cols, F.transform("_p", lambda x: x["x"]).alias(out))
+
+
+def _gathered(rows: DataFrame, key_cols, value: F.Column, keep: F.Column | None = None) -> DataFrame:
+    """``_p``: the (pos, x) pairs of each key in order; a key none of whose rows is kept has ``[]``."""
+    kept = F.col("_pos").isNotNull() if keep is None else F.col("_pos").isNotNull() & keep
+    pair = F.when(kept, F.struct(F.col("_pos").alias("pos"), value.alias("x")))
+    return rows.groupBy(*key_cols).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
 
 
 def decode(df: DataFrame, key_cols, vocab: DataFrame, ids_col: str = "ids", out: str = "text",
-           skip=RESERVED[:3]) -> DataFrame:
-    """K8: ids -> text, special tokens skipped, words joined by a space."""
-    ex = posexplode_rows(df, key_cols, F.col(ids_col), "pos", "id")
-    j = ex.join(vocab.select("token", "id"), "id", "left").where(~F.col("token").isin(list(skip)))
-    g = j.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-    return g.select(*key_cols, F.array_join(F.transform("_p", lambda x: x["token"]), " ").alias(out))
+           skip=SPECIALS) -> DataFrame:
+    """K8: ids -> text, special tokens and unknown ids skipped, words joined by a space. A row of
+    nothing else keeps its place, with an empty text."""
+    ex = df.select(*key_cols, F.posexplode_outer(ids_col).alias("_pos", "_of"))
+    known = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_word"))
+    j = ex.join(known, F.col("_of") == F.col("_id"), "left")
+    keep = F.col("_word").isNotNull() & ~F.col("_word").isin(list(skip))
+    g = _gathered(j, key_cols, F.col("_word"), keep)
+    return g.select(*key_cols, F.array_join(F.transform("_p", lambda x: x["x"]), " ").alias(out))
 
 
 def truncate(c, max_length: int = MAX_LENGTH) -> F.Column:
@@ -104,5 +109,3 @@ def pad_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch", sid
                           "attention_mask": mask_for(F.col(ids_col), F.col("_target"), side)}) \
             .drop("_len", "_target")
 
-
-IDS_TYPE = T.ArrayType(T.LongType())

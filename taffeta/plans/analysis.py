@@ -88,12 +88,16 @@ def q_delta_std_station(spark, sf_dir):
     return A.std_by(frame(spark, sf_dir), ["strategy", "icao"])
 
 
+#: The strategies of the results fixture, a column each.
+PIVOT_STRATEGIES = ("BEAM_SEARCH", "GREEDY", "TOP_K50", "TOP_P92")
+
+
 @query("delta_pivot", FRAME + """
-pivot (select icao, strategy, delta from d where icao is not null and delta is not null)
-on strategy using avg(delta) group by icao
+select icao, """ + ", ".join(f"avg(delta) filter (where strategy = '{s}') as \"{s}\"" for s in PIVOT_STRATEGIES) + """
+from d where icao is not null and delta is not null group by icao
 """)
 def q_delta_pivot(spark, sf_dir):
-    return A.pivot_mean(stored_frame(spark, sf_dir))
+    return A.pivot_mean(frame(spark, sf_dir), values=list(PIVOT_STRATEGIES))
 
 
 @query("normalise_delta", FRAME + "select * from w1")

@@ -115,7 +115,7 @@ def q_filter_corrections(spark, sf_dir):
     return M.filter_corrections(taf_records(spark, sf_dir).select("rec_id", "text"))
 
 
-CAP_STATIONS = STATIONS.split(",")[:12]
+CAP_STATIONS = STATIONS.split(",")
 _station_list = ", ".join(f"'{s}'" for s in CAP_STATIONS)
 
 

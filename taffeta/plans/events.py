@@ -85,9 +85,13 @@ def q_changed_prefix(spark, sf_dir):
 @query("stream_prefix_pairs", PAIRS_CTE + "select prompt, completion from pairs")
 def q_stream_prefix_pairs(spark, sf_dir):
     corpus, out, ck = (scratch_path(spark, n) for n in ("stream-corpus", "stream-pairs", "stream-ckpt"))
-    write_corpus(taf_records(spark, sf_dir), corpus)
-    SD.run_available(SD.stream_prefix_pairs(spark, corpus), out, ck)
-    return spark.read.parquet(out)
+    # two micro-batches; the second brings the first one's records again besides its own
+    recs = taf_records(spark, sf_dir)
+    write_corpus(recs.where("rec_id % 2 = 0"), f"{corpus}/first")
+    SD.run_prefix_pairs(spark, f"{corpus}/*", out, ck)
+    write_corpus(recs, f"{corpus}/second")
+    SD.run_prefix_pairs(spark, f"{corpus}/*", out, ck)
+    return spark.read.parquet(f"{out}/pairs").drop("batch")
 
 
 @query("map_batches", PAIRS_CTE + f"""

@@ -36,7 +36,8 @@ DOCS = f"""
 with vocab as {DOC_VOCAB},
 t as (select doc_id, w[pos] as token, pos from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos
       from (select doc_id, {split_ws('text')} as w from documents))),
-enc as (select doc_id, list(v.id order by t.pos) as ids from t left join vocab v on v.token = t.token group by doc_id)
+enc as (select d.doc_id, coalesce(list(v.id order by t.pos) filter (where t.pos is not null), []) as ids
+        from documents d left join t on t.doc_id = d.doc_id left join vocab v on v.token = t.token group by d.doc_id)
 """
 
 
@@ -70,12 +71,14 @@ def q_truncate_ids(spark, sf_dir):
 
 @query("decode_tokens", DOCS + f"""
 , dec as (select t.doc_id, string_agg(v.token, ' ' order by t.pos) as text
-          from t left join vocab v on v.token = t.token where v.token not in ('<|pad|>', '<|bos|>', '<|eos|>')
-          group by t.doc_id)
-select doc_id, text, {change_groups_sql('text')} as lines from dec
+          from t left join vocab v on v.token = t.token where v.token not in ({", ".join(f"'{x}'" for x in K.SPECIALS)})
+          group by t.doc_id),
+every as (select d.doc_id, coalesce(dec.text, '') as text from documents d left join dec on dec.doc_id = d.doc_id)
+select doc_id, text, {change_groups_sql('text')} as lines from every
 """)
 def q_decode_tokens(spark, sf_dir):
-    d = K.decode(doc_ids(spark, sf_dir), ["doc_id"], doc_vocab(spark, sf_dir))
+    vocab = materialise(doc_vocab(spark, sf_dir), "doc-vocab")  # read by the encoding and the decoding
+    d = K.decode(K.encode(doc_tokens(spark, sf_dir), ["doc_id"], vocab), ["doc_id"], vocab)
     return d.withColumn("lines", taf.change_groups(F.col("text")))
 
 

@@ -1,15 +1,17 @@
 """Session and scratch-space helpers.
 
 Scratch data (written corpora, checkpoints) always goes below the folder the cluster names
-in ``spark.checkpoint.dir``. Only when that setting is absent (tests, local runs) do we pick
-a private folder under the system temp dir and register it as the checkpoint dir.
+in ``spark.checkpoint.dir``. Only a local session without that setting (tests) gets a private
+folder under the system temp dir; elsewhere a missing setting is an error.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -24,11 +26,16 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "taffeta",
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "taffeta",
                 extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+    """A session with the library's settings. The master and the shuffle width are set only when
+    given (tests, benchmarks); on a cluster they are ``spark-submit``'s."""
+    builder = SparkSession.builder.appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -39,24 +46,44 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only when none is configured."""
+    """The shared checkpoint folder. A private local one is made only where none is set and the
+    whole session is this machine's; on a cluster each executor would write to its own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    local = tempfile.mkdtemp(prefix="taffeta-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not current:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="taffeta-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
+
+
+_cleaned: set[str] = set()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for written intermediates; it goes when the application ends."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(remove_scratch, spark, root)
+    return root
+
+
+def remove_scratch(spark: SparkSession, root: str | None = None) -> None:
+    """Deletes the application's intermediates; results that still read them must be stored first."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(root or scratch_root(spark))
+        path.getFileSystem(conf).delete(path, True)
+    except Exception as e:  # the JVM may be gone already
+        warnings.warn(f"scratch not removed: {type(e).__name__}", stacklevel=2)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint dir for a written intermediate."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder for a written intermediate; its file system is the checkpoint folder's."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df, name: str):

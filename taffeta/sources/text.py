@@ -18,16 +18,22 @@ def write_corpus(df: DataFrame, path: str, text_col: str = "text",
     df.select(F.col(text_col).alias("value")).write.option("lineSep", delimiter).text(path)
 
 
+def universal_newlines(c) -> F.Column:
+    """CR LF and lone CR become LF, as Python's text mode reads files."""
+    return F.regexp_replace(c, "\r\n?", "\n")
+
+
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file (``path``, ``value``). Good for many modest files; a file must fit in
-    one row (about 2 GB)."""
+    """One row per file (``path``, ``value``), newlines made universal. Good for many modest
+    files; a file must fit in one row (about 2 GB)."""
     return (spark.read.text(path, wholetext=True)
-                 .select(F.col("_metadata.file_path").alias("path"), "value"))
+                 .select(F.col("_metadata.file_path").alias("path"), universal_newlines("value").alias("value")))
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = RECORD_DELIMITER) -> DataFrame:
-    """Fixed-delimiter records straight from the reader (``lineSep`` takes bytes, not a regex)."""
-    return spark.read.text(path, lineSep=delimiter)
+    """Fixed-delimiter records straight from the reader (``lineSep`` takes bytes, not a regex),
+    stripped. A corpus with CR LF newlines needs its own ``delimiter``."""
+    return spark.read.text(path, lineSep=delimiter).select(py_strip(universal_newlines("value")).alias("value"))
 
 
 def scan_records(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from taffeta.functions.text import py_split_ws
 from taffeta.operators import metadata as M
 from taffeta.operators.prefixes import prefix_pairs
 from taffeta.operators.segment import segment_records
+from taffeta.sources.text import universal_newlines
 
 
 def debounce_stream(events: DataFrame, key: str = "user_id", ts_col: str = "ts",
@@ -23,17 +24,30 @@ def debounce_stream(events: DataFrame, key: str = "user_id", ts_col: str = "ts",
                  F.max_by(value_col, F.struct("_ts", "event_id")).alias("last_value")).drop("w")
 
 
-def stream_prefix_pairs(spark: SparkSession, corpus_dir: str, watermark: str = "1 hour") -> DataFrame:
-    """Raw corpus files arriving in a folder -> records -> template -> prefix pairs.
-    Duplicate records are dropped while their copies arrive within the watermark, measured on
-    the files' modification time (the only event time a text file has)."""
-    raw = (spark.readStream.text(corpus_dir, wholetext=True)
-                .select(F.col("_metadata.file_modification_time").alias("mtime"), "value"))
-    recs = segment_records(raw, "value", keep=("mtime",)).where(F.col("text") != "")
-    t = M.template_records(recs)
-    norm = t.select("mtime", F.array_join(py_split_ws("templated"), " ").alias("templated"))
-    norm = norm.withWatermark("mtime", watermark).dropDuplicatesWithinWatermark(["templated"])
-    return prefix_pairs(norm, "templated", dedup=False)
+def run_prefix_pairs(spark: SparkSession, corpus_dir: str, out_path: str, checkpoint: str,
+                     max_file_age: str = "36500d") -> None:
+    """Raw corpus files arriving in a folder -> records -> template -> prefix pairs below
+    ``out_path/pairs``. Each micro-batch drops the records that ``out_path/records`` already has, by
+    a hash of the record, so copies go however far apart they come and a late file is never lost.
+    Each batch writes its own folder, so a batch that is run again replaces what it wrote. Spark's
+    file source would pass over files a week older than the newest; ``max_file_age`` lifts that."""
+    raw = spark.readStream.option("maxFileAge", max_file_age).text(corpus_dir, wholetext=True).select(universal_newlines("value").alias("value"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        recs = segment_records(batch, "value").where(F.col("text") != "")
+        norm = M.template_records(recs).select(F.array_join(py_split_ws("templated"), " ").alias("templated"))
+        new = norm.dropDuplicates(["templated"]).withColumn("hash", F.sha2("templated", 256))
+        if number:
+            seen = session.read.schema("templated string, hash string, batch long").parquet(f"{out_path}/records")
+            new = new.join(seen.where(F.col("batch") < number).select("hash"), "hash", "left_anti")
+        stored = f"{out_path}/records/batch={number}"
+        new.select("templated", "hash").write.mode("overwrite").parquet(stored)
+        pairs = prefix_pairs(session.read.parquet(stored).select("templated"), "templated", dedup=False)
+        pairs.write.mode("overwrite").parquet(f"{out_path}/pairs/batch={number}")
+
+    (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination())
 
 
 def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:

@@ -44,16 +44,19 @@ def test_exact_split_sizes(spark, sf_small):
     assert s.select("prompt", "completion").distinct().count() == n
 
 
-def test_kth_smallest_hash_matches_sort(spark):
-    df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("h"))
+def test_kth_smallest_matches_sort(spark):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"))
     vals = sorted(r.h for r in df.collect())
-    old = W.FETCH_LIMIT
-    W.FETCH_LIMIT = 3  # force several radix passes
-    try:
-        for k in (1, 17, 2500, 5000):
-            assert W.kth_smallest_hash(df, "h", k) == vals[k - 1]
-    finally:
-        W.FETCH_LIMIT = old
+    for k in (1, 2, 777, 2500, 4999, 5000):
+        value, nth = W.kth_smallest(df, F.col("h"), k)
+        assert value == vals[k - 1] and nth == k - vals.index(value)
+    assert W.kth_smallest(df, F.col("h"), 0) is None
+
+
+def test_split_sizes_with_repeated_keys(spark):
+    rows = [("a",)] * 9 + [("b",)]
+    s = W.train_test_split(spark.createDataFrame(rows, "k string").repartition(3), ["k"], 0.2)
+    assert s.where("split = 'test'").count() == 2 and s.count() == 10 and s.columns == ["k", "split"]
 
 
 def test_global_rank_is_dense_and_ordered(spark):
