@@ -170,8 +170,9 @@ def _line_rows(rows: DataFrame) -> DataFrame:
 def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     """(rid, ranges): what each later document shares with the earlier ones that it is paired with."""
     texts = rows.select("rid", "text")
-    wide = (pairs.join(texts.withColumnRenamed("text", "later"), "rid")
-            .join(texts.select(F.col("rid").alias("source"), F.col("text").alias("earlier")), "source")
+    # merge joins at every size: both sides grow with the documents
+    wide = (pairs.hint("merge").join(texts.withColumnRenamed("text", "later"), "rid")
+            .join(texts.select(F.col("rid").alias("source"), F.col("text").alias("earlier")).hint("merge"), "source")
             .select("rid", "later", "earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
     found = (_overlaps(rows, pairs, min_words).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
              .select(F.col("rid").alias("_rid"), "_ranges"))
     found = materialise(found, "lines-found")
-    out = rows_in.join(found, "_rid", "left").select(*columns, "_ranges")
+    out = rows_in.join(found.hint("merge"), "_rid", "left").select(*columns, "_ranges")
     at, n = columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,14 +149,17 @@ def narrow(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents themselves: each row as often as the mix takes it, with its columns."""
-    taken = (copies(narrow(docs), **how).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    """The mixed documents themselves: each row as often as the mix takes it, with its columns. The
+    texts are shuffled once, on the key that joins them and numbers equal rows; the merge join keeps
+    it so at every size."""
+    id_ = F.coalesce("doc_id", F.lit(-1 << 63)).alias("_id")
+    taken = (copies(narrow(docs), **how).groupBy(id_, F.col("row").alias("_row"))
              .agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
              .where(F.element_at("_copies", -1) > 0))
-    rows = docs.withColumn("_key", F.xxhash64("text", "source"))
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["_key"] == taken["_row"]))
+    rows = docs.withColumns({"_id": id_, "_row": F.xxhash64("text", "source")})
+    rows = rows.join(taken.hint("merge"), ["_id", "_row"])
     nth = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.lit(1)))
     one = F.col("_copies")[0]
     n = F.when(F.size("_copies") == 1, one).otherwise(F.element_at("_copies", F.col("_nth")))
     return (rows.withColumn("_nth", nth).withColumn("_again", F.explode(F.array_repeat(F.lit(0), n)))
-            .select(*[rows[c] for c in docs.columns]))
+            .select(*docs.columns))
