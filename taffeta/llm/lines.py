@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from taffeta.llm.hashing import Words, blocks, mix
 from taffeta.llm.numbering import numbered
-from taffeta.session import materialise
+from taffeta.session import materialise, remove_scratch, scratch_path
 
 MIN_WORDS = 50
 #: Lines of fewer words are no links; pairs that share fewer words than this aren't aligned.
@@ -170,9 +170,8 @@ def _line_rows(rows: DataFrame) -> DataFrame:
 def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     """(rid, ranges): what each later document shares with the earlier ones that it is paired with."""
     texts = rows.select("rid", "text")
-    # merge joins at every size: both sides grow with the documents
-    wide = (pairs.hint("merge").join(texts.withColumnRenamed("text", "later"), "rid")
-            .join(texts.select(F.col("rid").alias("source"), F.col("text").alias("earlier")).hint("merge"), "source")
+    wide = (pairs.join(texts.withColumnRenamed("text", "later"), "rid")
+            .join(texts.select(F.col("rid").alias("source"), F.col("text").alias("earlier")), "source")
             .select("rid", "later", "earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +191,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
     columns = docs.columns
     rows_in = numbered(docs)
     rows = rows_in.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
-    lines = materialise(_line_rows(rows), "lines-hashes")
+    path = scratch_path(spark, "lines-hashes")
+    _line_rows(rows).write.parquet(path)
+    lines = spark.read.parquet(path)
     shared = (lines.groupBy("hash").agg(F.min(F.struct("key", "rid")).alias("head"), F.count("*").alias("n"))
               .where("n > 1").select("hash", "head"))
     shared = materialise(shared, "lines-shared")
@@ -200,10 +201,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
              .groupBy("rid", F.col("head.rid").alias("source")).agg(F.sum("words").alias("words"))
              .where(F.col("words") >= SHARED_WORDS).select("rid", "source"))
     pairs = materialise(pairs, "lines-pairs")
+    remove_scratch(spark, path)  # as large as the texts, and read no more
     found = (_overlaps(rows, pairs, min_words).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
              .select(F.col("rid").alias("_rid"), "_ranges"))
     found = materialise(found, "lines-found")
-    out = rows_in.join(found.hint("merge"), "_rid", "left").select(*columns, "_ranges")
+    out = rows_in.join(found, "_rid", "left").select(*columns, "_ranges")
     at, n = columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
