@@ -29,8 +29,9 @@ def test_query_matches_oracle(spark, sf_small, con, name):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == set()
+    # of the reference's own operators; the training-text queries have no SQL form (tests/llm)
+    from taffeta.plans import catalog
+    assert set(catalog.QUERIES) - set(E.oracle_sql()) == set()
 
 
 def test_entry_runs(spark):
