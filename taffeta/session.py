@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 import warnings
 
@@ -81,9 +82,41 @@ def remove_scratch(spark: SparkSession, root: str | None = None) -> None:
         warnings.warn(f"scratch not removed: {type(e).__name__}", stacklevel=2)
 
 
+_here = threading.local()
+
+
+def scratch_made() -> list[str]:
+    """The folders that this thread was given, in order."""
+    if not hasattr(_here, "made"):
+        _here.made = []
+    return _here.made
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder for a written intermediate; its file system is the checkpoint folder's."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    scratch_made().append(path)
+    return path
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage, upon which Spark deletes the shuffle files of plans
+    that nothing refers to any more. For the places where a table as large as the input was shuffled."""
+    spark._jvm.System.gc()
+
+
+def bucketed(df, key: str, name: str):
+    """Writes a frame in buckets of ``key`` below the shared checkpoint folder: one shuffle, after
+    which joins on that key shuffle their other side only. As many buckets as the session has shuffle
+    partitions. The files alone stay; the catalogue entry goes at once. Not for hot keys: Spark
+    splits skewed partitions only where both sides are shuffled."""
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return out
 
 
 def materialise(df, name: str):
