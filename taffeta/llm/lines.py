@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taffeta.llm.hashing import Words, blocks, mix
-from taffeta.llm.numbering import numbered
-from taffeta.session import materialise, remove_scratch, scratch_path
+from taffeta.llm.numbering import numbered_buckets
+from taffeta.session import drop_shuffles, materialise, remove_scratch, scratch_path
 
 MIN_WORDS = 50
 #: Lines of fewer words are no links; pairs that share fewer words than this aren't aligned.
@@ -168,11 +168,13 @@ def _line_rows(rows: DataFrame) -> DataFrame:
 
 
 def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """(rid, ranges): what each later document shares with the earlier ones that it is paired with."""
+    """(rid, ranges): what each later document shares with the earlier ones that it is paired with.
+    The buckets of ``rows`` give both texts without a shuffle; then those of the pairs, and no other,
+    meet on the earlier document. It can be a hot key, which Spark splits as both sides are shuffled."""
     texts = rows.select("rid", "text")
-    wide = (pairs.join(texts.withColumnRenamed("text", "later"), "rid")
-            .join(texts.select(F.col("rid").alias("source"), F.col("text").alias("earlier")), "source")
-            .select("rid", "later", "earlier"))
+    later = pairs.join(texts.withColumnRenamed("text", "later"), "rid")
+    earlier = pairs.select(F.col("source").alias("rid")).distinct().join(texts.withColumnRenamed("text", "earlier"), "rid")
+    wide = later.join(earlier.withColumnRenamed("rid", "source").hint("merge"), "source").select("rid", "later", "earlier")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +191,7 @@ def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``; later repeats of common blocks are deleted from the text."""
     columns = docs.columns
-    rows_in = numbered(docs)
+    rows_in = numbered_buckets(docs)
     rows = rows_in.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
     path = scratch_path(spark, "lines-hashes")
     _line_rows(rows).write.parquet(path)
@@ -202,9 +204,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
              .where(F.col("words") >= SHARED_WORDS).select("rid", "source"))
     pairs = materialise(pairs, "lines-pairs")
     remove_scratch(spark, path)  # as large as the texts, and read no more
+    drop_shuffles(spark)
     found = (_overlaps(rows, pairs, min_words).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
              .select(F.col("rid").alias("_rid"), "_ranges"))
     found = materialise(found, "lines-found")
+    drop_shuffles(spark)
     out = rows_in.join(found, "_rid", "left").select(*columns, "_ranges")
     at, n = columns.index(text), len(columns)
 

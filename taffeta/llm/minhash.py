@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from taffeta.llm.components import components
 from taffeta.llm.hashing import Words, blocks, mix
 from taffeta.llm.numbering import numbered
-from taffeta.session import materialise
+from taffeta.session import drop_shuffles, materialise
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 4
@@ -197,7 +197,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", wo
     pairs = materialise(pairs.union(stars).distinct(), "minhash-pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "rid"), "node")
     texts = materialise(whole.select("rid", "text").join(wanted, "rid").select("node", "text"), "minhash-texts")
+    drop_shuffles(spark)
     links = materialise(_confirm(pairs, texts, words, percent), "minhash-links")
+    drop_shuffles(spark)
     groups = materialise(components(links), "minhash-groups")
 
     large = found.where(F.col("members") > FEW).join(groups, "node", "left")

@@ -9,11 +9,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from taffeta.session import materialise
+from taffeta.session import bucketed, drop_shuffles, materialise, remove_scratch, scratch_path
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Stores the rows with a number for each, ``_rid``, which is only read afterwards."""
+def _numbers(docs: DataFrame) -> DataFrame:
     docs = docs.drop("_rid")
     schema = T.StructType([T.StructField("_rid", T.LongType()), *docs.schema.fields])
 
@@ -24,4 +23,21 @@ def numbered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, *batch.columns], names=["_rid", *batch.schema.names])
             rid += batch.num_rows
 
-    return materialise(docs.mapInArrow(run, schema), "numbered")
+    return docs.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Stores the rows with a number for each, ``_rid``, which is only read afterwards."""
+    return materialise(_numbers(docs), "numbered")
+
+
+def numbered_buckets(docs: DataFrame) -> DataFrame:
+    """``numbered``, in buckets of ``_rid``: later joins on it don't shuffle the rows. The numbers are
+    stored before they are shuffled, as a task that is run again could deal them out otherwise."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "numbered")
+    _numbers(docs).write.parquet(path)
+    out = bucketed(spark.read.parquet(path), "_rid", "numbered-buckets")
+    remove_scratch(spark, path)
+    drop_shuffles(spark)
+    return out
