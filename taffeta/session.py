@@ -82,6 +82,9 @@ def remove_scratch(spark: SparkSession, root: str | None = None) -> None:
         warnings.warn(f"scratch not removed: {type(e).__name__}", stacklevel=2)
 
 
+#: How intermediates are written: they are read once or twice, and their size is what counts.
+SCRATCH = {"compression": "zstd"}
+
 _here = threading.local()
 
 
@@ -113,7 +116,7 @@ def bucketed(df, key: str, name: str):
     spark = df.sparkSession
     path, n = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    df.repartition(n, key).write.bucketBy(n, key).options(path=path, **SCRATCH).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"drop table {table}")
     return out
@@ -125,5 +128,5 @@ def materialise(df, name: str):
     read stored columns instead of re-deriving them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return spark.read.parquet(path)
