@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from taffeta.llm.hashing import Words, blocks, mix
 from taffeta.llm.numbering import numbered_buckets
-from taffeta.session import drop_shuffles, materialise, remove_scratch, scratch_path
+from taffeta.session import SCRATCH, drop_shuffles, materialise, remove_scratch, scratch_path
 
 MIN_WORDS = 50
 #: Lines of fewer words are no links; pairs that share fewer words than this aren't aligned.
@@ -194,11 +194,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
     rows_in = numbered_buckets(docs)
     rows = rows_in.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
     path = scratch_path(spark, "lines-hashes")
-    _line_rows(rows).write.parquet(path)
+    _line_rows(rows).write.options(**SCRATCH).parquet(path)
     lines = spark.read.parquet(path)
     shared = (lines.groupBy("hash").agg(F.min(F.struct("key", "rid")).alias("head"), F.count("*").alias("n"))
               .where("n > 1").select("hash", "head"))
     shared = materialise(shared, "lines-shared")
+    drop_shuffles(spark)
     pairs = (lines.join(shared, "hash").where(F.col("rid") != F.col("head.rid"))
              .groupBy("rid", F.col("head.rid").alias("source")).agg(F.sum("words").alias("words"))
              .where(F.col("words") >= SHARED_WORDS).select("rid", "source"))

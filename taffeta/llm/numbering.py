@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from taffeta.session import bucketed, drop_shuffles, materialise, remove_scratch, scratch_path
+from taffeta.session import SCRATCH, bucketed, drop_shuffles, materialise, remove_scratch, scratch_path
 
 
 def _numbers(docs: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def numbered_buckets(docs: DataFrame) -> DataFrame:
     stored before they are shuffled, as a task that is run again could deal them out otherwise."""
     spark = docs.sparkSession
     path = scratch_path(spark, "numbered")
-    _numbers(docs).write.parquet(path)
+    _numbers(docs).write.options(**SCRATCH).parquet(path)
     out = bucketed(spark.read.parquet(path), "_rid", "numbered-buckets")
     remove_scratch(spark, path)
     drop_shuffles(spark)
