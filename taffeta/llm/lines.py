@@ -170,11 +170,13 @@ def _line_rows(rows: DataFrame) -> DataFrame:
 def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     """(rid, ranges): what each later document shares with the earlier ones that it is paired with.
     The buckets of ``rows`` give both texts without a shuffle; then those of the pairs, and no other,
-    meet on the earlier document. It can be a hot key, which Spark splits as both sides are shuffled."""
+    meet on the earlier document. It can be a hot key: its side is stored without buckets, so that both
+    are shuffled and Spark splits it."""
     texts = rows.select("rid", "text")
     later = pairs.join(texts.withColumnRenamed("text", "later"), "rid")
     earlier = pairs.select(F.col("source").alias("rid")).distinct().join(texts.withColumnRenamed("text", "earlier"), "rid")
-    wide = later.join(earlier.withColumnRenamed("rid", "source").hint("merge"), "source").select("rid", "later", "earlier")
+    earlier = materialise(earlier.withColumnRenamed("rid", "source"), "lines-earlier")
+    wide = later.join(earlier.hint("merge"), "source").select("rid", "later", "earlier")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
