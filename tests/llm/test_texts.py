@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import collect, docs, rows, words
 from taffeta.llm import components, fingerprints, hashing, lines, minhash
@@ -143,3 +144,20 @@ def test_shared_passages_stay_in_the_first_document_only(spark):
 def test_patience_anchors_rise_in_both():
     assert lines.anchors([1, 2, 3, 4, 5, 5], [4, 1, 2, 9, 3, 5]) == [(0, 1), (1, 2), (2, 4)]
     assert lines.anchors([], [1]) == []
+
+
+def test_buckets_are_joined_without_a_shuffle_of_the_texts(spark):
+    from taffeta.llm.numbering import numbered_buckets
+    stored = numbered_buckets(docs(spark))
+    assert stored.drop("_rid").columns == docs(spark).columns and stored.count() == docs(spark).count()
+    assert stored.select("_rid").distinct().count() == stored.count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = spark.range(5).select(F.col("id").alias("_rid"))
+        plan = stored.join(few, "_rid", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert not [t.name for t in spark.catalog.listTables()]
+    assert numbered_buckets(docs(spark, empty=True)).count() == 0
