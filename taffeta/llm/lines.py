@@ -1,16 +1,20 @@
-"""Line de-duplication by pairwise alignment.
+"""Line de-duplication by shared word windows.
 
-A text is cut into lines: at line breaks, and after every pair of words whose hash says so (one in
-eight), so that a passage is cut alike wherever it stands, inside a long line too. Documents that share line hashes are found by
-grouping: each line of a document points at the first document (by doc_id) that has it, which is
-linear in the lines however many documents share one. Documents that share enough are aligned by
-patience diff: lines that are unique in both and in the same order are anchors; the longest rising
-run of them is kept; around each anchor the equal words on both sides make a block. Blocks of at least
-``min_words`` words are deleted from the later document. The first document keeps every passage.
+A passage of ``min_words`` words or more that an earlier document holds is deleted from the later
+one, wherever it stands in either, however often and in whatever lines. The first document keeps
+every passage. A window is ``min_words`` consecutive words; each points at the first document (by
+doc_id) that has it, and the words of a window whose first document is another one go. That is
+linear in the words however many documents share a window, and leaves no common run of
+``min_words`` words.
+
+Only windows that can be shared are compared. The mark of a window is the least hash of the runs of
+half as many words inside it, so that equal windows have equal marks and neighbours mostly the same
+one. Marks of one document only are dropped first; then the windows of the others are compared by
+their mark and their own hash, 128 bits together.
 
 Defined cases: null and empty texts stay as they are. Documents are ordered by doc_id (null last),
-then in the order of reading; a later copy of a whole text is left with an empty text. Lines
-that come twice in one document are no anchors there, but blocks grow over them.
+then in the order of reading; a later copy of a whole text is left with an empty text. What comes
+twice in one document only stays. Letters A-Z match in either case; line breaks are white space.
 """
 
 from __future__ import annotations
@@ -23,42 +27,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taffeta.llm.hashing import Words, blocks, mix
+from taffeta.llm.hashing import Words, _power_tables, blocks, mix
 from taffeta.llm.numbering import numbered_buckets
 from taffeta.session import SCRATCH, drop_shuffles, materialise, remove_scratch, scratch_path
 
 MIN_WORDS = 50
-#: Lines of fewer words are no links; pairs that share fewer words than this aren't aligned.
-LINE_WORDS, SHARED_WORDS = 3, 12
-_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = (1 << 63) - 1
 
 
-class Lines:
-    """Lines of texts: ``hashes``, ``begin`` and ``end`` (word indexes, end exclusive), ``first`` the
-    index of each text's first line (one entry more than texts)."""
-
-    def __init__(self, texts: list[str | None]):
-        self.words = w = Words(texts)
-        self.word = h = w.hashes
-        n = len(h)
-        breaks = np.zeros(n, bool)
-        if n:
-            ends = (mix(h + np.concatenate([h[:1], h[:-1]]) * _STEP) & np.uint64(7)) == 0
-            newline = np.concatenate([[0], np.cumsum(w.data == 10)])
-            following = np.concatenate([w.starts[1:], w.ends[-1:]])
-            breaks = ends | (newline[following] > newline[w.ends])
-            breaks[w.first[1:][w.first[1:] > w.first[:-1]] - 1] = True
-        stops = np.flatnonzero(breaks) + 1
-        self.begin, self.end = np.concatenate([[0], stops[:-1]]).astype(np.int64) if n else stops, stops
-        self.first = np.searchsorted(self.begin, w.first)
-        if n:
-            place = np.arange(n) - np.repeat(self.begin, self.end - self.begin)
-            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()), _STEP)]))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[place], dtype=np.uint64)])
-            self.hashes = mix(sums[self.end] - sums[self.begin] + (self.end - self.begin).astype(np.uint64))
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+class Windows:
+    """Windows of ``size`` words of texts: ``owner`` (index of the text), ``at`` (first word, from the
+    text's first), ``marks``, and by ``hashes`` a hash of all their words."""
+
+    def __init__(self, texts: list[str | None], size: int):
+        w, self.size = Words(texts), size
+        h, n = w.hashes, len(w.starts)
+        self._up_to = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * _power_tables(n)[0][:n], out=self._up_to[1:])
+        owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
+        self._inside = np.flatnonzero(owner[: max(n - size + 1, 0)] == owner[size - 1 :])
+        self.owner = owner[self._inside]
+        self.at = self._inside - w.first[self.owner]
+        half = (size + 1) // 2
+        least, reach, every = self._spans(half), 1, size - half + 1
+        while reach < every and len(least):
+            step = min(reach, every - reach)
+            least = np.minimum(least[:-step], least[step:])
+            reach += step
+        self.marks = least[self._inside].view(np.int64)
+
+    def _spans(self, size: int) -> np.ndarray:
+        n = max(len(self._up_to) - size, 0)
+        return mix((self._up_to[size:] - self._up_to[:n]) * _power_tables(n)[1][:n])
+
+    def hashes(self) -> np.ndarray:
+        return self._spans(self.size)[self._inside].view(np.int64)
 
 
 def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -85,41 +88,6 @@ def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _run(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading elements are equal."""
-    n = min(len(a), len(b))
-    at = 0
-    while at < n:
-        step = min(64, n - at)
-        odd = np.flatnonzero(a[at : at + step] != b[at : at + step])
-        if len(odd):
-            return at + int(odd[0])
-        at += step
-    return n
-
-
-def common_blocks(lines: Lines, x: int, y: int, min_words: int) -> list[tuple[int, int]]:
-    """Word ranges of text ``x`` (from its first word) that stand in text ``y``, in order."""
-    first = lines.words.first
-    a, b = lines.word[first[x] : first[x + 1]], lines.word[first[y] : first[y + 1]]
-    sides = []
-    for t in (x, y):
-        at = slice(lines.first[t], lines.first[t + 1])
-        sides.append((lines.hashes[at].tolist(), lines.begin[at] - first[t]))
-    (ha, ba), (hb, bb) = sides
-    out, reach_a, reach_b = [], 0, 0
-    for i, j in anchors(ha, hb):
-        p, q = int(ba[i]), int(bb[j])
-        if p < reach_a or q < reach_b:
-            continue  # inside the last block
-        left = _run(a[reach_a:p][::-1], b[reach_b:q][::-1])
-        right = _run(a[p:], b[q:])
-        if left + right >= min_words:
-            out.append((p - left, p + right))
-        reach_a, reach_b = p + right, q + right
-    return out
-
-
 def cut(text: str, ranges: list[tuple[int, int]], words: Words, index: int) -> str:
     """The text without the given word ranges and the white space that follows each."""
     data, first, base = words.data, int(words.first[index]), int(words.at[index])
@@ -135,95 +103,88 @@ def cut(text: str, ranges: list[tuple[int, int]], words: Words, index: int) -> s
     return b"".join(keep).decode("utf-8", "surrogatepass")
 
 
-def _merged(ranges: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for i, j in sorted(tuple(r) for r in ranges):
-        if out and i <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], j)
-        else:
-            out.append([i, j])
-    return [(i, j) for i, j in out]
+def _ranges(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Word ranges that windows from these words cover, in order."""
+    starts = np.unique(starts)
+    gaps = np.flatnonzero(np.diff(starts) > size)
+    first, last = starts[np.concatenate([[0], gaps + 1])], starts[np.concatenate([gaps, [len(starts) - 1]])]
+    return [(int(i), int(j) + size) for i, j in zip(first, last)]
 
 
-def _line_rows(rows: DataFrame) -> DataFrame:
-    """(rid, key, hash, words) of each distinct line of each document."""
+def _mark_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(rid, mark) of each distinct mark of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).to_pylist()
+            rids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                lines = Lines(texts[a:b])
-                size = lines.end - lines.begin
-                owner = np.repeat(np.arange(a, b), np.diff(lines.first))
-                good = size >= LINE_WORDS
-                owner, size, hashes = owner[good], size[good], lines.hashes[good].view(np.int64)
-                order = np.lexsort((hashes, owner))
+                found = Windows(texts[a:b], size)
+                new = np.ones(len(found.at), bool)
+                new[1:] = (np.diff(found.marks) != 0) | (np.diff(found.owner) != 0)
+                owner, marks = found.owner[new], found.marks[new]
+                order = np.lexsort((marks, owner))
                 new = np.ones(len(order), bool)
-                new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(owner[order]) != 0)
+                new[1:] = (np.diff(marks[order]) != 0) | (np.diff(owner[order]) != 0)
                 at = order[new]
-                yield pa.RecordBatch.from_arrays([pa.array(rids[owner[at]]), pa.array(keys[owner[at]]), pa.array(hashes[at]), pa.array(size[at], pa.int32())],
-                                                 names=["rid", "key", "hash", "words"])
-
-    return rows.mapInArrow(run, "rid long, key long, hash long, words int")
+                yield pa.RecordBatch.from_arrays([pa.array(rids[a + owner[at]]), pa.array(marks[at])], names=["rid", "mark"])
 
+    return rows.select("rid", "text").mapInArrow(run, "rid long, mark long")
 
-def _overlaps(rows: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """(rid, ranges): what each later document shares with the earlier ones that it is paired with.
-    The buckets of ``rows`` give both texts without a shuffle; then those of the pairs, and no other,
-    meet on the earlier document. It can be a hot key: its side is stored without buckets, so that both
-    are shuffled and Spark splits it."""
-    texts = rows.select("rid", "text")
-    later = pairs.join(texts.withColumnRenamed("text", "later"), "rid")
-    earlier = pairs.select(F.col("source").alias("rid")).distinct().join(texts.withColumnRenamed("text", "earlier"), "rid")
-    earlier = materialise(earlier.withColumnRenamed("rid", "source"), "lines-earlier")
-    wide = later.join(earlier.hint("merge"), "source").select("rid", "later", "earlier")
 
+def _window_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(rid, key, mark, hash, at) of the windows whose mark is one of the row's ``marks``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, later, earlier = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in blocks([x + y for x, y in zip(later, earlier)]):
-                lines = Lines([t for k in range(a, b) for t in (later[k], earlier[k])])
-                found = [common_blocks(lines, 2 * k, 2 * k + 1, min_words) for k in range(b - a)]
-                keep = [(rids[a + k], f) for k, f in enumerate(found) if f]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in keep], pa.int64()), pa.array([f for _, f in keep], pa.list_(pa.list_(pa.int64())))], names=["rid", "ranges"])
+            rids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts, wanted = batch.column(2).to_pylist(), batch.column(3)
+            for a, b in blocks(texts):
+                found = Windows(texts[a:b], size)
+                stops = np.searchsorted(found.owner, np.arange(b - a + 1))
+                at = np.concatenate([i + np.flatnonzero(np.isin(found.marks[i:j], wanted[a + k].values.to_numpy()))
+                                     for k, (i, j) in enumerate(zip(stops[:-1], stops[1:]))])
+                owner = a + found.owner[at]
+                yield pa.RecordBatch.from_arrays([pa.array(rids[owner]), pa.array(keys[owner]), pa.array(found.marks[at]), pa.array(found.hashes()[at]), pa.array(found.at[at], pa.int64())],
+                                                 names=["rid", "key", "mark", "hash", "at"])
 
-    return wide.mapInArrow(run, "rid long, ranges array<array<long>>")
+    return rows.select("rid", "key", "text", "marks").mapInArrow(run, "rid long, key long, mark long, hash long, at long")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``; later repeats of common blocks are deleted from the text."""
+    """All rows and columns of ``docs``; later repeats of common passages are deleted from the text."""
     columns = docs.columns
     rows_in = numbered_buckets(docs)
     rows = rows_in.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
-    path = scratch_path(spark, "lines-hashes")
-    _line_rows(rows).write.options(**SCRATCH).parquet(path)
-    lines = spark.read.parquet(path)
-    shared = (lines.groupBy("hash").agg(F.min(F.struct("key", "rid")).alias("head"), F.count("*").alias("n"))
-              .where("n > 1").select("hash", "head"))
-    shared = materialise(shared, "lines-shared")
+    path = scratch_path(spark, "lines-marks")
+    _mark_rows(rows, min_words).write.options(**SCRATCH).parquet(path)
+    marks = spark.read.parquet(path)
+    shared = materialise(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "lines-shared")
+    drop_shuffles(spark)
+    wanted = materialise(marks.join(shared, "mark").groupBy("rid").agg(F.collect_list("mark").alias("marks")), "lines-wanted")
+    remove_scratch(spark, path)
+    drop_shuffles(spark)
+    path = scratch_path(spark, "lines-windows")
+    _window_rows(rows.join(wanted, "rid"), min_words).write.options(**SCRATCH).parquet(path)
     drop_shuffles(spark)
-    pairs = (lines.join(shared, "hash").where(F.col("rid") != F.col("head.rid"))
-             .groupBy("rid", F.col("head.rid").alias("source")).agg(F.sum("words").alias("words"))
-             .where(F.col("words") >= SHARED_WORDS).select("rid", "source"))
-    pairs = materialise(pairs, "lines-pairs")
-    remove_scratch(spark, path)  # as large as the texts, and read no more
+    windows = spark.read.parquet(path)
+    heads = (windows.groupBy("mark", "hash").agg(F.min(F.struct("key", "rid")).alias("head"), F.count("*").alias("n"))
+             .where("n > 1").select("mark", "hash", F.col("head.rid").alias("source")))
+    heads = materialise(heads, "lines-heads")
     drop_shuffles(spark)
-    found = (_overlaps(rows, pairs, min_words).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
-             .select(F.col("rid").alias("_rid"), "_ranges"))
+    found = (windows.join(heads, ["mark", "hash"]).where(F.col("rid") != F.col("source"))
+             .groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("at").alias("_starts")))
     found = materialise(found, "lines-found")
+    remove_scratch(spark, path)
     drop_shuffles(spark)
-    out = rows_in.join(found, "_rid", "left").select(*columns, "_ranges")
+    out = rows_in.join(found, "_rid", "left").select(*columns, "_starts")
     at, n = columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            hit = [i for i, r in enumerate(batch.column(n).to_pylist()) if r]
-            ranges = batch.column(n)
+            texts, starts = batch.column(at).to_pylist(), batch.column(n)
+            hit = [i for i in range(len(texts)) if starts[i].is_valid]
             for a, b in blocks([texts[i] for i in hit]):
                 words = Words([texts[i] for i in hit[a:b]])
                 for k, i in enumerate(hit[a:b]):
-                    texts[i] = cut(texts[i], _merged(ranges[i].as_py()), words, k)
+                    texts[i] = cut(texts[i], _ranges(starts[i].values.to_numpy(), min_words), words, k)
             made = list(batch.columns[:n])
             made[at] = pa.array(texts, made[at].type)
             yield pa.RecordBatch.from_arrays(made, names=columns)

@@ -161,3 +161,38 @@ def test_buckets_are_joined_without_a_shuffle_of_the_texts(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     assert not [t.name for t in spark.catalog.listTables()]
     assert numbered_buckets(docs(spark, empty=True)).count() == 0
+
+
+def brute_windows(items, n=50):
+    """Words of each text without those of windows that an earlier document has."""
+    seen, out = set(), []
+    for _, text in items:
+        w = WORD.findall(text)
+        low, mine, gone = [lower(x) for x in w], set(), set()
+        for i in range(len(w) - n + 1):
+            window = tuple(low[i:i + n])
+            mine.add(window)
+            if window in seen:
+                gone.update(range(i, i + n))
+        seen |= mine
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def left_of(spark, texts):
+    items = list(enumerate(texts))
+    got = collect(lines.dedup_lines(spark, spark.createDataFrame(items, "doc_id long, text string").repartition(3)))
+    left = [WORD.findall(g["text"]) for g in sorted(got, key=lambda g: g["doc_id"])]
+    assert left == brute_windows(items)
+    return left
+
+
+def test_passages_are_found_behind_a_first_document_with_parts_of_them(spark):
+    texts, alone = [], []
+    for s in range(40):
+        passage = words(1000 + s, 60)
+        parts = passage[:28] + ["changed"] + passage[30:]
+        around = [words(2000 + 10 * s + i, 40) for i in range(6)]
+        texts += [" ".join(a + x + b) for a, x, b in zip(around[::2], (parts, passage, passage), around[1::2])]
+        alone.append(around[4] + around[5])
+    assert left_of(spark, texts)[2::3] == alone
