@@ -196,3 +196,14 @@ def test_passages_are_found_behind_a_first_document_with_parts_of_them(spark):
         texts += [" ".join(a + x + b) for a, x, b in zip(around[::2], (parts, passage, passage), around[1::2])]
         alone.append(around[4] + around[5])
     assert left_of(spark, texts)[2::3] == alone
+
+
+def test_passages_that_come_twice_or_in_another_order(spark):
+    a, b, c = words(31, 70), words(32, 80), words(33, 60)
+    around = [words(40 + i, 30) for i in range(12)]
+    texts = [a + around[0] + b, around[1] + b + around[2] + a + around[3],  # swapped
+             around[4] + c + around[5], c + around[6] + c,  # twice in the later one
+             around[7] + a + around[8] + a + around[9] + b + around[10] + b]
+    left = left_of(spark, [" ".join(t) for t in texts])
+    assert left[1] == around[1] + around[2] + around[3] and left[3] == around[6]
+    assert left[4] == around[7] + around[8] + around[9] + around[10]
