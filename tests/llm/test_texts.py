@@ -207,3 +207,15 @@ def test_passages_that_come_twice_or_in_another_order(spark):
     left = left_of(spark, [" ".join(t) for t in texts])
     assert left[1] == around[1] + around[2] + around[3] and left[3] == around[6]
     assert left[4] == around[7] + around[8] + around[9] + around[10]
+
+
+def test_passages_in_lines_of_any_length(spark):
+    texts, alone = [], []
+    for s in range(200):
+        passage, around = " ".join(words(5000 + s, 50)), [" ".join(words(6000 + 4 * s + i, 40)) for i in range(4)]
+        texts += [f"{a} {passage} {b}" for a, b in zip(around[::2], around[1::2])]
+        alone.append(WORD.findall(around[2] + " " + around[3]))
+    short = words(7, 90)
+    texts += ["\n".join(short), " ".join(words(71, 20)) + "\n" + "\n".join(short) + "\n" + " ".join(words(72, 20))]
+    alone.append(words(71, 20) + words(72, 20))
+    assert left_of(spark, texts)[1::2] == alone
