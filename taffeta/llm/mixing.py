@@ -97,11 +97,12 @@ def last_round(p: np.ndarray, size: np.ndarray, seed: str) -> np.ndarray:
     return landing(flying, size)
 
 
-def _round(rows: DataFrame, last: bool, number: int, seed: int) -> DataFrame:
+def _round(rows: DataFrame, number: int, seed: int) -> DataFrame:
+    """A source that has one block left is settled, whatever the others have."""
     def run(key, pdf):
         pdf = pdf.sort_values(["_size", "_id", "_row"], ascending=[False, True, True], kind="stable")
         size = pdf["_size"].to_numpy()
-        move = last_round if last else flight
+        move = last_round if pdf["_blocks"].iloc[0] <= 1 else flight
         return pdf.assign(_p=move(pdf["_p"].to_numpy(), size, f"{seed}:{number}:{key[0]}:{key[1]}"))
 
     return rows.groupBy("_rank", "_block").applyInPandas(run, rows.schema)
@@ -125,16 +126,17 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     rows = (rows.join(known, rows["_source"].eqNullSafe(known["_s"]))
             .withColumn("_whole", F.floor(due).cast("int")).withColumn("_p", due - F.floor(due))
             .withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_row"), F.col("_blocks")).cast("int"))
-            .drop("_s", "_source", "_blocks"))
+            .drop("_s", "_source"))
     most, number, parts = max((-(-r[2] // BLOCK) for r in found), default=1), 0, []
     while True:
-        done = materialise(_round(rows, most <= 1, number, seed), f"mix-round{number}")
+        done = materialise(_round(rows, number, seed), f"mix-round{number}")
         if most <= 1:
             parts.append(done)
             break
         left = (F.col("_p") > 0) & (F.col("_p") < 1)
         parts.append(done.where(~left))
-        rows = done.where(left).withColumn("_block", F.floor(F.col("_block") / FAN_IN).cast("int"))
+        rows = (done.where(left).withColumn("_block", F.floor(F.col("_block") / FAN_IN).cast("int"))
+                .withColumn("_blocks", F.ceil(F.col("_blocks") / FAN_IN).cast("int")))
         most, number = -(-most // FAN_IN), number + 1
     settled = parts[0]
     for x in parts[1:]:

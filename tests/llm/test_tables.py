@@ -41,6 +41,23 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     assert all(abs(g["taken"] - g["target"]) <= 0.01 * g["target"] + 5 for g in collect(got))
 
 
+def test_small_sources_beside_a_large_one_come_near_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rng = np.random.default_rng(5)
+    sizes = [("big", int(n)) for n in rng.integers(20, 200, 1500)]
+    for i in range(8):
+        sizes += [(f"small{i}", int(n)) for n in [*rng.integers(20, 200, 35), 900]]
+    table = spark.createDataFrame([(i, s, n, i) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, size long, row long")
+    got = collect(mixing.copies(table, weights=(20,) + (1,) * 8, share=0.5))
+    assert len(got) == len(sizes)
+    taken, target = {}, {}
+    for g in got:
+        source = sizes[g["doc_id"]][0]
+        taken[source], target[source] = taken.get(source, 0) + g["size"] * g["copies"], g["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     walk = grid[np.argsort(hilbert.keys(grid, 3))]
