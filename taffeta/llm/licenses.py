@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 The rules are regular expressions, each with a label, a priority and a keyword. A rule runs only on
-texts that hold its keyword. Overlapping detections are resolved in order of priority, then length:
+texts that hold its keyword. Both see each run of white space as one space, so that a notice may be
+wrapped or spaced anyhow. Overlapping detections are resolved in order of priority, then length:
 a detection inside the interval of one already kept goes. Offsets are code points of the text,
 ``end`` exclusive; letters A-Z match in either case.
 
@@ -11,6 +12,7 @@ No shuffle; each text is read once, whole, and rows are kept as they come.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,17 +148,37 @@ def ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+_SPACE, _UNFOLDED = re.compile(r"\s+"), re.compile(r"[^\S ]|\s\s")
+
+
+def _unfold(low: str, found: list) -> list:
+    """The same detections with their offsets in the text before its white space was folded."""
+    begins, shifts, shift = [0], [0], 0
+    for m in _SPACE.finditer(low):
+        if m.end() - m.start() > 1:
+            begins.append(m.start() - shift + 1)
+            shift += m.end() - m.start() - 1
+            shifts.append(shift)
+
+    def back(i):
+        return i + shifts[bisect.bisect_right(begins, i) - 1]
+
+    return [(label, back(start), back(end - 1) + 1, priority) for label, start, end, priority in found]
+
+
 def detect(low: str) -> list[tuple[str, int, int, int]]:
     """(label, start, end, priority) of what is kept, by start."""
     found = []
+    folded = _SPACE.sub(" ", low) if _UNFOLDED.search(low) else low
     for keyword, group in _by_keyword().items():
-        if keyword in low:
+        if keyword in folded:
             for rule, pattern in group:
-                found += [(rule.label, m.start(), m.end(), rule.priority) for m in pattern.finditer(low)]
+                found += [(rule.label, m.start(), m.end(), rule.priority) for m in pattern.finditer(folded)]
+    if len(folded) < len(low):
+        found = _unfold(low, found)
     found.sort(key=lambda d: (-d[3], d[1] - d[2], d[1], d[0]))
     kept: list[tuple[str, int, int, int]] = []
     reach: list[tuple[int, int]] = []  # kept intervals by start, none inside another
-    import bisect
     for d in found:
         i = bisect.bisect_right(reach, (d[1], 1 << 60))
         if i and reach[i - 1][1] >= d[2]:

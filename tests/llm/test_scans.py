@@ -110,3 +110,17 @@ def test_language_of_pages(spark):
     assert collect(language.identify(spark, pages.limit(0), d)) == []
     assert {g["lang"] for g in collect(language.identify(spark, odd, d.limit(0)))} == {None}
     assert language.address("https://u@www.a.example.org:80/de/x?y") == ("www.a.example.org", "example.org", "org/de")
+
+
+def test_wrapped_and_double_spaced_notices():
+    for notice in ["gnu general public license, version 2", "all rights reserved", "gnu affero general public license, version 2",
+                   "creative commons attribution-sharealike 4.0", "permission is hereby granted, free of charge",
+                   "gnu free documentation license 1.2", "open software license v3.0", "the mit license", "copyright (c) 2001, 2003",
+                   "do what the fuck you want to public license", "eclipse public license 2.0", "in the public domain"]:
+        plain = licenses.detect(f"so: {notice} .")
+        assert plain
+        for gap in ("\n", "  ", " \r\n\t "):
+            text = f"so:{gap}{notice.replace(' ', gap)}{gap}."
+            got = licenses.detect(text)
+            assert [(d[0], d[3]) for d in got] == [(d[0], d[3]) for d in plain]
+            assert [" ".join(text[d[1]:d[2]].split()) for d in got] == [f"so: {notice} ."[d[1]:d[2]] for d in plain]
