@@ -65,7 +65,8 @@ class Windows:
 
 
 def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Patience: positions of the lines that are unique in both, the longest run rising in both."""
+    """Patience: positions of the lines that are unique in both, the longest run rising in both.
+    ``dedup_lines`` doesn't use it, as it finds passages in any order."""
     def unique(x):
         seen: dict[int, int] = {}
         for i, h in enumerate(x):
