@@ -96,3 +96,27 @@ def op3(spark, sf_dir):
 def op5(spark, sf_dir):
     from taffeta.llm.neighbours import search
     return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_search"] = r"""
+with t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+sizes as (select doc_id, len(ts) as n from t where len(ts) > 0),
+totals as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from t) group by doc_id, term),
+df as (select term, count(*) as df from tf group by term),
+asked as (select item_id, term, count(*) as times from (select item_id,
+            unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by item_id, term),
+scored as (select item_id, doc_id, sum(times * cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double)) as bigint)
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::bigint as score
+           from asked join df using (term) join tf using (term) join sizes using (doc_id), totals group by item_id, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score from (select *,
+  row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
+
+
+@query("op12_search")
+def op12(spark, sf_dir):
+    from taffeta.llm.search import search
+    return search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
