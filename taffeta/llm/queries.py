@@ -120,3 +120,9 @@ select item_id, cast(rank as integer) as rank, doc_id, score from (select *,
 def op12(spark, sf_dir):
     from taffeta.llm.search import search
     return search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spans")
+def op13(spark, sf_dir):
+    from taffeta.llm.spans import dedup_spans
+    return dedup_spans(spark, table(spark, sf_dir, "documents"), texts=False)

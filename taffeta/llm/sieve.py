@@ -11,13 +11,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 #: Bits of a table: 4 MB.
 BITS = 1 << 25
 _BLOCK = 15
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def _packed(slots):
     import pandas as pd
     out = []
