@@ -126,3 +126,29 @@ def op12(spark, sf_dir):
 def op13(spark, sf_dir):
     from taffeta.llm.spans import dedup_spans
     return dedup_spans(spark, table(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLES["op11_phrases"] = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+grams as (select lang, size, array_to_string(ws[i:i + size - 1], ' ') as phrase
+    from (select lang, ws, size, unnest(range(1, len(ws) - size + 2)) as i from w, range(1, 6) s(size))),
+f as (select lang, phrase, size, count(*) as a from grams group by all having count(*) >= 100),
+sizes as (select lang, sum(len(ws))::bigint as n from w group by lang),
+kept as (select * from f where size > 1 and not exists (select 1 from f g where g.lang = f.lang and g.size > f.size and g.a >= f.a
+    and contains(' ' || g.phrase || ' ', ' ' || f.phrase || ' '))),
+cuts as (select *, string_split(phrase, ' ') as ws from (select *, unnest(range(1, size)) as k from kept)),
+scored as (select c.lang, c.phrase, c.k, c.a, l.a as l, r.a as r, n, (1000::hugeint * c.a * n) // (l.a::hugeint * r.a) as score
+    from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(ws[1:k], ' ')
+    join f r on r.lang = c.lang and r.phrase = array_to_string(ws[k + 1:], ' ') join sizes on sizes.lang = c.lang),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from (select *,
+    row_number() over (partition by lang order by score desc, a desc, phrase) as rank from weakest) where rank <= 2000
+"""
+
+
+@query("op11_phrases")
+def op11(spark, sf_dir):
+    from taffeta.llm.phrases import collocations
+    return collocations(spark, table(spark, sf_dir, "documents"))
