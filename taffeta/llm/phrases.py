@@ -1,18 +1,19 @@
 """Phrase collocations by stripes.
 
-A stripe belongs to a prefix of words and counts the words that follow it, with a rest for the places
-where none does that can matter. Tasks emit the stripes of their blocks of text, one row for each
-prefix; the rows of a prefix are merged elementwise. A merged stripe gives the counts of the prefix's
-extensions, the prefix's own total and, as its largest count, whether an extension is as frequent as
-the prefix, which subsumes it.
+A stripe belongs to a prefix of words and counts the words that follow it. Tasks emit the stripes of
+their blocks of text, those of a bucket of prefixes as one row; the rows of a bucket are merged
+elementwise. A merged stripe gives the counts of the prefix's extensions, which are the totals of the
+prefixes one word longer, and its largest count tells whether an extension is as frequent as the
+prefix, which subsumes it.
 
 Stripes are built level by level, from the empty prefix (whose stripe is the vocabulary) to prefixes of
 one word less than the longest phrase. A phrase as frequent as ``least`` has only such parts, so a
 level looks at places where both parts of a phrase passed the level before. What passed is folded
 into a table of bits of fixed size (``sieve``), which saves work and decides nothing.
 
-The stripe of a prefix of ``HOT`` places or more, and the vocabulary, is cut into ``PARTS`` by the hash of the
-following word, so that it is merged in many tasks. A merging task holds one part of one stripe.
+There is a bucket for each ``BUCKET_WORDS`` words of the corpus, so a bucket stays as large as it is when
+the corpus grows. The stripe of a prefix of ``HOT`` places or more, and the vocabulary, is cut into
+parts by the hash of the following word. A merging task holds one part of one bucket.
 
 Scores are exact: products are decimals of 38 digits, which a, n up to 10**17 fit.
 
@@ -36,7 +37,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from taffeta.llm import sieve, vocab
-from taffeta.llm.hashing import Words
+from taffeta.llm.hashing import Words, mix
 from taffeta.session import materialise
 
 LEAST = 100
@@ -44,6 +45,9 @@ LONGEST = 5
 TOP = 2000
 HOT = 100_000
 PARTS = 64
+#: Parts of the vocabulary, and words of the corpus for each bucket of longer prefixes.
+VOCABULARY_PARTS = 256
+BUCKET_WORDS = 1 << 18
 BLOCK_BYTES = 8 << 20
 #: Entries of stripes that are merged at once.
 ENTRIES = 200_000
@@ -53,9 +57,11 @@ _BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD_BYTES = ~_BREAKS
 _WORD_BYTES[[32, 9]] = False
 
-STRIPES = "lang string, prefix string, part int, next string, counts array<long>, rest long"
-MERGED = "lang string, prefix string, part int, next array<string>, counts array<long>, total long, top long"
-_KEY = ["lang", "prefix", "part"]
+STRIPES = "lang string, bucket int, part int, prefixes string, sizes array<int>, next string, counts array<long>"
+MERGED = "lang string, prefix string, next array<string>, counts array<long>, total long, top long"
+_KEY = ["lang", "bucket", "part"]
+_STRIPES = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("prefixes", pa.string()),
+                      ("sizes", pa.list_(pa.int32())), ("next", pa.string()), ("counts", pa.list_(pa.int64()))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list]]:
@@ -76,151 +82,153 @@ def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
 
 
-def _block_stripes(langs: list[str], texts: list, level: int, frequent, hot) -> pa.RecordBatch | None:
+def _rows(keys: list[pa.Array], row: np.ndarray, prefix: np.ndarray, prefixes: pa.Array, following: np.ndarray, words: pa.Array,
+          counts: np.ndarray) -> pa.RecordBatch:
+    """Entries, sorted by row and then by prefix, as stripes; ``keys`` has an item for each row."""
+    runs = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(prefix, prepend=-1) != 0))
+    cuts, run_cuts = (np.searchsorted(x, np.arange(len(keys[0]) + 1)) for x in (row, row[runs]))
+    sizes = np.diff(np.append(runs, len(row))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([
+        *(k.cast(f.type) for k, f in zip(keys, _STRIPES)),
+        pc.binary_join(_lists(prefixes.take(pa.array(prefix[runs])), run_cuts), "\n"), _lists(pa.array(sizes), run_cuts),
+        pc.binary_join(_lists(words.take(pa.array(following)), cuts), " "), _lists(pa.array(counts.astype(np.int64)), cuts)], schema=_STRIPES)
+
+
+def _block_stripes(langs: list[str], texts: list, level: int, buckets: int, frequent, hot) -> pa.RecordBatch | None:
     words = Words(texts, _WORD_BYTES)
     codes, distinct = vocab.coded(words)
     m, v = len(codes), len(distinct)
-    if m <= max(level - 1, 0):
+    if m <= level:
         return None
     distinct = distinct.cast(pa.string())
     hashes = vocab.hashes(distinct)
     names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
     doc = vocab.doc_of(words)
     lang = lang_of[doc]
-    piece = np.searchsorted(np.flatnonzero(_BREAKS[words.data]), words.starts) + doc
     if level:
+        piece = np.searchsorted(np.flatnonzero(_BREAKS[words.data]), words.starts) + doc
         at = np.flatnonzero(piece[: m - level + 1] == piece[level - 1 :])
         hashed = np.array([xxhash.xxh3_64_intdigest(x) for x in names], np.uint64)[lang[at]]
         for j in range(level):
             hashed = vocab.follow(hashed, hashes[codes[at + j]])
         use = sieve.passes(frequent, hashed)
         at, hashed = at[use], hashed[use]
-        if not len(at):
-            return None
         begins = np.zeros(m + 1, bool)
         begins[at] = True
         after = np.minimum(at + level, m - 1)
-        goes_on = (at + level < m) & (piece[after] == piece[at]) & begins[at + 1]
-        part = np.where(sieve.passes(hot, hashed) & goes_on, hashes[codes[after]] % np.uint64(PARTS), 0).astype(np.int64)
+        use = np.flatnonzero((at + level < m) & (piece[after] == piece[at]) & begins[at + 1])
+        at, hashed = at[use], hashed[use]
+        if not len(at):
+            return None
     else:
-        at = after = np.arange(m)
-        goes_on = np.ones(m, bool)
-        part = (hashes[codes] % np.uint64(PARTS)).astype(np.int64)
+        at, hashed = np.arange(m), np.zeros(m, np.uint64)
     prefix = lang[at]
     for j in range(level):
-        _, prefix = np.unique(prefix * v + codes[at + j], return_inverse=True)
-    _, place, cell = np.unique(prefix * PARTS + part, return_index=True, return_inverse=True)
-    entries, counts = np.unique(cell * (v + 1) + np.where(goes_on, codes[after], v), return_counts=True)
-    cell, following = np.divmod(entries, v + 1)
-    real = following < v
-    rest = np.zeros(len(place), np.int64)
-    rest[cell[~real]] = counts[~real]
-    cuts = np.searchsorted(cell[real], np.arange(len(place) + 1))
-    start = at[place]
-    parts = [distinct.take(pa.array(codes[start + j])) for j in range(level)]
-    return pa.RecordBatch.from_arrays([
-        pa.array(names[lang[start]], pa.string()),
-        pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(place)),
-        pa.array(part[place], pa.int32()),
-        pc.binary_join(_lists(distinct.take(pa.array(following[real])), cuts), " "),
-        _lists(pa.array(counts[real].astype(np.int64)), cuts),
-        pa.array(rest),
-    ], names=[f.split()[0] for f in STRIPES.split(", ")])
-
-
-def stripes(docs: DataFrame, level: int, frequent=None, hot=None) -> DataFrame:
+        prefix = prefix * v + codes[at + j]
+        if j:
+            _, prefix = np.unique(prefix, return_inverse=True)
+    _, place, prefix = np.unique(prefix, return_index=True, return_inverse=True)
+    entries, counts = np.unique(prefix * v + codes[at + level], return_counts=True)
+    prefix, following = np.divmod(entries, v)
+    start, hashed = at[place], hashed[place]
+    if level:
+        bucket = (mix(hashed) % np.uint64(buckets)).astype(np.int64)
+        part = np.where(sieve.passes(hot, hashed)[prefix], hashes[following] % np.uint64(PARTS), 0).astype(np.int64)
+        prefixes = pc.binary_join_element_wise(*[distinct.take(pa.array(codes[start + j])) for j in range(level)], " ")
+    else:
+        bucket, part = np.zeros(len(place), np.int64), (hashes[following] % np.uint64(VOCABULARY_PARTS)).astype(np.int64)
+        prefixes = pa.array([""] * len(place))
+    key = (lang[start][prefix], bucket[prefix], part)
+    order = np.lexsort((prefix, *key[::-1]))
+    key = [k[order] for k in key]
+    begins = np.flatnonzero(reduce(np.logical_or, [np.diff(k, prepend=-1) != 0 for k in key]))
+    row = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+    keys = [pa.array(names[key[0][begins]], pa.string()), pa.array(key[1][begins]), pa.array(key[2][begins])]
+    return _rows(keys, row, prefix[order], prefixes, following[order], distinct, counts[order])
+
+
+def stripes(docs: DataFrame, level: int, buckets: int = 1, frequent=None, hot=None) -> DataFrame:
     """The stripes of prefixes of ``level`` words in blocks of ``docs`` (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _blocks(batches):
-            out = _block_stripes(langs, texts, level, frequent, hot)
+            out = _block_stripes(langs, texts, level, buckets, frequent, hot)
             if out is not None:
                 yield out
 
     return docs.mapInArrow(run, STRIPES)
 
 
-def _elementwise(rows: pa.Table) -> pa.Table:
-    """One row for each run of rows of one key; its counts are the sums of theirs, word by word."""
-    rows = rows.combine_chunks()
-    keys = [rows.column(c) for c in _KEY]
-    new = np.ones(len(rows), bool)
-    new[1:] = reduce(np.logical_or, [pc.not_equal(k.slice(1), k.slice(0, len(rows) - 1)).to_numpy() for k in keys])
-    group = np.cumsum(new) - 1
-    begins = np.flatnonzero(new)
-    rest = np.add.reduceat(rows.column("rest").to_numpy(), begins)
-    sizes = pc.list_value_length(rows.column("counts")).to_numpy()
-    full = rows.filter(pa.array(sizes > 0))
-    flat = pc.list_flatten(pc.split_pattern(full.column("next"), " ")).combine_chunks()
-    table = flat.dictionary_encode()
-    code = table.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = pc.list_flatten(full.column("counts")).to_numpy()
-    width = max(len(table.dictionary), 1)
-    entry = np.repeat(group, sizes) * width + code
-    order = np.argsort(entry, kind="stable")
-    entry = entry[order]
-    firsts = np.flatnonzero(np.diff(entry, prepend=-1))
-    sums = np.add.reduceat(counts[order], firsts) if len(firsts) else np.zeros(0, np.int64)
-    group, code = np.divmod(entry[firsts], width)
-    cuts = np.searchsorted(group, np.arange(len(begins) + 1))
-    at = pa.array(begins)
-    return pa.table({**{c: k.take(at) for c, k in zip(_KEY, keys)}, "words": _lists(table.dictionary.take(pa.array(code)), cuts),
-                     "counts": _lists(pa.array(sums), cuts), "rest": pa.array(rest)})
+class _Merged:
+    """Rows of stripes, sorted by key, merged word by word: the sums of the rows of each key."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        keys = [rows.column(c).combine_chunks() for c in _KEY]
+        new = np.ones(len(rows), bool)
+        new[1:] = reduce(np.logical_or, [pc.not_equal(k.slice(1), k.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False) for k in keys])
+        group = np.cumsum(new) - 1
+        self.keys = [k.take(pa.array(np.flatnonzero(new))) for k in keys]
+        of_row = pc.list_value_length(rows.column("sizes")).to_numpy()
+        sizes = pc.list_flatten(rows.column("sizes")).to_numpy()
+        named, self.prefixes = self._coded(pc.split_pattern(rows.column("prefixes"), "\n"))
+        code, self.words = self._coded(pc.split_pattern(rows.column("next"), " "))
+        runs, run = np.unique(np.repeat(group, of_row) * len(self.prefixes) + named, return_inverse=True)
+        entries, entry = np.unique(np.repeat(run, sizes) * len(self.words) + code, return_inverse=True)
+        self.counts = np.zeros(len(entries), np.int64)
+        np.add.at(self.counts, entry, pc.list_flatten(rows.column("counts")).to_numpy())
+        run, self.word = np.divmod(entries, len(self.words))
+        self.group, self.prefix = np.divmod(runs[run], len(self.prefixes))
+
+    @staticmethod
+    def _coded(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        table = pc.list_flatten(lists).combine_chunks().dictionary_encode()
+        return table.indices.to_numpy(zero_copy_only=False).astype(np.int64), table.dictionary
+
+    def last(self) -> pa.RecordBatch:
+        """The last key's stripes, as a row that can be merged again."""
+        at = np.flatnonzero(self.group == len(self.keys[0]) - 1)
+        return _rows([k.slice(len(k) - 1) for k in self.keys], np.zeros(len(at), np.int64), self.prefix[at], self.prefixes,
+                     self.word[at], self.words, self.counts[at])
+
+    def finished(self, all_of_them: bool, least: int) -> Iterator[pa.RecordBatch]:
+        """The stripes of all keys, or of all but the last."""
+        n = len(self.group) if all_of_them else int(np.searchsorted(self.group, len(self.keys[0]) - 1))
+        if not n:
+            return
+        group, prefix, counts = self.group[:n], self.prefix[:n], self.counts[:n]
+        begins = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(prefix, prepend=-1) != 0))
+        row = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+        keep = np.flatnonzero(counts >= least)
+        cuts = np.searchsorted(row[keep], np.arange(len(begins) + 1))
+        yield pa.RecordBatch.from_arrays([
+            self.keys[0].take(pa.array(group[begins])), self.prefixes.take(pa.array(prefix[begins])),
+            _lists(self.words.take(pa.array(self.word[:n][keep])), cuts), _lists(pa.array(counts[keep]), cuts),
+            pa.array(np.add.reduceat(counts, begins)), pa.array(np.maximum.reduceat(counts, begins))],
+            names=[f.split()[0] for f in MERGED.split(", ")])
 
 
 def merge(rows: DataFrame, least: int) -> DataFrame:
-    """The merged stripes: all that a prefix counts in ``total``, its largest count in ``top``, and the
-    words that come ``least`` times or more."""
-    names = [f.split()[0] for f in STRIPES.split(", ")]
-
-    def finished(merged: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not len(merged):
-            return
-        merged = merged.combine_chunks()
-        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(merged.column("counts")).to_numpy())])
-        counts = pc.list_flatten(merged.column("counts")).to_numpy()
-        row = np.repeat(np.arange(len(merged)), np.diff(cuts))
-        total = merged.column("rest").to_numpy().copy()
-        np.add.at(total, row, counts)
-        top = np.zeros(len(merged), np.int64)
-        np.maximum.at(top, row, counts)
-        keep = np.flatnonzero(counts >= least)
-        words = pc.list_flatten(merged.column("words")).combine_chunks().take(pa.array(keep))
-        cuts = np.searchsorted(row[keep], np.arange(len(merged) + 1))
-        yield pa.RecordBatch.from_arrays([*(merged.column(c).combine_chunks() for c in _KEY), _lists(words, cuts),
-                                          _lists(pa.array(counts[keep]), cuts), pa.array(total), pa.array(top)],
-                                         names=[f.split()[0] for f in MERGED.split(", ")])
+    """The merged stripes, whole or in parts: the words that come ``least`` times or more, the largest count
+    in ``top`` and the sum of all in ``total``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size = [], 0
-
-        def step(last: bool) -> tuple[list[pa.Table], pa.Table]:
-            merged = _elementwise(pa.concat_tables(pending))
-            if last:
-                return [], merged
-            # the key that the rows end with may go on in the next ones
-            tail = merged.slice(len(merged) - 1)
-            tail = tail.append_column("next", pc.binary_join(tail.column("words").combine_chunks(), " ")).select(names)
-            return [tail], merged.slice(0, len(merged) - 1)
-
         for batch in batches:
             if batch.num_rows:
-                pending.append(pa.Table.from_batches([batch]).select(names).cast(_arrow))
+                pending.append(pa.Table.from_batches([batch]).select(_STRIPES.names).cast(_STRIPES))
                 size += len(batch.column("counts").flatten())
             if size > ENTRIES:
-                pending, done = step(False)
-                size = 0
-                yield from finished(done)
+                merged = _Merged(pa.concat_tables(pending))
+                # the key that the rows end with may go on in the next ones
+                pending, size = [pa.Table.from_batches([merged.last()])], 0
+                yield from merged.finished(False, least)
         if pending:
-            yield from finished(step(True)[1])
+            yield from _Merged(pa.concat_tables(pending)).finished(True, least)
 
     return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, MERGED)
 
 
-_arrow = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.string()),
-                    ("counts", pa.list_(pa.int64())), ("rest", pa.int64())])
-
-
 @pandas_udf(LongType())
 def _phrase_hash(lang, phrase):
     import pandas as pd
@@ -244,9 +252,10 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, top:
     with the same count holds."""
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     frequent = hot = sizes = None
+    buckets = 1
     found, tops = [], []
     for level in range(longest):
-        merged = materialise(merge(stripes(docs, level, frequent, hot), least), f"stripes-{level}")
+        merged = materialise(merge(stripes(docs, level, buckets, frequent, hot), least), f"stripes-{level}")
         entries = merged.select("lang", "prefix", F.inline(F.arrays_zip("next", "counts")))
         phrase = F.concat_ws(" ", "prefix", "next") if level else F.col("next")
         entries = entries.select("lang", phrase.alias("phrase"), F.lit(level + 1).alias("words"), F.col("counts").alias("a"))
@@ -255,6 +264,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, top:
             tops.append(merged.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("top").alias("more")))
         else:
             sizes = merged.groupBy("lang").agg(F.sum("total").alias("n"))
+            buckets = 1 + (merged.agg(F.sum("total")).first()[0] or 0) // BUCKET_WORDS
         if level + 1 < longest:
             hashed = materialise(entries.select("a", _phrase_hash("lang", "phrase").alias("hash")), f"frequent-{level + 1}")
             frequent, hot = sieve.build(hashed, "hash"), sieve.build(hashed.where(F.col("a") >= HOT), "hash")

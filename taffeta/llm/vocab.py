@@ -22,8 +22,8 @@ def coded(words: Words, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     spans = pa.Array.from_buffers(pa.large_string(), 2 * m - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
     table = spans.dictionary_encode()
     codes = table.indices.to_numpy(zero_copy_only=False)[::2].astype(np.int64)
-    used, codes = np.unique(codes, return_inverse=True)
-    return codes, table.dictionary.take(pa.array(used))
+    used = np.bincount(codes, minlength=len(table.dictionary)) > 0  # the others stand between words only
+    return (np.cumsum(used) - 1)[codes], table.dictionary.filter(pa.array(used))
 
 
 def hashes(words: pa.Array) -> np.ndarray:
