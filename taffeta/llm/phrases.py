@@ -12,8 +12,8 @@ level looks at places where both parts of a phrase passed the level before. What
 into a table of bits of fixed size (``sieve``), which saves work and decides nothing.
 
 There is a bucket for each ``BUCKET_WORDS`` words of the corpus, so a bucket stays as large as it is when
-the corpus grows. The stripe of a prefix of ``HOT`` places or more, and the vocabulary, is cut into
-parts by the hash of the following word. A merging task holds one part of one bucket.
+the corpus grows. The stripe of a prefix of ``HOT`` places or more, and the vocabulary, is spread over
+all buckets by the hash of the following word. A merging task holds one bucket.
 
 Scores are exact: products are decimals of 38 digits, which a, n up to 10**17 fit.
 
@@ -44,9 +44,8 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 HOT = 100_000
-PARTS = 64
-#: Parts of the vocabulary, and words of the corpus for each bucket of longer prefixes.
-VOCABULARY_PARTS = 256
+#: Buckets of the vocabulary, and words of the corpus for each bucket of longer prefixes.
+VOCABULARY_BUCKETS = 256
 BUCKET_WORDS = 1 << 18
 BLOCK_BYTES = 8 << 20
 #: Entries of stripes that are merged at once.
@@ -57,10 +56,10 @@ _BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD_BYTES = ~_BREAKS
 _WORD_BYTES[[32, 9]] = False
 
-STRIPES = "lang string, bucket int, part int, prefixes string, sizes array<int>, next string, counts array<long>"
+STRIPES = "lang string, bucket int, prefixes string, sizes array<int>, next string, counts array<long>"
 MERGED = "lang string, prefix string, next array<string>, counts array<long>, total long, top long"
-_KEY = ["lang", "bucket", "part"]
-_STRIPES = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("prefixes", pa.string()),
+_KEY = ["lang", "bucket"]
+_STRIPES = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("prefixes", pa.string()),
                       ("sizes", pa.list_(pa.int32())), ("next", pa.string()), ("counts", pa.list_(pa.int64()))])
 
 
@@ -131,19 +130,19 @@ def _block_stripes(langs: list[str], texts: list, level: int, buckets: int, freq
     entries, counts = np.unique(prefix * v + codes[at + level], return_counts=True)
     prefix, following = np.divmod(entries, v)
     start, hashed = at[place], hashed[place]
+    following_hash = hashes[following]
     if level:
-        bucket = (mix(hashed) % np.uint64(buckets)).astype(np.int64)
-        part = np.where(sieve.passes(hot, hashed)[prefix], hashes[following] % np.uint64(PARTS), 0).astype(np.int64)
+        spread = sieve.passes(hot, hashed)[prefix]
+        bucket = mix(np.where(spread, vocab.follow(hashed[prefix], following_hash), hashed[prefix])) % np.uint64(buckets)
         prefixes = pc.binary_join_element_wise(*[distinct.take(pa.array(codes[start + j])) for j in range(level)], " ")
     else:
-        bucket, part = np.zeros(len(place), np.int64), (hashes[following] % np.uint64(VOCABULARY_PARTS)).astype(np.int64)
-        prefixes = pa.array([""] * len(place))
-    key = (lang[start][prefix], bucket[prefix], part)
+        bucket, prefixes = following_hash % np.uint64(VOCABULARY_BUCKETS), pa.array([""] * len(place))
+    key = (lang[start][prefix], bucket.astype(np.int64))
     order = np.lexsort((prefix, *key[::-1]))
     key = [k[order] for k in key]
     begins = np.flatnonzero(reduce(np.logical_or, [np.diff(k, prepend=-1) != 0 for k in key]))
     row = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
-    keys = [pa.array(names[key[0][begins]], pa.string()), pa.array(key[1][begins]), pa.array(key[2][begins])]
+    keys = [pa.array(names[key[0][begins]], pa.string()), pa.array(key[1][begins])]
     return _rows(keys, row, prefix[order], prefixes, following[order], distinct, counts[order])
 
 
@@ -209,7 +208,7 @@ class _Merged:
 
 
 def merge(rows: DataFrame, least: int) -> DataFrame:
-    """The merged stripes, whole or in parts: the words that come ``least`` times or more, the largest count
+    """The merged stripes, those of spread prefixes in parts: the words that come ``least`` times or more, the largest count
     in ``top`` and the sum of all in ``total``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

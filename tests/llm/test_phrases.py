@@ -56,7 +56,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("small", [False, True])
 def test_phrases_equal_brute_force(spark, monkeypatch, small):
     if small:
-        for name, value in (("HOT", 60), ("PARTS", 4), ("BLOCK_BYTES", 2000), ("ENTRIES", 50), ("BUCKET_WORDS", 500)):
+        for name, value in (("HOT", 60), ("VOCABULARY_BUCKETS", 4), ("BLOCK_BYTES", 2000), ("ENTRIES", 50), ("BUCKET_WORDS", 500)):
             monkeypatch.setattr(phrases, name, value)
     documents = corpus(1, 200)
     want = sorted(brute(documents, 12))
