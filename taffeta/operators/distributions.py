@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from taffeta.functions.generators import explode_rows, inline_rows
 
+from taffeta.operators.joins import heavy_join
 from taffeta.operators.strategies import PARAMS_TYPE, STRATEGIES
 
 CUM_TYPE = "decimal(38,15)"
@@ -147,3 +148,40 @@ def no_repeat_ngram(candidates: DataFrame, seqs: DataFrame, key: str, seq_col: s
     banned = explode_rows(seqs, [key], F.array_distinct(banned_arr), "token")
     kept = candidates.join(banned, [key, "token"], "left_anti")
     return _renorm(kept, [key], "count", "p")
+
+
+def banned_tokens(seqs: DataFrame, model: DataFrame, key: str, seq_col: str = "seq", size: int = 2) -> DataFrame:
+    """N8 at every place of every sequence, as what it changes in the shared model of contexts of
+    ``size`` - 1 tokens: (key, context, token, banned_after, count, remaining).
+
+    ``token`` is not to follow ``context`` at places after ``banned_after`` (in tokens), where the n-gram
+    stood first. There the model's other tokens have p = their count / ``remaining``, the context's total
+    without the counts of all that is banned so far; 0 remaining means that nothing is left to follow. Bans
+    of contexts that don't come again are left out, so the rows grow with the sequences' length, and
+    whatever the model holds for a context is never copied. One exchange brings a sequence's places
+    together, one more the bans to the model; a context of many sequences is broadcast.
+    """
+    m, n = size - 1, F.size(seq_col)
+    places = F.filter(F.sequence(F.lit(m), F.greatest(n, F.lit(m))), lambda j: j <= n)
+    rows = inline_rows(seqs, [key], F.transform(places, lambda j: F.struct(
+        j.alias("place"), F.array_join(F.slice(seq_col, j - m + 1, m), " ").alias("context"),
+        F.get(seq_col, j).alias("token"))))
+    first = rows.repartition(key).groupBy(key, "context", "token").agg(F.min("place").alias("banned_after"), F.max("place").alias("_last"))
+    first = first.withColumn("_last", F.max("_last").over(Window.partitionBy(key, "context")))
+    bans = first.where(F.col("token").isNotNull() & (F.col("banned_after") < F.col("_last"))).drop("_last")
+    known = heavy_join(bans, model.select("context", "token", "count", "total"), ["context", "token"])
+    so_far = Window.partitionBy(key, "context").orderBy("banned_after").rowsBetween(Window.unboundedPreceding, 0)
+    return known.withColumn("remaining", F.col("total") - F.sum("count").over(so_far)) \
+                .select(key, "context", "token", "banned_after", "count", "remaining")
+
+
+def allowed_next(model: DataFrame, bans: DataFrame, at: DataFrame, key: str) -> DataFrame:
+    """The distributions at given places (key, context, place): the context's tokens that are not banned
+    there, with p. For the places that are asked for; their contexts' tokens are copied."""
+    here = at.join(bans.select(key, "context", F.col("token").alias("_banned"), "banned_after", "count", "remaining"),
+                   [key, "context"], "left").where("banned_after is null or banned_after < place or _banned is null")
+    gone = here.groupBy(key, "context", "place").agg(F.collect_set("_banned").alias("_gone"), F.min("remaining").alias("_left"))
+    asked = at.join(gone, [key, "context", "place"], "left").join(model, "context")
+    kept = asked.where("_gone is null or not array_contains(_gone, token)")
+    p = F.col("count") / F.coalesce("_left", "total")
+    return kept.select(key, "context", "place", "token", "count", p.alias("p"))

@@ -13,6 +13,7 @@ from taffeta.plans.fixtures import duckdb_cte
 from taffeta.plans.fixtures import taf_records
 from taffeta.plans.registry import query
 from taffeta.plans.sqlparts import extract, split_ws
+from taffeta.session import materialise
 
 MODEL_BODY = PAIRS_BODY + f"""
 , norms as (select distinct array_to_string(w, ' ') as norm from w where len(w) > 1),
@@ -109,30 +110,25 @@ def q_shape_by_strategy(spark, sf_dir):
     return N.shape_by_strategy(taf_model(spark, sf_dir))
 
 
-_spec = "(<\\|pad\\|>|<\\|bos\\|>|<\\|eos\\|>)"
-
-
 RECS_MODEL = duckdb_cte(["taf_records"]) + MODEL_BODY
 
 
 @query("no_repeat_ngram", RECS_MODEL + f"""
-, fullseq as (select m.rec_id, ['{taf.BOS}'] || {split_ws("'TAF [' || m.tx || ' ' || m.tn || '] ' || replace(m.text, 'TAF ', '')")} as s
+, full_seqs as (select rec_id, ['{taf.BOS}'] || {split_ws("'TAF [' || tx || ' ' || tn || '] ' || replace(text, 'TAF ', '')")} as s
            from (select rec_id, text, {extract('text', taf.METADATA_TEMPS, 1)} as tx, {extract('text', taf.METADATA_TEMPS, 2)} as tn
-                 from taf_records) m where m.tx is not null),
-pr as (select rec_id, s[1:5 + (rec_id % (len(s) - 5))] as s from fullseq),
-cand as (select pr.rec_id, m.token, m.count from pr join model m on m.context = array_to_string(pr.s[len(pr.s)-1:len(pr.s)], ' ')),
-ban as (select distinct rec_id, s[j+1] as token from (select rec_id, s, unnest(range(1, len(s))) as j from pr)
-        where s[j] = s[len(s)]),
-kept as (select * from cand where (rec_id, token) not in (select (rec_id, token) from ban))
-select rec_id, token, count, count / sum(count) over (partition by rec_id) as p from kept
+                 from taf_records) m where tx is not null),
+model1 as (select s[j] as context, s[j+1] as token, count(*) as count, sum(count(*)) over (partition by s[j]) as total
+           from (select s, unnest(range(1, len(s))) as j from seqs) group by s[j], s[j+1]),
+places as (select rec_id, s[j] as context, s[j+1] as token, j from (select rec_id, s, unnest(range(1, len(s) + 1)) as j from full_seqs)),
+ends as (select rec_id, context, max(j) as last from places group by all),
+firsts as (select rec_id, context, token, min(j) as banned_after from places where token is not null group by all)
+select rec_id, context, token, cast(banned_after as integer) as banned_after, count,
+  cast(total - sum(count) over (partition by rec_id, context order by banned_after) as bigint) as remaining
+from firsts join ends using (rec_id, context) join model1 using (context, token) where banned_after < last
 """)
 def q_no_repeat_ngram(spark, sf_dir):
-    model = taf_model(spark, sf_dir)
+    """Every place of every whole record, against the model of single-token contexts."""
+    model = materialise(N.ngram_model(taf_seqs(spark, sf_dir), "seq", 1), "model")  # read for its weight and its keys
     recs = M.template_records(taf_records(spark, sf_dir))
-    seq = F.concat(F.array(F.lit(taf.BOS)), py_split_ws("templated"))
-    full = recs.select("rec_id", seq.alias("seq"))
-    cut = 5 + F.pmod(F.col("rec_id"), F.size("seq") - 5)
-    seqs = full.select("rec_id", F.slice("seq", F.lit(1), cut.cast("int")).alias("seq"))
-    ctx = F.array_join(F.slice("seq", F.size("seq") - 1, 2), " ")
-    cand = seqs.select("rec_id", ctx.alias("context")).join(model.select("context", "token", "count"), "context")
-    return N.no_repeat_ngram(cand.drop("context"), seqs, "rec_id", "seq", 2).select("rec_id", "token", "count", "p")
+    seqs = recs.select("rec_id", F.concat(F.array(F.lit(taf.BOS)), py_split_ws("templated")).alias("seq"))
+    return N.banned_tokens(seqs, model, "rec_id")

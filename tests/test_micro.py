@@ -170,3 +170,50 @@ def test_missing_input_raises(spark):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         spark.read.parquet("/nonexistent/taffeta/input").count()
+
+
+def _bans(spark, size):
+    seqs = spark.createDataFrame([(1, "a b a c a b".split()), (2, "x y".split()), (3, []), (4, "a a a".split()), (5, "a b a b".split())], "k long, seq array<string>")
+    model = N.ngram_model(seqs, "seq", size - 1)
+    return seqs, model, N.banned_tokens(seqs, model, "k", size=size)
+
+
+def test_bans_at_every_place_against_a_loop(spark):
+    for size in (2, 3):
+        seqs, model, bans = _bans(spark, size)
+        counts = {(r.context, r.token): (r["count"], r.total) for r in model.collect()}
+        want = []
+        for r in seqs.collect():
+            for end in range(size - 1, len(r.seq) + 1):
+                context, gone = r.seq[end - size + 1 : end], []
+                for i in range(size - 1, end):
+                    if r.seq[i - size + 1 : i] == context and r.seq[i] not in gone:
+                        gone.append(r.seq[i])
+                if gone:
+                    c = " ".join(context)
+                    left = counts[c, gone[0]][1] - sum(counts[c, g][0] for g in gone)
+                    want.append((r.k, c, end, sorted(gone), left))
+        held = bans.collect()
+        got = []
+        for k, c, end, _, _ in want:
+            here = [b for b in held if (b.k, b.context) == (k, c) and b.banned_after < end]
+            got.append((k, c, end, sorted(b.token for b in here), min(b.remaining for b in here)))
+        assert want and got == want
+        assert {(b.k, b.context, b.token) for b in held} == {(k, c, g) for k, c, _, gone, _ in want for g in gone}
+
+
+def test_distributions_where_tokens_are_banned(spark):
+    _, model, bans = _bans(spark, 2)
+    at = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "y", 2), (4, "a", 3)], "k long, context string, place int")
+    got = {(r.k, r.context, r.token): r.p for r in N.allowed_next(model, bans, at, "k").collect()}
+    # after "a": b four times, c once, a twice
+    assert got == {(1, "a", "a"): 1.0, (4, "a", "b"): 0.8, (4, "a", "c"): 0.2}
+
+
+def test_heavy_keys_join_like_others(spark):
+    from taffeta.operators.joins import heavy_join
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(300, None, 1)], "i long, w string, v long")
+    table = rows.where("w != 'k3'").groupBy("w").count().where("w is not null")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(table, ["w"], how).select("i", "count").collect()))
+        assert sorted(map(tuple, heavy_join(rows, table, ["w"], how=how, heavy=5).select("i", "count").collect())) == want
