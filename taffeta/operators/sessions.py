@@ -8,8 +8,11 @@ buckets only.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HOUR_US = 3_600_000_000
 
@@ -67,10 +70,124 @@ def debounce(events: DataFrame, key: str = "user_id", ts_col: str = "ts", value_
         "fire_ts", F.col("last_ts") + F.make_dt_interval(secs=F.lit(gap_ms / 1000.0)))
 
 
+def asks(shown: str | None, typed: str | None) -> bool:
+    """Whether typed text needs a new completion: none is shown, or it doesn't begin with the text."""
+    return not shown or not shown.startswith(typed or "")
+
+
+class Transition:
+    """What a run of events makes of whatever completion was shown before it.
+
+    A completion lives on while it begins with each typed text. Those that lived so far begin with the
+    longest text so far, so only a longer text, or one that differs from it, can end some of them: one entry
+    for each such text, with what is shown in the end if it ended there. The texts grow, so there are at
+    most as many entries as characters in the longest."""
+
+    def __init__(self):
+        self.entries: list[list] = []
+        self.closed = False
+
+    def add(self, typed: str | None, completion: str | None) -> None:
+        typed = typed or ""
+        for entry in self.entries:
+            if asks(entry[1], typed):
+                entry[1] = completion
+        longest = self.entries[-1][0] if self.entries else None
+        if not self.closed and (longest is None or not longest.startswith(typed)):
+            self.closed = longest is not None and not typed.startswith(longest)
+            self.entries.append([typed, completion])
+
+    @staticmethod
+    def apply(entries, shown: str | None) -> str | None:
+        for typed, then in entries:
+            if asks(shown, typed):
+                return then
+        return shown
+
+
+def _groups(batches, keys):
+    """Runs of rows with equal ``keys``, from batches of sorted rows, as (key, row) with a first-of-run flag."""
+    before = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            yield key, key != before, row
+            before = key
+
+
+def _typed_schema(df: DataFrame, columns: list[str], more: list[T.StructField]) -> T.StructType:
+    return T.StructType([*(df.schema[c] for c in columns), *more])
+
+
+def _record_batches(rows, schema: T.StructType, size: int = 10_000):
+    names, arrow = schema.names, to_arrow_schema(schema)
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(arrow)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(arrow)], names=names)
+
+
 def changed_prefix(df: DataFrame, key: str, ts_col: str, tie: str, text_col: str,
                    completion_col: str, bucket_us: int = HOUR_US) -> DataFrame:
-    """T2 (batch): ask again only when the completion shown before no longer starts with the
-    newly typed text (or nothing was shown yet)."""
-    d = with_previous(df, key, ts_col, tie, [completion_col], bucket_us)
-    prev = F.col("prev_" + completion_col)
-    return d.withColumn("request", prev.isNull() | ~prev.startswith(F.col(text_col)))
+    """T2 (batch): ``request``, whether the event asks for a completion: what is shown does not begin
+    with the typed text, or nothing is shown. What is shown changes only when an event asked; then it is
+    that event's completion. Whether an event asks therefore depends on what all earlier ones did.
+
+    Each (key, time bucket) becomes a ``Transition``, a short summary that is correct for any completion shown
+    before; a key's summaries, one for each bucket, are folded in order; then each bucket's events are
+    run from what the fold shows at its start. A task holds one summary; a hot key's events are spread
+    over its buckets.
+    """
+    events = df.withColumn("_us", _micros(ts_col)).withColumn("_bucket", F.floor(F.col("_us") / bucket_us))
+    bucket = T.StructField("_bucket", T.LongType())
+    state = T.ArrayType(T.StructType([T.StructField("typed", T.StringType()), T.StructField("shown", T.StringType())]))
+    summaries_schema = _typed_schema(df, [key], [bucket, T.StructField("_entries", state)])
+    shown_schema = _typed_schema(df, [key], [bucket, T.StructField("_shown", T.StringType())])
+    columns = df.columns
+    out_schema = _typed_schema(df, columns, [T.StructField("request", T.BooleanType())])
+
+    def summarise(batches):
+        def rows():
+            at, transition = None, None
+            for where, new, row in _groups(batches, (key, "_bucket")):
+                if new:
+                    if transition:
+                        yield *at, [{"typed": t, "shown": s} for t, s in transition.entries]
+                    at, transition = where, Transition()
+                transition.add(row[text_col], row[completion_col])
+            if transition:
+                yield *at, [{"typed": t, "shown": s} for t, s in transition.entries]
+        return _record_batches(rows(), summaries_schema)
+
+    def fold(batches):
+        def rows():
+            shown = None
+            for where, new, row in _groups(batches, (key,)):
+                shown = None if new else shown
+                yield *where, row["_bucket"], shown
+                shown = Transition.apply([(e["typed"], e["shown"]) for e in row["_entries"]], shown)
+        return _record_batches(rows(), shown_schema)
+
+    def run(batches):
+        def rows():
+            shown = None
+            for _, new, row in _groups(batches, (key, "_bucket")):
+                if row["_start"]:
+                    shown = row["_shown"]
+                    continue
+                request = asks(shown, row[text_col])
+                shown = row[completion_col] if request else shown
+                yield *(row[c] for c in columns), request
+        return _record_batches(rows(), out_schema)
+
+    spread = events.select(key, "_bucket", "_us", tie, text_col, completion_col).repartition(key, "_bucket")
+    summaries = spread.sortWithinPartitions(key, "_bucket", "_us", tie).mapInArrow(summarise, summaries_schema)
+    starts = summaries.repartition(key).sortWithinPartitions(key, "_bucket").mapInArrow(fold, shown_schema)
+    both = events.withColumns({"_shown": F.lit(None).cast("string"), "_start": F.lit(False)}) \
+                 .unionByName(starts.withColumn("_start", F.lit(True)), allowMissingColumns=True)
+    both = both.repartition(key, "_bucket").sortWithinPartitions(key, "_bucket", F.col("_start").desc(), "_us", tie)
+    return both.mapInArrow(run, out_schema)

@@ -71,11 +71,15 @@ def _typed(spark, sf_dir):
                     F.col("text").alias("completion"))
 
 
-@query("changed_prefix", duckdb_cte(["taf_records"]) + f"""
+@query("changed_prefix", duckdb_cte(["taf_records"]).replace("with ", "with recursive ", 1) + f"""
 , d as (select e.event_id, e.user_id, e.ts, array_to_string({split_ws('r.text')}[1:(e.event_id % 8 + 3)], ' ') as typed,
-          r.text as completion from events e join taf_records r on r.rec_id = e.event_id),
-p as (select *, lag(completion) over (partition by user_id order by ts, event_id) as prev from d)
-select event_id, user_id, typed, prev is null or not starts_with(prev, typed) as request from p
+          r.text as completion, row_number() over (partition by e.user_id order by e.ts, e.event_id) as n
+        from events e join taf_records r on r.rec_id = e.event_id),
+run as (select *, true as request, completion as shown from d where n = 1
+        union all
+        select d.*, not starts_with(run.shown, d.typed), case when starts_with(run.shown, d.typed) then run.shown else d.completion end
+        from run join d on d.user_id = run.user_id and d.n = run.n + 1)
+select event_id, user_id, typed, request from run
 """)
 def q_changed_prefix(spark, sf_dir):
     d = T.changed_prefix(_typed(spark, sf_dir), "user_id", "ts", "event_id", "typed", "completion")

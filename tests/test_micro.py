@@ -217,3 +217,35 @@ def test_heavy_keys_join_like_others(spark):
     for how in ("inner", "left"):
         want = sorted(map(tuple, rows.join(table, ["w"], how).select("i", "count").collect()))
         assert sorted(map(tuple, heavy_join(rows, table, ["w"], how=how, heavy=5).select("i", "count").collect())) == want
+
+
+ASKED = [  # (user, second, typed, completion, asks)
+    ("u", 1, "AB", "AB x y", True), ("u", 2, "AB x", "other", False), ("u", 3, "AB x y", "third", False),
+    ("u", 4, "AB z", "AB z q", True), ("u", 7300, "AB z q", "later", False), ("u", 7301, "C", "", True), ("u", 7302, "C", "C d", True),
+    (None, 1, None, None, True), (None, 2, "", "k", True), (None, 9000, "", "n", False)]
+
+
+def test_ask_again_depends_on_what_is_shown(spark):
+    from taffeta.operators.sessions import changed_prefix
+    rows = [(u, s, t, c, i) for i, (u, s, t, c, _) in enumerate(ASKED)]
+    d = spark.createDataFrame(rows, "user string, s int, typed string, completion string, id int")
+    d = d.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)")).repartition(3)
+    got = {r.id: r.request for r in changed_prefix(d, "user", "ts", "id", "typed", "completion").collect()}
+    assert [got[i] for i in range(len(ASKED))] == [a[4] for a in ASKED]
+
+
+def test_ask_again_in_buckets_equals_one_run_over_all_events(spark):
+    import random
+    from taffeta.operators.sessions import asks, changed_prefix
+    r = random.Random(4)
+    words = ["a", "b", "aa", "ab", ""]
+    rows = [(r.randrange(3), i, "".join(r.choices(words, k=r.randrange(4))), "".join(r.choices(words, k=r.randrange(5)))) for i in range(900)]
+    d = spark.createDataFrame(rows, "user int, id int, typed string, completion string")
+    d = d.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")).repartition(4)
+    shown, want = {}, {}
+    for user, i, typed, completion in rows:
+        want[i] = asks(shown.get(user), typed)
+        if want[i]:
+            shown[user] = completion
+    got = {x.id: x.request for x in changed_prefix(d, "user", "ts", "id", "typed", "completion", bucket_us=7_000_000).collect()}
+    assert got == want and 0 < sum(want.values()) < 900
