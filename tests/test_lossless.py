@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from taffeta.operators import tokens as K
+from taffeta.operators.sessions import changed_prefix, debounce
 from taffeta.session import ensure_checkpoint_dir, scratch_path
 from taffeta.sources import text
 from taffeta.streaming import debounce as SD
+from taffeta.streaming import state as SS
+from taffeta.streaming.ask import changed_prefix_stream
 
 
 def put(spark, path, body, name="a.txt"):
@@ -50,13 +53,65 @@ def test_late_files_and_copies_in_a_stream(spark):
     late = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/late.txt")
     late.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(late, 1_000_000, -1)
     SD.run_prefix_pairs(spark, path, out, checkpoint)
-    records = spark.read.parquet(f"{out}/records")
-    assert records.count() == 3 and records.select("hash").distinct().count() == 3
-    pairs = spark.read.parquet(f"{out}/pairs")
+    pairs = spark.read.parquet(out)
     assert pairs.where(F.col("prompt").contains("TX13")).count() > 0
     assert pairs.count() == pairs.select("prompt", "completion").distinct().count()
 
 
+def test_a_micro_batch_looks_up_its_own_records_only(spark):
+    taf = "TAF KFFO 010000Z 0100/0124 9999 TX{}/0120Z TN01/0111Z"
+    path, out, checkpoint = (scratch_path(spark, f"test-keyed-{n}") for n in ("in", "out", "checkpoint"))
+    for i in range(3):
+        put(spark, path, "\n###\n".join(taf.format(f"{x:02d}") for x in (10 + i, 11 + i)), f"{i}.txt")
+        SD.run_prefix_pairs(spark, path, out, checkpoint, partitions=2)
+    read = spark.read.format("statestore").load(checkpoint)
+    assert len(read.collect()) == 4  # one key for each record, whatever the batches
+    assert spark.read.parquet(out).where(F.col("prompt").contains("TX")).select(F.substring_index("prompt", "]", 1)).distinct().count() == 4
+
+
+EVENTS = "event_id long, user_id string, ts timestamp_ntz, value double, typed string, completion string"
+
+
+def _landed(spark, rows, files):
+    path = scratch_path(spark, "test-events")
+    d = spark.createDataFrame(rows, "event_id long, user_id string, s double, value double, typed string, completion string")
+    d = d.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)")).select(*[f.split()[0] for f in EVENTS.split(", ")])
+    for i in range(files):
+        d.where(F.col("event_id") % files == i).coalesce(1).write.mode("append").parquet(path)
+    SS.close_input(d, path)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 2).parquet(path), d
+
+
+def test_all_sessions_of_a_stream_come_out(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(i, "uv"[i % 2] if i < 30 else None, i // 7 * 2.0 + i * 0.05, float(i), "", "") for i in range(40)]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        stream, d = _landed(spark, rows, 3)
+        out = scratch_path(spark, "test-out")
+        SS.run_available(SD.debounce_stream(stream, gap_ms=600, watermark="60 seconds"), out, scratch_path(spark, "test-ckpt"), partitions=2)
+        got = spark.read.parquet(out).select("user_id", "session_start", "last_ts", "n_events", "last_value").collect()
+        want = debounce(d.where("user_id is not null"), gap_ms=600).select("user_id", "session_start", "last_ts", "n_events", "last_value").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(g for g in got if g.user_id) == sorted(want) and max(w.n_events for w in want) > 1
+    assert sum(g.n_events for g in got) == 40
+
+
+def test_ask_again_on_a_stream_keeps_what_is_shown(spark):
+    rows = [(0, "u", 1.0, 0.0, "AB", "AB x y"), (1, "u", 2.0, 0.0, "AB x", "other"), (2, "u", 3.0, 0.0, "AB x y", "third"),
+            (3, "w", 3.5, 0.0, "", None), (4, "w", 4.0, 0.0, "", "k"), (5, "u", 5.0, 0.0, "AB z", "AB z q"), (6, "w", 6.0, 0.0, "k", "l"),
+            (7, "u", 900.0, 0.0, "AB z q", "later"), (8, "u", 901.0, 0.0, "C", "")]
+    stream, d = _landed(spark, rows, 4)
+    out = scratch_path(spark, "test-ask")
+    asked = changed_prefix_stream(stream, "user_id", "ts", "event_id", "typed", "completion", "1 hour")
+    SS.run_available(asked, out, scratch_path(spark, "test-ask-ckpt"), partitions=2)
+    got = {r.event_id: r.request for r in spark.read.parquet(out).collect()}
+    assert [got[i] for i in range(9)] == [True, False, False, True, True, True, False, False, True]
+    batch = changed_prefix(d, "user_id", "ts", "event_id", "typed", "completion")
+    assert {r.event_id: r.request for r in batch.collect()} == got
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://host:7077"
