@@ -202,11 +202,11 @@ def q_all_upper(spark, sf_dir):
 select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l:
   case when regexp_matches(l, '^{JS_WS}') then regexp_replace(l, '^{JS_WS}+', '')
        else regexp_replace(l, '{JS_WS}{JS_WS}+$', '') end), lambda l: l <> ''), chr(10)) as normalised
-from conversations where role = 'user'
+from conversations
 """)
 def q_normalise_text(spark, sf_dir):
     # upper=False: DuckDB's upper() does not expand characters such as 'ß' as Java and JS do.
-    c = load_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = load_table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", taf.normalise_editor_text("text", upper=False).alias("normalised"))
 
 
@@ -386,12 +386,13 @@ def q_override_params(spark, sf_dir):
 @query("union_results", RS + """
 select prompt, completion, strategy, null::varchar as model from taf_results where strategy in ('GREEDY', 'BEAM_SEARCH')
 union all
-select prompt, completion, strategy, 'gpt2-taf-base1' as model from taf_results where strategy in ('TOP_K50', 'TOP_P92')
+select prompt, completion, strategy, 'gpt2-taf-base1' as model from taf_results where strategy not in ('GREEDY', 'BEAM_SEARCH')
 """)
 def q_union_results(spark, sf_dir):
     r = taf_results(spark, sf_dir).select("prompt", "completion", "strategy")
-    a = r.where(F.col("strategy").isin("GREEDY", "BEAM_SEARCH"))
-    b = r.where(F.col("strategy").isin("TOP_K50", "TOP_P92")).withColumn("model", F.lit("gpt2-taf-base1"))
+    first = F.col("strategy").isin("GREEDY", "BEAM_SEARCH")
+    a = r.where(first)
+    b = r.where(~first).withColumn("model", F.lit("gpt2-taf-base1"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -400,9 +401,9 @@ _prompts_sql = ", ".join("('" + p + "')" for p in PROMPT_EXAMPLES)
 
 @query("union_prompts", RS + f"""
 select prompt, 'config' as source from (values {_prompts_sql}) v(prompt)
-union all select prompt, 'extra' as source from taf_results where strategy = 'GREEDY'
+union all select prompt, 'extra' as source from taf_results
 """)
 def q_union_prompts(spark, sf_dir):
     cfg = spark.createDataFrame([(p,) for p in PROMPT_EXAMPLES], "prompt string").withColumn("source", F.lit("config"))
-    extra = taf_results(spark, sf_dir).where(F.col("strategy") == "GREEDY").select("prompt", F.lit("extra").alias("source"))
+    extra = taf_results(spark, sf_dir).select("prompt", F.lit("extra").alias("source"))
     return cfg.unionAll(extra)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taffeta.session import materialise
+
 PAIR_SCHEMA = T.StructType([T.StructField("prompt", T.StringType()),
                             T.StructField("completion", T.StringType())])
 RESULT_SCHEMA = T.StructType([T.StructField("prompt", T.StringType()),
@@ -29,32 +31,66 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return r.json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Write each partition as one JSON array document (the reference's ``json.dump`` of a list,
-    but one document per partition instead of one for the whole set). Streaming per batch:
-    the array brackets are emitted around the rows, nothing is collected."""
-    src = df.select(_to_json_col(df).alias("j"))
+def write_json_arrays(df: DataFrame, path: str, documents: int | None = None) -> None:
+    """Write the rows as JSON arrays, the reference's ``json.dump`` of a list: ``documents`` of them (as many
+    as shuffle partitions if not given), each in its own folder ``document=<n>``. Rows are dealt out by
+    their content; a document without rows is not written. A window over a document tells its first row
+    from the others, and a row of its own closes the bracket: built-in expressions only."""
+    spark = df.sparkSession
+    n = documents or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(_to_json_col(df).alias("json"), F.monotonically_increasing_id().alias("_at"))
+    rows = materialise(rows.withColumn("document", F.pmod(F.xxhash64("json"), F.lit(n))), "json-rows")
+    closing = rows.select("document").distinct().select(F.lit("]").alias("value"), F.lit(1).alias("_closes"), F.lit(0).cast("long").alias("_at"), "document")
+    first = F.row_number().over(Window.partitionBy("document").orderBy("_at")) == 1
+    opened = rows.select(F.concat(F.when(first, "[").otherwise(","), "json").alias("value"), F.lit(0).alias("_closes"), "_at", "document")
+    out = opened.unionByName(closing).repartition("document").sortWithinPartitions("document", "_closes", "_at")
+    out.select("value", "document").write.partitionBy("document").text(path)
 
-    def arrays(batches):
-        import pandas as pd
-        first = True
-        for b in batches:
-            if len(b) == 0:
-                continue
-            vals = b["j"].tolist()
-            out = []
-            for v in vals:
-                out.append(("[" if first else ",") + v)
-                first = False
-            yield pd.DataFrame({"value": out})
-        yield pd.DataFrame({"value": ["[]" if first else "]"]})
 
-    src.mapInPandas(arrays, "value string").write.text(path)
+def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON documents holding arrays of records, one document split over many tasks.
 
+    The reader cuts the files into byte ranges and at each closing brace. Whether a piece begins inside a
+    string follows from the number of quotes before it, and how deep it is nested from the braces outside
+    strings; a record ends at a brace that brings the depth back to zero. Each is a prefix sum, within a
+    split and then over the totals of a file's splits. A record's pieces, joined, are parsed by
+    ``from_json``. Only a record has to fit in a row; what is outside records is not looked at. A path may be
+    a folder of folders.
+    """
+    reader = spark.read.option("lineSep", "}").option("recursiveFileLookup", True)
+    pieces = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+                                      F.monotonically_increasing_id().alias("mid"), "value")
+    # an escaped character is never a quote, and valid JSON never escapes a brace
+    between = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
 
-def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Multi-line JSON documents holding arrays of records."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    def braces(parity: int) -> F.Column:
+        outside = F.array_join(F.filter(between, lambda x, i: i % 2 == parity), "")
+        return F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
+
+    pieces = pieces.withColumns({"_quotes": F.size(between) - 1, "_even": braces(0), "_odd": braces(1)})
+    pieces = materialise(pieces, "json-pieces")  # summed three times before the values are read again
+    inside = _prefix_sum(pieces.drop("value"), "_quotes", "_quotes_to")
+    inside = inside.withColumn("_open", F.when((F.col("_quotes_to") - F.col("_quotes")) % 2 == 0, F.col("_even")).otherwise(F.col("_odd")))
+    inside = inside.withColumn("_closes", (F.col("_quotes_to") % 2 == 0).cast("int")).withColumn("_change", F.col("_open") - F.col("_closes"))
+    inside = _prefix_sum(inside, "_change", "_depth")
+    inside = inside.withColumn("_ends", ((F.col("_closes") == 1) & (F.col("_depth") == 0)).cast("int"))
+    inside = _prefix_sum(inside, "_ends", "_ended").withColumn("record", F.col("_ended") - F.col("_ends"))
+    at = inside.select("path", "split", "mid", "record", "_ends")
+    whole = pieces.select("path", "split", "mid", "value").join(at, ["path", "split", "mid"])
+    whole = whole.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("split", "mid", "value"))).alias("p"), F.max("_ends").alias("ends"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
+    body = F.substring(text, F.instr(text, "{"), F.length(text))
+    return whole.where("ends = 1").select(F.from_json(body, schema).alias("r")).select("r.*")
+
+
+def _prefix_sum(df: DataFrame, col: str, out: str) -> DataFrame:
+    """The sum of ``col`` up to and with each row of a file, in order of (split, mid): within a split, then over
+    the totals of a file's splits."""
+    in_split = Window.partitionBy("path", "split").orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
+    totals = df.groupBy("path", "split").agg(F.sum(col).alias("_n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("path", "split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return df.withColumn(out, F.sum(col).over(in_split)).join(offsets, ["path", "split"]).withColumn(out, F.col(out) + F.col("_off")).drop("_off")
 
 
 def _to_json_col(df: DataFrame):

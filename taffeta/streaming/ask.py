@@ -29,14 +29,14 @@ class Asking(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            events = [tuple(None if pd.isna(v) else v for v in r) for r in batch[self.schema.names].itertuples(index=False, name=None)]
-            events = [e for e in events if e[-1] is not None and e[self.schema.names.index(self.tie)] is not None]
+            batch = batch[~batch["event_closes"]][self.schema.names]
+            events = [tuple(None if pd.isna(v) else v for v in r) for r in batch.itertuples(index=False, name=None)]
             if events:
                 self.waiting.appendList(events)
                 first = min([e[-1] for e in events] + ([first] if first is not None else []))
         if first is not None:
             self._wake(first // 1000)
-        yield pd.DataFrame(columns=[*self.names, "request"])
+        return iter([])
 
     def _wake(self, at: int) -> None:
         held = self.timer.get()[0] if self.timer.exists() else None
@@ -65,7 +65,8 @@ class Asking(StatefulProcessor):
             self._wake(rest[0][-1] // 1000)
         else:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=[*self.names, "request"])
+        if out:
+            yield pd.DataFrame(out, columns=[*self.names, "request"])
 
     def close(self) -> None:
         pass
@@ -82,5 +83,9 @@ def changed_prefix_stream(events: DataFrame, key: str, ts_col: str, tie: str, te
     waiting = T.StructType([*fields, T.StructField("event_us", T.LongType())])
     out = T.StructType([*fields, T.StructField("request", T.BooleanType())])
     processor = Asking(names, waiting, tie, text_col, completion_col)
-    d = d.select(*dict.fromkeys([key, *names]), "event_us", "event_ts")
-    return d.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    # pandas would turn whole numbers beside a null into floats
+    d = d.withColumn("event_closes", F.col(tie).isNull()).withColumn(tie, F.coalesce(tie, F.lit(0).cast(events.schema[tie].dataType)))
+    # state must not be kept under a null key
+    group = F.when(F.col(key).isNull(), "").otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    d = d.select(group.alias("event_key"), *names, "event_us", "event_ts", "event_closes")
+    return d.groupBy("event_key").transformWithStateInPandas(processor, out, "Append", "EventTime")
