@@ -4,8 +4,9 @@ W5 reproduces the reference's exact sizes: test = ceil(share * n) rows, chosen a
 the smallest md5(seed || key). A global row_number would need one ordered partition; instead the
 md5 threshold is found by radix selection: each pass counts rows per 12-bit digit of the hash
 inside the current prefix (an aggregate of at most 4096 rows), keeps the digit where the k-th row
-falls, and descends to the last digit. Rows whose hashes tie there are told apart by their place in
-the stored input, found the same way. One comparison then labels every row.
+falls, and descends to the last digit. The passes read the stored hashes alone, and one comparison then
+labels every row. Rows whose hashes tie at the threshold, copies, are stored and told apart by their
+place, found the same way.
 """
 
 from __future__ import annotations
@@ -51,18 +52,21 @@ def train_test_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: str
     if mode == "hash":
         u = F.conv(F.substring("_h", 1, 7), 16, 10).cast("bigint") / float(16 ** 7)
         return d.withColumn("split", F.when(u < test_size, "test").otherwise("train")).drop("_h")
-    # one durable materialisation below the checkpoint folder: the counting and radix passes and
-    # the final labelling all read it (no recomputation, survives executor loss, no cache pinned)
-    d = d.withColumn("_h", F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint"))
-    d = materialise(d.withColumn("_row", F.monotonically_increasing_id()), "split-input")
-    h, row = F.col("_h"), F.col("_row")
-    found = kth_smallest(d, h, math.ceil(test_size * d.count()))
+    # only the hashes are stored; rows are made again for the labels, whatever they carry
+    h = F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint")
+    hashes = materialise(d.select(h.alias("_h")), "split-hashes")
+    found = kth_smallest(hashes, F.col("_h"), math.ceil(test_size * hashes.count()))
     if found is None:
-        return d.withColumn("split", F.lit("train")).drop("_h", "_row")
+        return d.withColumn("split", F.lit("train")).drop("_h")
     value, nth = found
-    last, _ = kth_smallest(d.where(h == value), row, nth)
-    test = (h < value) | ((h == value) & (row <= last))
-    return d.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_row")
+    if nth == hashes.where(F.col("_h") == value).count():
+        return d.withColumn("split", F.when(h <= value, "test").otherwise("train")).drop("_h")
+    # of the rows with the last hash some are test: these few are told apart by their place
+    tied = materialise(d.where(h == value).withColumn("_row", F.monotonically_increasing_id()), "split-ties")
+    last, _ = kth_smallest(tied, F.col("_row"), nth)
+    tied = tied.withColumn("split", F.when(F.col("_row") <= last, "test").otherwise("train")).drop("_row")
+    others = d.where(h != value).withColumn("split", F.when(h < value, "test").otherwise("train"))
+    return others.unionByName(tied).drop("_h")
 
 
 def split_by_key(df: DataFrame, key_cols, test_size: float = 0.2, seed: str = "taffeta") -> DataFrame:

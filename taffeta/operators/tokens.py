@@ -1,9 +1,8 @@
 """Vocabulary, token ids, padding, masks and batches (K1-K9).
 
 Ids come from a vocabulary computed on the corpus: reserved tokens first, then words by
-(count desc, word). Text <-> ids goes through joins on the vocabulary (AQE broadcasts it when
-it is small and otherwise runs a skew-aware shuffle join); sequences are rebuilt per text key,
-so a group is one text, never a hot word.
+(count desc, word). Text <-> ids goes through joins on the vocabulary (its heavy words broadcast,
+the tail by a shuffle); sequences are rebuilt for each row, so a group is one text, never a hot word.
 """
 
 from __future__ import annotations
@@ -11,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taffeta.functions.generators import inline_rows
 from taffeta.functions.taf import BOS, EOS, PAD
+from taffeta.operators.joins import heavy_join
 from taffeta.operators.ranking import global_rank
+from taffeta.session import materialise
 
 # Reserved tokens in id order: padding, begin and end of sequence, then the
 # configured additional tokens and additional special tokens (whole words, without the
@@ -42,34 +44,42 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", reserved=RESERVED)
     return reserved_vocab(spark, reserved).unionByName(words)
 
 
-def encode(df: DataFrame, key_cols, vocab: DataFrame, tokens_col: str = "tokens",
-           out: str = "ids", unk_id: int | None = None) -> DataFrame:
-    """K2: token arrays -> id arrays, per key. Unknown tokens map to ``unk_id`` (null if None).
-    A row without tokens keeps its place, with an empty array."""
-    ex = df.select(*key_cols, F.posexplode_outer(tokens_col).alias("_pos", "_token"))
-    known = vocab.select(F.col("token").alias("_word"), F.col("id").alias("_id"))
-    j = ex.join(known, F.col("_token") == F.col("_word"), "left")
-    idc = F.coalesce(F.col("_id"), F.lit(unk_id).cast("bigint")) if unk_id is not None else F.col("_id")
-    return _gathered(j, key_cols, idc).select(*key_cols, F.transform("_p", lambda x: x["x"]).alias(out))
+def _numbered(df: DataFrame, key_cols, array: str) -> DataFrame:
+    """The rows, stored with a number of their own: rows with equal keys stay apart."""
+    return materialise(df.select(*key_cols, F.col(array).alias("_array"), F.monotonically_increasing_id().alias("_row")), "numbered-rows")
+
 
+def _gathered(rows: DataFrame, found: DataFrame, key_cols, value: str, out: F.Column) -> DataFrame:
+    """Each row's found values in order. A group is one row's array, never a hot word."""
+    lists = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).alias("x")))).alias("_p"))
+    return rows.select(*key_cols, "_row").join(lists, "_row", "left").select(*key_cols, out)
 
-def _gathered(rows: DataFrame, key_cols, value: F.Column, keep: F.Column | None = None) -> DataFrame:
-    """``_p``: the (pos, x) pairs of each key in order; a key none of whose rows is kept has ``[]``."""
-    kept = F.col("_pos").isNotNull() if keep is None else F.col("_pos").isNotNull() & keep
-    pair = F.when(kept, F.struct(F.col("_pos").alias("pos"), value.alias("x")))
-    return rows.groupBy(*key_cols).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
+
+def encode(df: DataFrame, key_cols, vocab: DataFrame, tokens_col: str = "tokens",
+           out: str = "ids", unk_id: int | None = None) -> DataFrame:
+    """K2: token arrays -> id arrays, for each row. Unknown tokens map to ``unk_id`` (null if None).
+    A row without tokens keeps its place, with an empty array. The vocabulary's heavy words are
+    broadcast, the others found by a shuffle."""
+    rows = _numbered(df, key_cols, tokens_col)
+    ex = rows.select("_row", F.posexplode("_array").alias("_pos", "_token"))
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"), "count")
+    found = heavy_join(ex, known, ["_token"], how="left")
+    if unk_id is not None:
+        found = found.withColumn("_id", F.coalesce("_id", F.lit(unk_id).cast("bigint")))
+    ids = F.coalesce(F.transform("_p", lambda x: x["x"]), F.array().cast("array<bigint>"))
+    return _gathered(rows, found, key_cols, "_id", ids.alias(out))
 
 
 def decode(df: DataFrame, key_cols, vocab: DataFrame, ids_col: str = "ids", out: str = "text",
            skip=SPECIALS) -> DataFrame:
     """K8: ids -> text, special tokens and unknown ids skipped, words joined by a space. A row of
     nothing else keeps its place, with an empty text."""
-    ex = df.select(*key_cols, F.posexplode_outer(ids_col).alias("_pos", "_of"))
-    known = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_word"))
-    j = ex.join(known, F.col("_of") == F.col("_id"), "left")
-    keep = F.col("_word").isNotNull() & ~F.col("_word").isin(list(skip))
-    g = _gathered(j, key_cols, F.col("_word"), keep)
-    return g.select(*key_cols, F.array_join(F.transform("_p", lambda x: x["x"]), " ").alias(out))
+    rows = _numbered(df, key_cols, ids_col)
+    ex = rows.select("_row", F.posexplode("_array").alias("_pos", "_of"))
+    known = vocab.select(F.col("id").alias("_of"), F.col("token").alias("_word"), "count").where(~F.col("_word").isin(list(skip)))
+    found = heavy_join(ex, known, ["_of"])
+    text = F.array_join(F.transform("_p", lambda x: x["x"]), " ")
+    return _gathered(rows, found, key_cols, "_word", F.coalesce(text, F.lit("")).alias(out))
 
 
 def truncate(c, max_length: int = MAX_LENGTH) -> F.Column:
@@ -96,6 +106,24 @@ def mask_for(ids, length, side: str = "left") -> F.Column:
     return F.concat(zeros, ones) if side == "left" else F.concat(ones, zeros)
 
 
+def batch_cuts(cuts: DataFrame, order_cols, n_col: str, batch_size: int = BATCH_SIZE, multiple: int | None = None) -> DataFrame:
+    """K9 + K5/K6 before there are texts: ``batch`` of each cut in the given order, and ``target``, the longest
+    ``n_col`` of the batch (rounded up to ``multiple``). ``cuts`` should hold numbers and hashes only: they are
+    what is sorted and stored; ``with_cuts`` makes the rows."""
+    d = make_batches(cuts, order_cols, batch_size).drop("row_in_order")
+    longest = F.max(n_col).alias("target")
+    if multiple:
+        longest = (F.ceil(F.max(n_col) / multiple) * multiple).cast("int").alias("target")
+    return d.join(d.groupBy("batch").agg(longest), "batch")
+
+
+def with_cuts(records: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
+    """The rows of each record's cuts: a record crosses the shuffle once, with all of them."""
+    others = [c for c in cuts.columns if c != key]
+    lists = cuts.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("_cuts"))
+    return inline_rows(records.join(lists, key), records.columns, F.col("_cuts"))
+
+
 def pad_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch", side: str = "left",
               multiple: int | None = None) -> DataFrame:
     """K5/K6: pad every sequence to its batch's longest (rounded up to ``multiple``).

@@ -106,8 +106,8 @@ bm as (select batch, max(len(prompt_ids)) as mx from b group by batch)
 """
 
 
-def taf_pair_ids(spark, sf_dir):
-    """(prompt, completion, prompt_ids, completion_ids) for every distinct prefix pair."""
+def taf_ids(spark, sf_dir):
+    """(norm, ids, _n) of every distinct record."""
     recs = M.template_records(taf_records(spark, sf_dir))
     norm = (recs.select(F.array_join(py_split_ws("templated"), " ").alias("norm"))
                 .dropDuplicates(["norm"]).withColumn("w", F.split("norm", " ")).where(F.size("w") > 1))
@@ -115,20 +115,43 @@ def taf_pair_ids(spark, sf_dir):
     vocab = K.build_vocab(explode_rows(norm, [], F.col("w"), "token"))
     seq = norm.select("norm", F.concat(F.array(F.lit(taf.BOS)), "w", F.array(F.lit(taf.EOS))).alias("tokens"))
     enc = K.encode(seq, ["norm"], vocab, "tokens", "ids")
-    enc = enc.withColumn("_n", F.size("ids") - 2)  # tokens without BOS/EOS
-    x = explode_rows(enc, ["norm", "ids", "_n"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    return enc.withColumn("_n", F.size("ids") - 2)  # tokens without BOS/EOS
+
+
+def _cut_texts():
     cut = F.expr("length(substring_index(norm, ' ', _i))")
-    return x.select(
-        F.concat(F.lit(taf.BOS), F.substring("norm", F.lit(1), cut), F.lit(" ")).alias("prompt"),
-        F.concat(F.substring("norm", cut + 2, F.lit(1 << 30)), F.lit(taf.EOS)).alias("completion"),
-        F.slice("ids", F.lit(1), F.col("_i") + 1).alias("prompt_ids"),
-        F.slice("ids", F.col("_i") + 2, F.col("_n") - F.col("_i") + 1).alias("completion_ids"))
+    return (F.concat(F.lit(taf.BOS), F.substring("norm", F.lit(1), cut), F.lit(" ")),
+            F.concat(F.substring("norm", cut + 2, F.lit(1 << 30)), F.lit(taf.EOS)))
 
 
-def taf_batches(spark, sf_dir):
-    d = taf_pair_ids(spark, sf_dir)
-    d = d.withColumn("_h", F.md5(F.concat_ws("\u0001", F.lit("taffeta"), "prompt", "completion")))
-    return K.make_batches(d, ["_h"]).drop("_h", "row_in_order")
+def _pair_columns(*more):
+    prompt, completion = _cut_texts()
+    return (prompt.alias("prompt"), completion.alias("completion"),
+            F.slice("ids", F.lit(1), F.col("_i") + 1).alias("prompt_ids"),
+            F.slice("ids", F.col("_i") + 2, F.col("_n") - F.col("_i") + 1).alias("completion_ids"), *more)
+
+
+def taf_pair_ids(spark, sf_dir):
+    """(prompt, completion, prompt_ids, completion_ids) for every distinct prefix pair."""
+    x = explode_rows(taf_ids(spark, sf_dir), ["norm", "ids", "_n"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    return x.select(*_pair_columns())
+
+
+def taf_batches(spark, sf_dir, multiple=None):
+    """The pairs with their ``batch`` and its ``target`` length. A cut is sorted as its hash, its record's number
+    and its place; texts and ids are cut out of the stored records at the end."""
+    recs = materialise(taf_ids(spark, sf_dir).withColumn("_rec", F.monotonically_increasing_id()), "taf-ids")
+    cuts = explode_rows(recs, ["_rec", "norm"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    hashed = F.unhex(F.md5(F.concat_ws("\u0001", F.lit("taffeta"), *_cut_texts())))
+    cuts = cuts.select("_rec", "_i", (F.col("_i") + 1).alias("_len"), hashed.alias("_h"))
+    cuts = K.batch_cuts(cuts, ["_h"], "_len", multiple=multiple).select("_rec", "_i", "batch", "target")
+    return K.with_cuts(recs, cuts, "_rec").select(*_pair_columns("batch", "target"))
+
+
+def _padded(d, side):
+    ids, target = F.col("prompt_ids"), F.col("target")
+    return d.select("prompt", "completion", "batch", K.pad_to(ids, target, side).alias("padded"),
+                    K.mask_for(ids, target, side).alias("attention_mask"))
 
 
 @query("encode_pair", PAIR_ENC + "select prompt, completion, prompt_ids, completion_ids from enc")
@@ -152,16 +175,14 @@ def _pad_sql(target, side):
 
 @query("pad_batch", PAIR_ENC + f"select prompt, completion, b.batch, {_pad_sql('mx', 'left')} from b join bm using (batch)")
 def q_pad_batch(spark, sf_dir):
-    return K.pad_batch(taf_batches(spark, sf_dir), "prompt_ids", side="left") \
-            .select("prompt", "completion", "batch", "padded", "attention_mask")
+    return _padded(taf_batches(spark, sf_dir), "left")
 
 
 @query("pad_multiple", PAIR_ENC + f"""
 select prompt, completion, b.batch, {_pad_sql('cast(ceil(mx / 20) * 20 as bigint)', 'right')} from b join bm using (batch)
 """)
 def q_pad_multiple(spark, sf_dir):
-    return K.pad_batch(taf_batches(spark, sf_dir), "prompt_ids", side="right", multiple=K.PAD_MULTIPLE) \
-            .select("prompt", "completion", "batch", "padded", "attention_mask")
+    return _padded(taf_batches(spark, sf_dir, K.PAD_MULTIPLE), "right")
 
 
 @query("attention_mask", PAIR_ENC + f"""

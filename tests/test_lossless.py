@@ -139,3 +139,31 @@ def test_all_listed_stations_are_capped(spark, sf_small):
     from taffeta.plans.fixtures import taf_records
     got = catalog.QUERIES["cap_per_station"](spark, sf_small).groupBy("icao").count().collect()
     assert len(got) == taf_records(spark, sf_small).select("icao").distinct().count() and all(r["count"] <= 100 for r in got)
+
+
+def test_rows_of_one_key_and_hot_words_are_coded_apart(spark):
+    rows = [(1, ["hot"] * 3), (1, ["x", "hot"]), (None, ["hot"]), (None, []), (2, None), (2, ["hot", None, "y"])]
+    rows += [(3, ["hot"] * 50) for _ in range(40)] + [(4, [f"w{i}", "hot"]) for i in range(200)]
+    d = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(3)
+    from taffeta.functions.generators import explode_rows
+    vocab = K.build_vocab(explode_rows(d, [], F.col("tokens"), "token").where("token is not null"))
+    ids = {r.token: r.id for r in vocab.collect()}
+    coded = K.encode(d, ["k"], vocab)
+    key = lambda x: (x[0] is None, x[0] or 0, str(x[1]))
+    want = [(k, [ids.get(t) for t in tokens or []]) for k, tokens in rows]
+    assert sorted(((r.k, r.ids) for r in coded.collect()), key=key) == sorted(want, key=key)
+    texts = [(k, " ".join(t for t in tokens or [] if t)) for k, tokens in rows]
+    assert sorted(((r.k, r.text) for r in K.decode(coded, ["k"], vocab).collect()), key=key) == sorted(texts, key=key)
+
+
+def test_no_pair_text_is_stored_for_splits_and_batches(spark, sf_small, monkeypatch):
+    from taffeta import session
+    from taffeta.plans import catalog
+    catalog.QUERIES["prefix_pairs"](spark, sf_small)
+    for name in ("train_test_split", "pad_batch"):
+        made = len(session.scratch_made())
+        out = catalog.QUERIES[name](spark, sf_small)
+        stored = [spark.read.parquet(p).columns for p in session.scratch_made()[made:] if "fixture" not in p]
+        assert stored and not any({"prompt", "completion"} & set(c) for c in stored)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any("Sort [" in line and "prompt" in line for line in plan.splitlines())
