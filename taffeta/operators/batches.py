@@ -8,13 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of each partition. Batch size follows
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``; no row ever crosses the Python boundary
-    on its own."""
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                batch_size: int | None = None) -> DataFrame:
+    """Apply ``fn`` to batches of ``batch_size`` rows of each partition, the last one of a partition being
+    what is left; without a size, to the Arrow batches as they come
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``). No row crosses the Python boundary on its own."""
     def run(batches):
+        held: list[pd.DataFrame] = []
+        size = 0
         for b in batches:
-            yield fn(b)
+            if not batch_size:
+                yield fn(b)
+                continue
+            held, size = [*held, b], size + len(b)
+            if size < batch_size:
+                continue
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else b
+            whole = size - size % batch_size
+            for i in range(0, whole, batch_size):
+                yield fn(rows.iloc[i : i + batch_size].reset_index(drop=True))
+            held, size = ([rows.iloc[whole:]], size - whole) if size > whole else ([], 0)
+        if size:
+            yield fn(pd.concat(held, ignore_index=True))
     return df.mapInPandas(run, schema)
 
 

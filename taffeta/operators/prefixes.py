@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from taffeta.functions.generators import explode_rows
 
 from taffeta.functions.taf import BOS, EOS
-from taffeta.functions.text import py_split_ws
+from taffeta.functions.text import py_strip, py_split_ws
 
 
 def _cuts(n):
@@ -63,3 +63,8 @@ def prefix_cuts(df: DataFrame, key_col: str, text_col: str = "text") -> DataFram
 def dedup_pairs(df: DataFrame, cols=("prompt", "completion")) -> DataFrame:
     """A1: exact de-dup over all columns (duplicates are identical, so keep-first is moot)."""
     return df.dropDuplicates(list(cols))
+
+
+def request_prompts(df: DataFrame, text_col: str, out: str = "prompt") -> DataFrame:
+    """What is sent to the generator: the text stripped; nothing is sent for a blank or missing one."""
+    return df.withColumn(out, py_strip(text_col)).where(F.col(out) != "")

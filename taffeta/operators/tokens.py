@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from taffeta.functions.generators import inline_rows
 from taffeta.functions.taf import BOS, EOS, PAD
-from taffeta.operators.joins import heavy_join
+from taffeta.operators.joins import heavy_join, is_small
 from taffeta.operators.ranking import global_rank
 from taffeta.session import materialise
 
@@ -44,42 +44,44 @@ def build_vocab(tokens: DataFrame, token_col: str = "token", reserved=RESERVED)
     return reserved_vocab(spark, reserved).unionByName(words)
 
 
-def _numbered(df: DataFrame, key_cols, array: str) -> DataFrame:
-    """The rows, stored with a number of their own: rows with equal keys stay apart."""
-    return materialise(df.select(*key_cols, F.col(array).alias("_array"), F.monotonically_increasing_id().alias("_row")), "numbered-rows")
+def _exploded(df: DataFrame, key_cols, array: str, value: str, stored: bool) -> DataFrame:
+    """Each item of each row's array, with the row's number, and the row's keys beside the first one: rows with
+    equal keys stay apart. ``stored`` if the items are read more than once."""
+    rows = df.select(*key_cols, F.col(array).alias("_array"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialise(rows, "numbered-rows") if stored else rows
+    ex = rows.select("_row", F.struct(*key_cols).alias("_keys"), F.posexplode_outer("_array").alias("_pos", value))
+    return ex.withColumn("_keys", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_keys")))
 
 
-def _gathered(rows: DataFrame, found: DataFrame, key_cols, value: str, out: F.Column) -> DataFrame:
-    """Each row's found values in order. A group is one row's array, never a hot word."""
-    lists = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).alias("x")))).alias("_p"))
-    return rows.select(*key_cols, "_row").join(lists, "_row", "left").select(*key_cols, out)
+def _gathered(found: DataFrame, value: str, keep: F.Column, out: F.Column) -> DataFrame:
+    """Each row's values in order. A group is one row's array, never a hot word."""
+    pair = F.when(F.col("_pos").isNotNull() & keep, F.struct(F.col("_pos").alias("pos"), F.col(value).alias("x")))
+    rows = found.groupBy("_row").agg(F.first("_keys", ignorenulls=True).alias("_keys"), F.array_sort(F.collect_list(pair)).alias("_p"))
+    return rows.select("_keys.*", out)
 
 
 def encode(df: DataFrame, key_cols, vocab: DataFrame, tokens_col: str = "tokens",
            out: str = "ids", unk_id: int | None = None) -> DataFrame:
     """K2: token arrays -> id arrays, for each row. Unknown tokens map to ``unk_id`` (null if None).
-    A row without tokens keeps its place, with an empty array. The vocabulary's heavy words are
-    broadcast, the others found by a shuffle."""
-    rows = _numbered(df, key_cols, tokens_col)
-    ex = rows.select("_row", F.posexplode("_array").alias("_pos", "_token"))
+    A row without tokens keeps its place, with an empty array. A vocabulary too large to broadcast is
+    broadcast in its heavy words, the others are found by a shuffle."""
     known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"), "count")
-    found = heavy_join(ex, known, ["_token"], how="left")
+    small = is_small(vocab)
+    found = heavy_join(_exploded(df, key_cols, tokens_col, "_token", not small), known, ["_token"], how="left", small=small)
     if unk_id is not None:
         found = found.withColumn("_id", F.coalesce("_id", F.lit(unk_id).cast("bigint")))
-    ids = F.coalesce(F.transform("_p", lambda x: x["x"]), F.array().cast("array<bigint>"))
-    return _gathered(rows, found, key_cols, "_id", ids.alias(out))
+    return _gathered(found, "_id", F.lit(True), F.transform("_p", lambda x: x["x"]).alias(out))
 
 
 def decode(df: DataFrame, key_cols, vocab: DataFrame, ids_col: str = "ids", out: str = "text",
            skip=SPECIALS) -> DataFrame:
     """K8: ids -> text, special tokens and unknown ids skipped, words joined by a space. A row of
     nothing else keeps its place, with an empty text."""
-    rows = _numbered(df, key_cols, ids_col)
-    ex = rows.select("_row", F.posexplode("_array").alias("_pos", "_of"))
     known = vocab.select(F.col("id").alias("_of"), F.col("token").alias("_word"), "count").where(~F.col("_word").isin(list(skip)))
-    found = heavy_join(ex, known, ["_of"])
+    small = is_small(vocab)
+    found = heavy_join(_exploded(df, key_cols, ids_col, "_of", not small), known, ["_of"], how="left", small=small)
     text = F.array_join(F.transform("_p", lambda x: x["x"]), " ")
-    return _gathered(rows, found, key_cols, "_word", F.coalesce(text, F.lit("")).alias(out))
+    return _gathered(found, "_word", F.col("_word").isNotNull(), text.alias(out))
 
 
 def truncate(c, max_length: int = MAX_LENGTH) -> F.Column:
@@ -106,15 +108,17 @@ def mask_for(ids, length, side: str = "left") -> F.Column:
     return F.concat(zeros, ones) if side == "left" else F.concat(ones, zeros)
 
 
-def batch_cuts(cuts: DataFrame, order_cols, n_col: str, batch_size: int = BATCH_SIZE, multiple: int | None = None) -> DataFrame:
-    """K9 + K5/K6 before there are texts: ``batch`` of each cut in the given order, and ``target``, the longest
-    ``n_col`` of the batch (rounded up to ``multiple``). ``cuts`` should hold numbers and hashes only: they are
-    what is sorted and stored; ``with_cuts`` makes the rows."""
+def batch_cuts(cuts: DataFrame, order_cols, lengths: dict[str, str], batch_size: int = BATCH_SIZE,
+               multiple: int | None = None) -> DataFrame:
+    """K9 + K5/K6 before there are texts: ``batch`` of each cut in the given order and, for each column of
+    ``lengths``, the batch's longest (rounded up to ``multiple``) under the name given there. ``cuts`` should
+    hold numbers and hashes only: they are what is sorted and stored; ``with_cuts`` makes the rows."""
     d = make_batches(cuts, order_cols, batch_size).drop("row_in_order")
-    longest = F.max(n_col).alias("target")
-    if multiple:
-        longest = (F.ceil(F.max(n_col) / multiple) * multiple).cast("int").alias("target")
-    return d.join(d.groupBy("batch").agg(longest), "batch")
+
+    def longest(c: str) -> F.Column:
+        return (F.ceil(F.max(c) / multiple) * multiple).cast("int") if multiple else F.max(c)
+
+    return d.join(d.groupBy("batch").agg(*[longest(c).alias(name) for c, name in lengths.items()]), "batch")
 
 
 def with_cuts(records: DataFrame, cuts: DataFrame, key: str) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taffeta.functions.generators import posexplode_rows
-
 from taffeta.functions import taf
+from taffeta.functions.generators import posexplode_rows
 from taffeta.operators import metadata as M
 from taffeta.operators import prefixes as G
 from taffeta.operators.segment import segment_records
@@ -71,6 +70,30 @@ def q_extract_custom(spark, sf_dir):
     return d.withColumns({f"cfg_{k}": v for k, v in cfg.items()}).drop("text")
 
 
+@query("extract_callback", R + """
+select rec_id, regexp_extract(text, 'Z (\\d{3}|VRB)(\\d{2})(G\\d{2})?KT', 1) as wind,
+  try_cast(regexp_extract(text, 'Z (\\d{3}|VRB)(\\d{2})(G\\d{2})?KT', 2) as integer) as speed, contains(text, 'G35KT') as gusts from taf_records
+""")
+def q_extract_callback(spark, sf_dir):
+    """The caller's own extractor in place of a pattern."""
+    def wind(text):
+        group = [F.regexp_extract(text, r"Z (\d{3}|VRB)(\d{2})(G\d{2})?KT", i) for i in (1, 2)]
+        return F.struct(group[0].alias("wind"), group[1].try_cast("int").alias("speed"), F.contains(text, F.lit("G35KT")).alias("gusts"))
+
+    return M.extract_custom(taf_records(spark, sf_dir).select("rec_id", "text"), "", extractor=wind).drop("text")
+
+
+@query("request_prompts", f"""
+select doc_id, line, {strip('raw')} as prompt from (select doc_id, unnest(string_split(text, chr(10))) as raw,
+  cast(unnest(range(0, len(string_split(text, chr(10))))) as integer) as line from documents) where {strip('raw')} <> ''
+""")
+def q_request_prompts(spark, sf_dir):
+    """Each line of each document as typed text."""
+    docs = load_table(spark, sf_dir, "documents")
+    lines = posexplode_rows(docs, ["doc_id"], F.split("text", "\n", -1), "line", "raw")
+    return G.request_prompts(lines, "raw").drop("raw")
+
+
 @query("build_header", R + f"""
 select rec_id, {extract('text', TEMPS, 1)} || ' ' || {extract('text', TEMPS, 2)} as header from taf_records
 where {extract('text', TEMPS, 1)} is not null

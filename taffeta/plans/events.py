@@ -137,4 +137,4 @@ select prompt, completion, cast(len({split_ws('prompt')}) as bigint) as prompt_w
 """)
 def q_map_batches(spark, sf_dir):
     return U.map_batches(flagship(spark, sf_dir), U.word_counts,
-                         "prompt string, completion string, prompt_words long, completion_words long")
+                         "prompt string, completion string, prompt_words long, completion_words long", batch_size=1000)

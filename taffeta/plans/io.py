@@ -135,9 +135,8 @@ def q_dataset_store(spark, sf_dir):
 def q_save_if_absent(spark, sf_dir):
     path = scratch_path(spark, "artefact")
     recs = taf_records(spark, sf_dir).select("rec_id", "text")
-    store.save_if_absent(recs, path)
-    store.save_if_absent(recs.where(F.col("rec_id") < 0), path)  # second build is a no-op
-    return spark.read.parquet(path)
+    store.build_if_absent(spark, path, lambda: recs)
+    return store.build_if_absent(spark, path, lambda: recs.where(F.lit(False)))  # not called: it is there
 
 
 TEMPS = taf.METADATA_TEMPS

@@ -141,11 +141,13 @@ def taf_batches(spark, sf_dir, multiple=None):
     """The pairs with their ``batch`` and its ``target`` length. A cut is sorted as its hash, its record's number
     and its place; texts and ids are cut out of the stored records at the end."""
     recs = materialise(taf_ids(spark, sf_dir).withColumn("_rec", F.monotonically_increasing_id()), "taf-ids")
-    cuts = explode_rows(recs, ["_rec", "norm"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
+    cuts = explode_rows(recs, ["_rec", "norm", "_n"], F.sequence(F.lit(1), F.col("_n") - 1), "_i")
     hashed = F.unhex(F.md5(F.concat_ws("\u0001", F.lit("taffeta"), *_cut_texts())))
-    cuts = cuts.select("_rec", "_i", (F.col("_i") + 1).alias("_len"), hashed.alias("_h"))
-    cuts = K.batch_cuts(cuts, ["_h"], "_len", multiple=multiple).select("_rec", "_i", "batch", "target")
-    return K.with_cuts(recs, cuts, "_rec").select(*_pair_columns("batch", "target"))
+    cuts = cuts.select("_rec", "_i", (F.col("_i") + 1).alias("_len"),
+                       (F.col("_n") - F.col("_i") + 1).alias("_rest"), hashed.alias("_h"))
+    cuts = K.batch_cuts(cuts, ["_h"], {"_len": "target", "_rest": "completion_target"}, multiple=multiple)
+    cuts = cuts.select("_rec", "_i", "batch", "target", "completion_target")
+    return K.with_cuts(recs, cuts, "_rec").select(*_pair_columns("batch", "target", "completion_target"))
 
 
 def _padded(d, side):
@@ -185,6 +187,33 @@ def q_pad_multiple(spark, sf_dir):
     return _padded(taf_batches(spark, sf_dir, K.PAD_MULTIPLE), "right")
 
 
+def _pad_both_sql(ids, mx, side):
+    fill, zeros = (f"list_transform(range({mx} - len({ids})), lambda x: {x})" for x in ("0::bigint", "0"))
+    ones = f"list_transform({ids}, lambda x: 1)"
+    a, m = (f"list_concat({fill}, {ids})", f"list_concat({zeros}, {ones})") if side == "left" else \
+           (f"list_concat({ids}, {fill})", f"list_concat({ones}, {zeros})")
+    return a, m
+
+
+_p, _pm = _pad_both_sql("prompt_ids", "mx", "left")
+_c, _cm = _pad_both_sql("completion_ids", "cx", "right")
+
+
+@query("pad_pairs", PAIR_ENC + f"""
+, bc as (select batch, max(len(completion_ids)) as cx from b group by batch)
+select prompt, completion, b.batch, {_p} as prompt_padded, {_pm} as prompt_mask, {_c} as completion_padded, {_cm} as completion_mask
+from b join bm using (batch) join bc using (batch)
+""")
+def q_pad_pairs(spark, sf_dir):
+    """Prompts padded on the left, as for generation, and completions on the right, as for training."""
+    d = taf_batches(spark, sf_dir)
+    p, c = F.col("prompt_ids"), F.col("completion_ids")
+    return d.select("prompt", "completion", "batch",
+                    K.pad_to(p, F.col("target"), "left").alias("prompt_padded"), K.mask_for(p, F.col("target"), "left").alias("prompt_mask"),
+                    K.pad_to(c, F.col("completion_target"), "right").alias("completion_padded"),
+                    K.mask_for(c, F.col("completion_target"), "right").alias("completion_mask"))
+
+
 @query("attention_mask", PAIR_ENC + f"""
 select prompt, completion, list_transform(prompt_ids, lambda x: 1) as attention_mask, cast(len(prompt_ids) as integer) as n_real from enc
 """)

@@ -141,7 +141,10 @@ def test_all_listed_stations_are_capped(spark, sf_small):
     assert len(got) == taf_records(spark, sf_small).select("icao").distinct().count() and all(r["count"] <= 100 for r in got)
 
 
-def test_rows_of_one_key_and_hot_words_are_coded_apart(spark):
+@pytest.mark.parametrize("small", [200_000, 3])
+def test_rows_of_one_key_and_hot_words_are_coded_apart(spark, monkeypatch, small):
+    from taffeta.operators import joins
+    monkeypatch.setattr(joins, "SMALL", small)
     rows = [(1, ["hot"] * 3), (1, ["x", "hot"]), (None, ["hot"]), (None, []), (2, None), (2, ["hot", None, "y"])]
     rows += [(3, ["hot"] * 50) for _ in range(40)] + [(4, [f"w{i}", "hot"]) for i in range(200)]
     d = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(3)
@@ -167,3 +170,38 @@ def test_no_pair_text_is_stored_for_splits_and_batches(spark, sf_small, monkeypa
         assert stored and not any({"prompt", "completion"} & set(c) for c in stored)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not any("Sort [" in line and "prompt" in line for line in plan.splitlines())
+
+
+def test_batches_have_the_size_that_is_asked_for(spark):
+    import pandas as pd
+    from taffeta.operators.batches import map_batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for size, want in ((8, [8, 8, 8, 6]), (5, [5] * 6), (100, [30]), (None, [7, 7, 7, 7, 2])):
+            got = map_batches(spark.range(0, 30, 1, 1), lambda b: pd.DataFrame({"n": [len(b)], "s": [int(b["id"].sum())]}), "n long, s long", size).collect()
+            assert [r.n for r in got] == want and sum(r.s for r in got) == sum(range(30))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_artefact_is_built_once(spark):
+    import threading
+    from taffeta.sources.store import build_if_absent
+    path, calls, lock = scratch_path(spark, "test-artefact"), [], threading.Lock()
+
+    def build():
+        with lock:
+            calls.append(1)
+        return spark.range(5)
+
+    builders = [threading.Thread(target=lambda: build_if_absent(spark, path, build, poll_s=0.05)) for _ in range(4)]
+    for b in builders:
+        b.start()
+    for b in builders:
+        b.join()
+    assert len(calls) == 1 and build_if_absent(spark, path, build).count() == 5 and len(calls) == 1
+    other = scratch_path(spark, "test-failed")
+    with pytest.raises(ValueError):
+        build_if_absent(spark, other, lambda: (_ for _ in ()).throw(ValueError("no")))
+    put(spark, other.rsplit("/", 1)[0], "", other.rsplit("/", 1)[1] + ".claim")  # of an application that died
+    assert build_if_absent(spark, other, build, stale_s=-1).count() == 5

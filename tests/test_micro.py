@@ -216,7 +216,7 @@ def test_heavy_keys_join_like_others(spark):
     table = rows.where("w != 'k3'").groupBy("w").count().where("w is not null")
     for how in ("inner", "left"):
         want = sorted(map(tuple, rows.join(table, ["w"], how).select("i", "count").collect()))
-        assert sorted(map(tuple, heavy_join(rows, table, ["w"], how=how, heavy=5).select("i", "count").collect())) == want
+        assert sorted(map(tuple, heavy_join(rows, table, ["w"], how=how, heavy=5, small=False).select("i", "count").collect())) == want
 
 
 ASKED = [  # (user, second, typed, completion, asks)
