@@ -86,7 +86,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: No stage can be told in SQL; tests hold each against a brute-force version.
+#: No stage can be told in SQL; tests look at columns, counts and the round trip, and at the operators alone.
 ORACLE_SQL = None
 
 
