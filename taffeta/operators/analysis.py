@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taffeta.functions import taf
+from taffeta.operators.quantiles import quantiles
+from taffeta.session import materialise
 
 TEMP_VARS = ("prompt_TX", "prompt_TN", "completion_TX", "completion_TN")
 DELTA_VARS = ("delta_TX", "delta_TN", "delta")
@@ -36,16 +38,22 @@ def temperature_deltas(results: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols=ALL_VARS) -> DataFrame:
     """A2: count, mean, sample std, min, 25/50/75 % (linear interpolation), max per column.
 
-    The columns are melted (an Expand, no shuffle) and aggregated once. ``percentile`` is exact
-    and keeps a value -> count map per group that is merged map-side; its size is the number of
-    distinct values (whole degrees here), not the number of rows.
+    The columns are stored once; the summary is one aggregate of them melted (an Expand, no
+    shuffle), the quantiles are exact order statistics (``quantiles``), which keep no value -> count map
+    and so hold for continuous values too.
     """
-    long = df.unpivot([], list(cols), "variable", "value")
+    d = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "described")
     v = F.col("value")
-    return long.groupBy("variable").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.5).alias("p50"),
-        F.percentile(v, 0.75).alias("p75"), F.max(v).alias("max"))
+    stats = d.unpivot([], list(cols), "variable", "value").groupBy("variable").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    counts = d.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    found = quantiles(d, counts, [0.25, 0.5, 0.75])
+    at = d.sparkSession.createDataFrame([(c, *map(float_or_none, q)) for c, q in found.items()], "variable string, p25 double, p50 double, p75 double")
+    return stats.join(F.broadcast(at), "variable").select("variable", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def float_or_none(x) -> float | None:
+    return None if x is None else float(x)
 
 
 def std_by(df: DataFrame, keys=("strategy",), value: str = "delta") -> DataFrame:

@@ -249,3 +249,21 @@ def test_ask_again_in_buckets_equals_one_run_over_all_events(spark):
             shown[user] = completion
     got = {x.id: x.request for x in changed_prefix(d, "user", "ts", "id", "typed", "completion", bucket_us=7_000_000).collect()}
     assert got == want and 0 < sum(want.values()) < 900
+
+
+def test_order_statistics_of_any_values(spark, monkeypatch):
+    import random
+    from taffeta.operators import quantiles as Q
+    r = random.Random(9)
+    monkeypatch.setattr(Q, "FEW", 20)
+    monkeypatch.setattr(Q, "ACCURACY", 50)
+    n = 3000
+    rows = [(r.random() * 10 ** r.randrange(-3, 6), float(r.choice([1, 1, 1, 1, 2, 7])), r.gauss(0, 1) if i % 3 else 0.25, None) for i in range(n)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, e double").repartition(5).cache()
+    counts = {"a": n, "b": n, "c": n, "e": 0}
+    want = {c: sorted(x[i] for x in rows) for i, c in enumerate("abc")}
+    ranks = [0, 1, 749, 750, 1499, 2250, n - 2, n - 1]
+    got = Q.order_statistics(d, counts, {c: ranks for c in "abc"})
+    assert got == {(c, k): want[c][k] for c in "abc" for k in ranks}
+    assert Q.quantiles(d, counts, [0.25, 0.5])["e"] == [None, None]
+    assert Q.quantiles(d, counts, [0.5])["a"][0] == pytest.approx((want["a"][1499] + want["a"][1500]) / 2)
