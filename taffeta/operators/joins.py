@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 
 
-#: Rows of a table that is broadcast whole.
-SMALL = 200_000
+#: Rows of a table that is broadcast whole: a word and two numbers each, some tens of MB.
+SMALL = 1_000_000
 
 
 def is_small(table: DataFrame) -> bool:

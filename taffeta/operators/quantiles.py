@@ -20,65 +20,78 @@ FEW = 1000
 
 @dataclass
 class _Wanted:
+    """A rank of a column, and the open interval that its value lies in: ``before`` values up to ``low``,
+    ``upto`` below ``high``."""
+
     column: str
-    rank: int  # within the interval, from 0
-    rows: int  # in the interval
+    rank: int
+    before: int
+    upto: int
     low: float | None = None
     high: float | None = None
     found: float | None = None
     pair: tuple = ()
 
-    def inside(self) -> Column:
-        v = F.col(self.column)
-        cond = v.isNotNull()
-        if self.low is not None:
-            cond = cond & (v > F.lit(self.low))
-        if self.high is not None:
-            cond = cond & (v < F.lit(self.high))
-        return cond
-
-    def look(self) -> Column:
-        held = F.when(self.inside(), F.col(self.column))
-        if self.rows <= FEW:
-            return F.array_sort(F.collect_list(held))
-        at, margin = (self.rank + 1) / self.rows, 2 / ACCURACY
-        return F.percentile_approx(held, [max(0.0, at - margin), min(1.0, at + margin)], ACCURACY)
-
-    def counts(self) -> list[Column]:
-        v, cond = F.col(self.column), self.inside()
-        return [F.count_if(cond & test) for x in self.pair for test in (v < F.lit(x), v == F.lit(x))]
-
-    def narrow(self, below_a: int, at_a: int, below_b: int, at_b: int) -> None:
-        (a, b), r = self.pair, self.rank
-        if r < below_a:
-            self.high, self.rows = a, below_a
-        elif r < below_a + at_a:
+    @property
+    def rows(self) -> int:
+        return self.upto - self.before
+
+    def shares(self) -> list[float]:
+        at, margin = (self.rank - self.before + 1) / self.rows, 2 / ACCURACY
+        return [max(0.0, at - margin), min(1.0, at + margin)]
+
+    def narrow(self, less: dict, most: dict) -> None:
+        (a, b), c = self.pair, self.column
+        if self.rank < less[c, a]:
+            self.high, self.upto = a, less[c, a]
+        elif self.rank < most[c, a]:
             self.found = a
-        elif r < below_b:
-            self.low, self.high = a, b
-            self.rank, self.rows = r - below_a - at_a, below_b - below_a - at_a
-        elif r < below_b + at_b:
+        elif self.rank < less[c, b]:
+            self.low, self.before, self.high, self.upto = a, most[c, a], b, less[c, b]
+        elif self.rank < most[c, b]:
             self.found = b
         else:
-            self.low, self.rank, self.rows = b, r - below_b - at_b, self.rows - below_b - at_b
+            self.low, self.before = b, most[c, b]
+
+
+def _look(group: list[_Wanted]) -> Column:
+    """The values about the ranks of one interval, or all its values if they are few."""
+    of = group[0]
+    v = F.col(of.column)
+    inside = v.isNotNull()
+    if of.low is not None:
+        inside = inside & (v > F.lit(of.low))
+    if of.high is not None:
+        inside = inside & (v < F.lit(of.high))
+    held = F.when(inside, v)
+    if of.rows <= FEW:
+        return F.array_sort(F.collect_list(held))
+    return F.percentile_approx(held, [p for w in group for p in w.shares()], ACCURACY)
 
 
 def order_statistics(df: DataFrame, counts: dict[str, int], ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
     """The values at the given ranks (from 0) of each column's values that are not null; ``counts`` says how
     many those are. ``df`` is read a few times: store it first if it is costly."""
-    wanted = {(c, r): _Wanted(c, r, counts[c]) for c, rs in ranks.items() for r in rs if r < counts[c]}
+    wanted = {(c, r): _Wanted(c, r, 0, counts[c]) for c, rs in ranks.items() for r in rs if r < counts[c]}
     while todo := [w for w in wanted.values() if w.found is None]:
-        seen = df.agg(*[w.look().alias(f"_{i}") for i, w in enumerate(todo)]).first()
-        for w, values in zip(todo, seen):
-            if w.rows <= FEW:
-                w.found = values[w.rank]
-            else:
-                w.pair = tuple(values)
+        groups: dict[tuple, list[_Wanted]] = {}
+        for w in todo:
+            groups.setdefault((w.column, w.low, w.high), []).append(w)
+        seen = df.agg(*[_look(g).alias(f"_{i}") for i, g in enumerate(groups.values())]).first()
+        for group, values in zip(groups.values(), seen):
+            for i, w in enumerate(group):
+                if w.rows <= FEW:
+                    w.found = values[w.rank - w.before]
+                else:
+                    w.pair = (values[2 * i], values[2 * i + 1])
         todo = [w for w in todo if w.found is None]
         if todo:
-            row = df.agg(*[c.alias(f"_{i}_{j}") for i, w in enumerate(todo) for j, c in enumerate(w.counts())]).first()
-            for i, w in enumerate(todo):
-                w.narrow(*row[4 * i : 4 * i + 4])
+            values = sorted({(w.column, x) for w in todo for x in w.pair})
+            tests = [F.count_if(test) for c, x in values for test in (F.col(c) < F.lit(x), F.col(c) <= F.lit(x))]
+            row = df.agg(*[t.alias(f"_{i}") for i, t in enumerate(tests)]).first()
+            less, most = ({v: row[2 * i + j] for i, v in enumerate(values)} for j in (0, 1))
+            for w in todo:
+                w.narrow(less, most)
     return {key: w.found for key, w in wanted.items()}
 
 
