@@ -3,8 +3,8 @@
 Each task cuts its texts into pieces by the split pattern. Pieces it has not met yet go to an
 in-process DuckDB: a recursive query joins every piece's token positions with the merge table and
 contracts each piece's leftmost minimum-rank pair, until no pair of any piece can be merged. A
-second query decodes the ids by an ordered aggregation over the vocabulary. Texts are then put
-together from the pieces. No shuffle; the merge table is loaded once per Python worker.
+second query decodes the ids by an ordered aggregation over the vocabulary. Ids and decoded bytes of texts
+are then put together from the pieces, and must agree with each other. No shuffle; the merge table is loaded once per Python worker.
 
 A piece that is itself in the vocabulary is that one token, as in the tiktoken library.
 
@@ -28,8 +28,8 @@ from taffeta.llm.hashing import blocks
 
 #: Texts of about so many characters are encoded at a time.
 BLOCK_CHARS = 4 << 20
-#: Chunks that a worker remembers; it forgets all when there are more.
-REMEMBERED = 400_000
+#: Chunks and pieces of a generation that a worker remembers; there are two generations.
+CHUNKS, PIECES = 300_000, 300_000
 #: Steps of one recursive query. What is unfinished then goes on in the next one, so that states
 #: of very long pieces don't pile up.
 STEPS = 48
@@ -56,11 +56,14 @@ with recursive step as (
 select wid, arg_max(ids, n) as ids, max(n) as n from step group by wid
 """
 
-DECODE = """
-select p.wid, unhex(string_agg(v.hex, '' order by p.pos)) as bytes
+#: Lists of ids next to each other are decoded in one group; where they part follows from their tokens' lengths.
+TOGETHER = 4096
+
+DECODE = f"""
+select p.wid // {TOGETHER} as part, unhex(string_agg(v.hex, '' order by p.wid, p.pos)) as bytes
 from (select wid, generate_subscripts(ids, 1) as pos, unnest(ids) as id from coded) p
 join vocabulary v using (id)
-group by p.wid
+group by part
 """
 
 
@@ -92,10 +95,18 @@ class Coder:
             self.db.execute(f"create table {name} as select * from rows")
             self.db.unregister("rows")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}  # ids of chunks; those that are here decode to themselves
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids of each piece (as int32 bytes), and the bytes that those ids decode to."""
+        tokens = sorted((i, t) for t, i in self.ranks.items())
+        self.token_size, self.token_at = np.zeros((2, tokens[-1][0] + 1), np.int64)
+        at = [i for i, _ in tokens]
+        self.token_size[at] = [len(t) for _, t in tokens]
+        self.token_at[at] = np.cumsum(self.token_size[at]) - self.token_size[at]
+        self.token_bytes = np.frombuffer(b"".join([t for _, t in tokens]), np.uint8)
+        # (ids, decoded bytes) of chunks and of their pieces
+        self.chunk_codes, self.piece_codes = Remembered(CHUNKS), Remembered(PIECES)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each piece (as int32 bytes), and the bytes that those ids decode to. Raises if these are
+        not the piece's."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         whole = [(w, self.ranks[r]) for w, r in enumerate(raw) if r in self.ranks]
         parts = [w for w, r in enumerate(raw) if r not in self.ranks]
@@ -107,13 +118,22 @@ class Coder:
             unfinished = pc.equal(got["n"], STEPS)
             feed = got.filter(unfinished).drop_columns("n")
             done.append(got.filter(pc.invert(unfinished)).drop_columns("n"))
-        coded = pa.concat_tables(done).combine_chunks()
-        decoded = self._run(DECODE, "coded", coded)
-        text = dict(zip(decoded["wid"].to_pylist(), decoded["bytes"].to_pylist()))
+        coded = pa.concat_tables(done).sort_by("wid").combine_chunks()
         lists = coded["ids"].combine_chunks()
-        at = (lists.offsets.to_numpy() * 4).tolist()
-        ids = lists.values.to_numpy().tobytes()
-        return {pieces[w]: (ids[i:j], text[w]) for w, i, j in zip(coded["wid"].to_pylist(), at, at[1:])}
+        ids, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        back = self.decode_lists(ids, at)
+        if back != raw:
+            raise ValueError("ids of a piece decode to something else")
+        packed, cuts = ids.tobytes(), (at * 4).tolist()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])], back
+
+    def decode_lists(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The bytes of the lists of ids that begin and end ``at``, by the ordered aggregation."""
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+        groups = self._run(DECODE, "coded", _table(range(len(lists)), lists))
+        text = b"".join(groups.sort_by("part")["bytes"].to_pylist())
+        ends = np.concatenate([[0], np.cumsum(self.token_size[ids])])[at].tolist()
+        return [text[i:j] for i, j in zip(ends, ends[1:])]
 
     def _run(self, sql: str, name: str, rows: pa.Table) -> pa.Table:
         self.db.register("rows", rows)
@@ -130,17 +150,57 @@ class Coder:
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(chunks)
+        """Ids and decoded bytes of every chunk. A piece that any earlier chunk had is not encoded again."""
+        new = self.chunk_codes.missing(chunks)
         found = [self.find(c) for c in new]
-        pieces = list({p for x in found for p in x})
-        code = self.encode_pieces(pieces) if pieces else {}
-        for chunk, x in zip(new, found):
-            if b"".join([code[p][1] for p in x]) != chunk.encode("utf-8", "surrogatepass"):
-                raise ValueError(f"ids of {chunk!r} decode to something else")
-            self.known[chunk] = code[x[0]][0] if len(x) == 1 else b"".join([code[p][0] for p in x])
+        pieces = self.piece_codes.missing({p for x in found for p in x})
+        if pieces:
+            self.piece_codes.add(pieces, *self.encode_pieces(pieces))
+        ids, back = self.piece_codes.ids, self.piece_codes.decoded
+        self.chunk_codes.add(new, [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in found],
+                             [back[x[0]] if len(x) == 1 else b"".join([back[p] for p in x]) for x in found])
+
+    def put_together(self, split: list[list[str]]) -> tuple[np.ndarray, list[int], list[bytes]]:
+        """Ids of all texts, each text's number of ids, and each text's decoded bytes: those that the
+        decoding query gave for its pieces. The bytes of the ids, read from the vocabulary, must be the same."""
+        self.learn(set().union(*split))
+        own = [b"".join(map(self.chunk_codes.ids.__getitem__, s)) for s in split]
+        ids, sizes = np.frombuffer(b"".join(own), np.int32), [len(x) // 4 for x in own]
+        decoded = [b"".join(map(self.chunk_codes.decoded.__getitem__, s)) for s in split]
+        if self.bytes_of(ids) != b"".join(decoded) or self.lengths_of(ids, sizes) != [len(d) for d in decoded]:
+            raise ValueError("ids of a text decode to something else than its pieces")
+        return ids, sizes, decoded
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        begin, size = self.token_at[ids], self.token_size[ids]
+        last = np.cumsum(size)
+        steps = np.arange(last[-1] if len(last) else 0) + np.repeat(begin - (last - size), size)
+        return self.token_bytes[steps].tobytes()
+
+    def lengths_of(self, ids: np.ndarray, sizes: list[int]) -> list[int]:
+        upto = np.concatenate([[0], np.cumsum(self.token_size[ids])])
+        return np.diff(upto[_offsets(sizes)]).tolist()
+
+
+class Remembered:
+    """Ids and decoded bytes of a bounded number of strings. There are two generations: when the younger
+    one is full it becomes the older one, whose entries are lost unless they are asked for again."""
+
+    def __init__(self, limit: int):
+        self.limit, self.ids, self.decoded, self.old = limit, {}, {}, ({}, {})
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; afterwards the younger one has all others."""
+        if len(self.ids) > self.limit:
+            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        new = keys.difference(self.ids)
+        again = new.intersection(self.old[0])
+        self.add(again, [self.old[0].pop(k) for k in again], [self.old[1].pop(k) for k in again])
+        return list(new - again)
+
+    def add(self, keys, ids, decoded) -> None:
+        self.ids.update(zip(keys, ids))
+        self.decoded.update(zip(keys, decoded))
 
 
 _DOUBLE = re.compile(r"\s\s").search
@@ -173,8 +233,8 @@ def _table(wids, ids: pa.Array) -> pa.Table:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds ``ids array<int>`` and ``decoded binary``: the decoded chunks, put together; the ids of
-    every chunk are decoded when they are learnt, and must give the chunk's bytes. Input columns of those
+    """Adds ``ids array<int>`` and ``decoded binary``: what the ids of a text's pieces decode to, put
+    together, and compared with the vocabulary's bytes of the whole text's ids. Input columns of those
     names are replaced. ``path`` must name the rank file on every executor."""
     df = df.drop(ids, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
@@ -185,14 +245,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in blocks(texts, BLOCK_CHARS):
-                split = [c.chunks(t) if t else [] for t in texts[a:b]]
-                c.learn(set().union(*split))
-                own = [b"".join([c.known[x] for x in s]) for s in split]
+                flat, sizes, back = c.put_together([c.chunks(t) if t else [] for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns,
-                     _int_lists(np.frombuffer(b"".join(own), np.int32), [len(x) // 4 for x in own]),
-                     _binary(["".join(s).encode("utf-8", "surrogatepass") for s in split])],
-                    names=[*batch.schema.names, ids, decoded])
+                    [*batch.slice(a, b - a).columns, _int_lists(flat, sizes), _binary(back)], names=[*batch.schema.names, ids, decoded])
 
     return df.mapInArrow(run, schema)
 
@@ -213,10 +268,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
             if bad:
                 raise ValueError(f"ids outside the vocabulary: {sorted(bad, key=str)[:5]}")
             flat = np.array([i for x in lists for i in x], np.int32)
-            got = c._run(DECODE, "coded", _table(range(len(lists)), _int_lists(flat, [len(x) for x in lists])))
-            out = dict(zip(got["wid"].to_pylist(), got["bytes"].to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([out.get(i, b"") for i in range(len(lists))], pa.binary())],
-                                             names=[*batch.schema.names, decoded])
+            out = c.decode_lists(flat, _offsets([len(x) for x in lists]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(out)], names=[*batch.schema.names, decoded])
 
     return df.mapInArrow(run, schema)
 

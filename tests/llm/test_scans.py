@@ -100,6 +100,33 @@ def test_encoding_is_the_librarys(spark):
     assert collect(bpe.encode(docs(spark, empty=True), path, P.PATTERN)) == []
 
 
+def test_what_was_forgotten_is_coded_again():
+    import public_tokenizers as P
+    import tiktoken
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    c = bpe.Coder(path, P.PATTERN)
+    c.chunk_codes, c.piece_codes = bpe.Remembered(5), bpe.Remembered(5)
+    texts = [r[1] or "" for r in rows()] + ["don't  stop 12345 \n\n\t x", "漢字 😀😀!", ""]
+    for turn in range(3):
+        for at in range(0, len(texts), 4):
+            some = texts[at:at + 4]
+            ids, sizes, decoded = c.put_together([c.chunks(t) if t else [] for t in some])
+            ends = np.cumsum([0, *sizes])
+            assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == [encoding.encode_ordinary(t) for t in some]
+            assert decoded == [t.encode() for t in some]
+
+
+def test_ids_that_do_not_spell_the_text_are_an_error():
+    import public_tokenizers as P
+    import pytest
+    c = bpe.Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    c.put_together([["some", " words"]])
+    c.chunk_codes.ids[" words"] = c.chunk_codes.ids["some"]
+    with pytest.raises(ValueError):
+        c.put_together([["some", " words"]])
+
+
 def test_language_of_pages(spark):
     sf = "/root/testdata/sf0.001"
     pages, d = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
