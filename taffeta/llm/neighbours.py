@@ -1,21 +1,25 @@
 """Approximate nearest neighbours on shifted Hilbert curves.
 
 Each of several orderings projects the vectors by its own random rotation, shifts the grid and sorts
-by the Hilbert key. Spark range-partitions the keys of all orderings at once; the position of a row
-is its partition's offset plus its place there. A query is compared with the rows whose position
+by the Hilbert key. Spark range-partitions the keys of all orderings at once; the position of a vector
+is its partition's offset plus its place there. A query is compared with the vectors whose position
 lies within a window of its own in any ordering; the windows' best are merged and ranked by the
 exact distance on the original vectors.
 
-``WINDOW`` is a share of the rows: the share that gives the wanted recall depends on how clustered
+Equal vectors are one entry of the index, with the k + 1 smallest of their ids: no more of them can be
+among the k nearest of any row. Copies are therefore found exactly, however many there are, and don't fill
+the windows of others. Queries with equal vectors are searched once.
+
+``WINDOW`` is a share of the distinct vectors: the share that gives the wanted recall depends on how clustered
 the vectors are and not on their number. Vectors that are nearly uniform in all their dimensions
 (as the test tables are: the tenth neighbour is at 1.1, a random row at 1.4) need wide windows.
 
-Only the scale of the projections is fitted, on at most about ``SAMPLE`` rows. Every valid row is indexed.
+Only the scale of the projections is fitted, on at most about ``SAMPLE`` vectors. Every valid vector is indexed.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part. Equal distances go by the smaller vec_id (null last). Rows are
-told apart by their number, so a repeated vec_id is a candidate of its twin. With fewer candidates
-than ``k`` all are returned; an empty table gives no rows.
+non-finite components take no part; 0.0 and -0.0 are equal. Equal distances go by the smaller vec_id (null
+last). A row is not its own neighbour, but another row of the same vec_id is. With fewer candidates
+than ``k`` all are returned; an empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,20 +83,30 @@ def _matrix(packed) -> np.ndarray:
     return np.frombuffer(b"".join(packed)).reshape(len(packed), -1)
 
 
-def _index(rows: DataFrame, orderings: Orderings) -> DataFrame:
-    """Stored rows (t, key, rid, vec_id, vec, part, place), range-partitioned and sorted."""
+def _distinct(rows: DataFrame, is_query, k: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: the distinct vectors (node, vec, ids, asks) with the ``k + 1`` smallest ids of each, null last,
+    and whether a query has them; and the queries (query_id, node)."""
+    nth = F.row_number().over(Window.partitionBy("vec").orderBy(F.col("vec_id").asc_nulls_last()))
+    # each task sends at most k + 1 rows of a vector: the limit is applied before the shuffle, too
+    least = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    least = least.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id")))["vec_id"].alias("ids"))
+    nodes = materialise(least.withColumn("node", F.monotonically_increasing_id()), "neighbour-vectors")
+    queries = materialise(rows.where(is_query).join(nodes.select("node", "vec"), "vec").select(F.col("vec_id").alias("query_id"), "node"), "neighbour-queries")
+    asks = queries.select("node").distinct().withColumn("asks", F.lit(True))
+    return nodes.join(asks, "node", "left").select("node", "vec", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), queries
+
+
+def _index(nodes: DataFrame, orderings: Orderings) -> DataFrame:
+    """Stored rows (t, key, node, least, asks, vec, part, place), range-partitioned and sorted."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                vectors = _matrix(np.array(v).tobytes() for v in part.column(1).to_pylist())
-                rids = pa.array(range(rid, rid + len(vectors)), pa.int64())
+                vectors = _matrix(np.array(v).tobytes() for v in part.column(3).to_pylist())
                 packed = pa.array([v.tobytes() for v in vectors], pa.binary())
-                rid += len(vectors)
                 for t, key in enumerate(orderings.keys(vectors)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), rids, part.column(0), packed],
-                                                     names=["t", "key", "rid", "vec_id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *part.columns[:3], packed],
+                                                     names=["t", "key", "node", "least", "asks", "vec"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
@@ -102,26 +116,19 @@ def _index(rows: DataFrame, orderings: Orderings) -> DataFrame:
                                              names=[*batch.schema.names, "part", "place"])
             seen += n
 
-    schema = "t int, key long, rid long, vec_id long, vec binary"
-    keyed = materialise(rows.mapInArrow(spread, schema), "hilbert-keys")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    order = ["t", "key", F.xxhash64("rid"), "rid"]
+    schema = "t int, key long, node long, least long, asks boolean, vec binary"
+    keyed = nodes.select("node", F.get("ids", F.lit(0)).alias("least"), "asks", "vec")
+    keyed = materialise(keyed.mapInArrow(spread, schema), "hilbert-keys")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = ["t", "key", F.xxhash64("node"), "node"]
     return materialise(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(place, f"{schema}, part int, place long"), "hilbert-index")
 
 
-def search(spark: SparkSession, vectors: DataFrame, is_query, vector: str = "embedding", k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score of the ``k`` nearest rows found for each query row
-    (``is_query``: a condition on vec_id)."""
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = valid(vectors, vector)
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dims, total = sizes[0]
-    rows = rows.where(F.size("vec") == dims)
-    share = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1_000_003)) < min(1.0, SAMPLE / total) * 1_000_003
-    sample = np.array([r[0] for r in rows.where(share).select("vec").collect()] or [rows.select("vec").first()[0]])
-    index = _index(rows, Orderings(sample))
+def _near(spark: SparkSession, nodes: DataFrame, total: int, k: int) -> DataFrame:
+    """(asked, node, score): the ``k`` nearest other vectors found for each vector that a query has."""
+    share = F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) < min(1.0, SAMPLE / total) * 1_000_003
+    sample = np.array([r[0] for r in nodes.where(share).select("vec").collect()] or [nodes.select("vec").first()[0]])
+    index = _index(nodes, Orderings(sample))
 
     # one row for each partition and ordering: where it begins
     begins, at = [], {}
@@ -131,28 +138,51 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, vector: str = "emb
     begins = F.broadcast(spark.createDataFrame(begins, "t int, part int, begin long"))
     placed = index.join(begins, ["t", "part"]).withColumn("at", F.col("begin") + F.col("place"))
     reach = max(LEAST_WINDOW, int(WINDOW * total))
-    candidates = placed.select("t", F.floor(F.col("at") / CHUNK).alias("chunk"), "at", "rid", "vec_id", "vec")
+    candidates = placed.select("t", F.floor(F.col("at") / CHUNK).alias("chunk"), "at", "node", "least", "vec")
     last = (total - 1) // CHUNK
     span = F.sequence(F.greatest(F.lit(0), F.floor((F.col("at") - reach) / CHUNK)), F.least(F.lit(last), F.floor((F.col("at") + reach) / CHUNK)))
-    queries = placed.where(is_query).withColumn("_chunk", F.explode(span))
-    queries = queries.select(*[F.col(c).alias(c.strip("_")) for c in ("t", "_chunk", "at", "rid", "vec_id", "vec")])
+    asked = placed.where("asks").withColumn("_chunk", F.explode(span))
+    asked = asked.select(*[F.col(c).alias(c.strip("_")) for c in ("t", "_chunk", "at", "node", "vec")])
 
     def compare(left, right):
         import pandas as pd
         out = []
         if len(left) and len(right):
-            c, ids = _matrix(right["vec"]), right["vec_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-            places, rids = right["at"].to_numpy(), right["rid"].to_numpy()
-            real = right["vec_id"].to_numpy()
-            for q, at, rid, own in zip(_matrix(left["vec"]), left["at"], left["rid"], left["vec_id"]):
-                near = np.flatnonzero((np.abs(places - at) <= reach) & (rids != rid))
-                best, d = nearest(q, c[near], ids[near], k)
-                out += [(rid, own, rids[near[i]], real[near[i]], s) for i, s in zip(best, d)]
-        frame = pd.DataFrame(out, columns=["qid", "query_id", "rid", "vec_id", "score"])
-        return frame.astype({"qid": "int64", "query_id": "int64", "rid": "int64", "score": "float64"})
-
-    found = (queries.groupBy("t", "chunk").cogroup(candidates.groupBy("t", "chunk"))
-             .applyInPandas(compare, "qid long, query_id long, rid long, vec_id long, score double"))
-    found = found.groupBy("qid", "query_id", "rid").agg(F.first("vec_id").alias("vec_id"), F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", F.col("vec_id").asc_nulls_last(), "rid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            c, least = _matrix(right["vec"]), right["least"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+            places, nodes_, shown = right["at"].to_numpy(), right["node"].to_numpy(), right["least"].to_numpy()
+            for q, at, node in zip(_matrix(left["vec"]), left["at"], left["node"]):
+                near = np.flatnonzero((np.abs(places - at) <= reach) & (nodes_ != node))
+                best, d = nearest(q, c[near], least[near], k)
+                out += [(node, nodes_[near[i]], shown[near[i]], s) for i, s in zip(best, d)]
+        frame = pd.DataFrame(out, columns=["asked", "node", "least", "score"])
+        return frame.astype({"asked": "int64", "node": "int64", "score": "float64"})
+
+    found = (asked.groupBy("t", "chunk").cogroup(candidates.groupBy("t", "chunk"))
+             .applyInPandas(compare, "asked long, node long, least long, score double"))
+    found = found.groupBy("asked", "node").agg(F.first("least").alias("least"), F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("score", F.col("least").asc_nulls_last(), "node"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("asked", "node", "score")
+
+
+def search(spark: SparkSession, vectors: DataFrame, is_query, vector: str = "embedding", k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score of the ``k`` nearest rows found for each query row
+    (``is_query``: a condition on vec_id)."""
+    schema = "query_id long, rank int, vec_id long, score double"
+    rows = valid(vectors, vector)
+    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    nodes, queries = _distinct(rows.where(F.size("vec") == sizes[0][0]), is_query, k)
+    near = _near(spark, nodes, nodes.count(), k)
+    own = nodes.where("asks").select(F.col("node").alias("asked"), "node", F.lit(0.0).alias("score"))
+    ids = near.union(own).join(nodes.select("node", "ids"), "node")
+    ids = ids.select("asked", "score", (F.col("asked") == F.col("node")).alias("own"), F.explode("ids").alias("vec_id"))
+    # the k + 1 best rows, the query's own among them; which copy of an id is the own one doesn't matter
+    nth = F.row_number().over(Window.partitionBy("asked").orderBy("score", F.col("vec_id").asc_nulls_last(), "own"))
+    best = ids.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    best = best.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("nth", "score", "own", "vec_id"))).alias("best"))
+    rows_ = queries.join(best, queries["node"] == best["asked"]).select("query_id", "best")
+    self_ = F.filter("best", lambda b: b["own"] & (b["vec_id"] == F.col("query_id")))["nth"]
+    others = F.slice(F.filter("best", lambda b: ~b["nth"].eqNullSafe(F.get(self_, F.lit(0)))), 1, k)
+    return rows_.select("query_id", F.posexplode(others).alias("rank", "b")).select(
+        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -95,6 +95,33 @@ def test_recall_against_brute_force(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_copies_of_a_vector_are_found_exactly(spark):
+    rng = np.random.default_rng(11)
+    hot, other = rng.normal(size=16).tolist(), rng.normal(size=16).tolist()
+    vectors = [hot if i % 3 == 0 else other if i % 50 == 7 else rng.normal(size=16).tolist() for i in range(3000)]
+    made = [*enumerate(vectors), (600, hot), (600, hot), (100, vectors[100]), (None, hot)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for g in collect(neighbours.search(spark, table, F.col("vec_id") % 100 == 0)):
+        got.setdefault(g["query_id"], []).append((g["rank"], g["score"], g["vec_id"]))
+    x = np.array([v for _, v in made])
+    order = np.array([2**62 if i is None else i for i, _ in made])
+    hits = {True: [], False: []}
+    for at, (i, v) in enumerate(made):
+        if i is None or i % 100:
+            continue
+        d = np.sqrt(np.square(x - np.array(v)).sum(1))
+        d[at] = np.inf
+        want = [(d[j], made[j][0]) for j in np.lexsort((order, d))[:10]]
+        times = sum(j == i for j, _ in made)
+        mine = sorted(got[i])
+        assert [r for r, _, _ in mine] == sorted([*range(1, 11)] * times)
+        mine = [(s, j) for r, s, j in mine][::times]
+        hits[v == hot].append(len(set(want) & set(mine)) / 10)
+        assert v != hot or mine == want
+    assert np.mean(hits[True]) == 1 and np.mean(hits[False]) >= 0.9
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     sf = "/root/testdata/sf0.001"
@@ -118,4 +145,4 @@ def test_pipeline_stages(spark):
 def test_registration():
     import __spark_entry__ as E
     names = [n for n in E.queries() if n.startswith("op") or n == "pipeline"]
-    assert {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 14)) and "pipeline" in names
