@@ -30,19 +30,38 @@ BUCKETS = 1 << 14
 #: Pseudo-counts that a level takes from the one above it.
 STRENGTH = 4.0
 
-_SKIP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_SKIP = re.compile(r"<(?:!--|(script|style)\b)", re.I)
+_END = {kind: re.compile(end, re.I) for kind, end in (("", "-->"), ("script", r"</script\s*>"), ("style", r"</style\s*>"))}
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _ADDRESS = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?(?:/([A-Za-z]{2})(?=[/?#]|$))?", re.I)
 
 
 def page_text(page: str | None) -> str:
-    return html.unescape(_TAG.sub(" ", _SKIP.sub(" ", page or "")))
+    """A page without comments, scripts, styles and then tags, each of which becomes a space. What has no
+    end stays. Linear in the page: where one mark has no end, no later one of its kind is tried."""
+    page, out, done, at, endless = page or "", [], 0, 0, set()
+    while found := _SKIP.search(page, at):
+        at, kind = found.end(), (found[1] or "").lower()
+        end = None if kind in endless else _END[kind].search(page, at)
+        if end:
+            out += [page[done : found.start()], " "]
+            done = at = end.end()
+        else:
+            endless.add(kind)
+    page, out, done = "".join([*out, page[done:]]), [], 0
+    while (start := page.find("<", done)) >= 0 and (end := page.find(">", start)) >= 0:
+        out += [page[done:start], " "]
+        done = end + 1
+    return html.unescape("".join([*out, page[done:]]))
 
 
 def declared(page: str | None) -> str:
-    found = _DECLARED.search(page or "")
-    return found[1].lower() if found else ""
+    """The first lang attribute of an html tag."""
+    for tag in _HTML.finditer(page or ""):
+        if found := _LANG.search(tag[0]):
+            return found[1].lower()
+    return ""
 
 
 def address(url: str | None) -> tuple[str, str, str]:

@@ -30,7 +30,11 @@ STRONG = 8.0
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a shorter run can't hold a longer one
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credential|auth)[A-Za-z_]*["']?\s?[:=]\s?["']?([^\s"'<>,;]{6,})""", re.I | re.A)
+#: A whole run of letters in front of a separator; whether it is a credential word is asked afterwards, so
+#: that no run and no value is read more than once.
+_NAME = re.compile(r"""(?<![A-Za-z_])([A-Za-z_]++)["']?\s?[:=]\s?["']?""", re.A)
+_CREDENTIAL = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api_?key|credential|auth", re.I | re.A)
+_VALUE = re.compile(r"""[^\s"'<>,;]{6,}""", re.A)
 _HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "auth")
 
 #: Frequent password parts, the most frequent first.
@@ -100,6 +104,18 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Where the values stand that follow a credential word; names within a value are part of it."""
+    at = 0
+    while name := _NAME.search(text, at):
+        at = name.end()
+        dashed = name[1][:3].lower() == "key" and text[max(0, name.start() - 4) : name.start()].lower() == "api-"
+        if dashed or _CREDENTIAL.search(name[1]):
+            if value := _VALUE.match(text, at):
+                yield value.span()
+                at = value.end()
+
+
 def spans(text: str | None) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, guess cost or null), by start, then kind."""
     if not text:
@@ -109,9 +125,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float | None]]:
     low = text.lower()
     if ("=" in text or ":" in text) and any(h in low for h in _HINTS):
         found += [("assign", *m.span(), guess_cost(m[2])) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-        for m in _CONTEXT.finditer(text):
-            if (cost := guess_cost(m[1])) >= STRONG:
-                found.append(("guess", *m.span(1), cost))
+        found += [("guess", i, j, cost) for i, j in _values(text) if (cost := guess_cost(text[i:j])) >= STRONG]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -151,3 +151,33 @@ def test_wrapped_and_double_spaced_notices():
             got = licenses.detect(text)
             assert [(d[0], d[3]) for d in got] == [(d[0], d[3]) for d in plain]
             assert [" ".join(text[d[1]:d[2]].split()) for d in got] == [f"so: {notice} ."[d[1]:d[2]] for d in plain]
+
+
+def test_hostile_pages_and_values_are_read_once():
+    import time
+    pages = ["<" * 10**6, "<script>" * 125_000, "<!--" * 250_000, "<html " * 160_000, "<style " + "</style " * 120_000]
+    texts = ["token" * 200_000, "token " * 160_000, "a=" * 500_000, "api-key" * 140_000, "auth_" * 200_000 + "-"]
+    begin = time.process_time()
+    assert [language.page_text(p) for p in pages[:1]] == [pages[0]] and all(language.declared(p) == "" for p in pages)
+    for p in pages:
+        language.page_text(p)
+    for t in texts:
+        assert secrets.spans(t) == []
+    assert time.process_time() - begin < 10  # a megabyte each; quadratic patterns take minutes
+
+
+def test_pages_without_their_marks():
+    plain = {"a <!-- b > c --> d": "a   d", "<script>x<b</SCRIPT >y": " y", "<style>a{}</style\n>z<p>q": " z q", "1 < 2": "1 < 2", "<!-- open <b>x": " x",
+             "<script>open <i>y</i>": " open  y ", "": "", "&lt;b&gt;": "<b>", None: ""}
+    assert {p: language.page_text(p) for p in plain} == plain
+    assert [language.declared(p) for p in ("<html><html x lang = 'FR'>", "<html lang=en-GB", "<htmllang=en>", None)] == ["fr", "en", "", ""]
+
+
+def test_values_behind_credential_words():
+    value = "zK9xQ2vLw8"
+    for before in ("pwd: ", "my_auth_token=", "API-KEY = '", "api_key:", "Passphrase=\"", "credentials: "):
+        assert [s[:3] for s in secrets.spans(before + value) if s[0] == "guess"] == [("guess", len(before), len(before) + len(value))]
+    for before in ("password is ", "pass: ", "-key=", "token  =  ", "tokens-x: "):
+        assert not [s for s in secrets.spans(before + value) if s[0] == "guess"]
+    both = f"secret={value}&token={value}"
+    assert [s[:3] for s in secrets.spans(both) if s[0] == "guess"] == [("guess", 7, len(both))]
