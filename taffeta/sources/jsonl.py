@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taffeta.session import materialise
+from taffeta.session import materialise, open_writers
 
 PAIR_SCHEMA = T.StructType([T.StructField("prompt", T.StringType()),
                             T.StructField("completion", T.StringType())])
@@ -15,12 +15,16 @@ RESULT_SCHEMA = T.StructType([T.StructField("prompt", T.StringType()),
                               T.StructField("strategy", T.StringType())])
 
 
-def write_jsonl(df: DataFrame, path: str, partition_by=None, mode: str = "error") -> None:
-    """JSON Lines; ``partition_by`` moves those columns into the folder names."""
+def write_jsonl(df: DataFrame, path: str, partition_by=None, mode: str = "error", compression: str | None = None) -> None:
+    """JSON Lines; ``partition_by`` moves those columns into the folder names. Readers tell the
+    ``compression`` by the files' names."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    w.json(path)
+    if compression:
+        w = w.option("compression", compression)
+    with open_writers(df.sparkSession):
+        w.json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

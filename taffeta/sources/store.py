@@ -9,10 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taffeta.session import open_writers
+
 
 def save_dataset(df: DataFrame, path: str, split_col: str = "split", mode: str = "error") -> None:
     """One folder per split value, so ``where(split = 'train')`` prunes whole folders."""
-    df.write.mode(mode).partitionBy(split_col).parquet(path)
+    with open_writers(df.sparkSession):
+        df.write.mode(mode).partitionBy(split_col).parquet(path)
 
 
 def load_dataset(spark: SparkSession, path: str, split: str | None = None, split_col: str = "split") -> DataFrame:
