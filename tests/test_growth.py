@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taffeta.operators import tokens as K
+from taffeta.operators.ranking import hashed_rank
 from taffeta.session import open_writers
-from taffeta.sources import jsonl, store
+from taffeta.sources import jsonl, store, text
 
 
 def plan(df) -> str:
@@ -15,6 +17,38 @@ def plan(df) -> str:
 VOCAB = "token string, id bigint, count bigint"
 
 
+def test_small_vocabularies_are_looked_up_without_a_shuffle(spark):
+    vocab = spark.createDataFrame([("<|pad|>", 0, None), ("a", 7, 2), ("b", 8, 1), (None, 9, 1)], VOCAB)
+    docs = spark.createDataFrame([(1, ["b", "x", None, "a"]), (1, []), (None, None), (2, ["a", "<|pad|>", "b"])], "k int, tokens array<string>")
+    coded = K.encode(docs, ["k"], vocab)
+    assert "Exchange" not in plan(coded)
+    rows = coded.collect()
+    assert [(r.k, r.ids) for r in rows] == [(1, [8, None, None, 7]), (1, []), (None, []), (2, [7, 0, 8])]
+    assert K.encode(docs, ["k"], vocab, unk_id=5).first().ids == [8, 5, 5, 7]
+    words = K.decode(coded, ["k"], vocab)
+    assert "Exchange" not in plan(words)
+    assert [(r.k, r.text) for r in words.collect()] == [(1, "b a"), (1, ""), (None, ""), (2, "a b")]
+
+
+def test_a_repeated_word_still_gives_all_its_ids(spark):
+    vocab = spark.createDataFrame([("a", 7, 2), ("a", 8, 1)], VOCAB)
+    docs = spark.createDataFrame([(1, ["a"])], "k int, tokens array<string>")
+    assert sorted(K.encode(docs, ["k"], vocab).first().ids) == [7, 8]
+
+
+def test_batches_by_digest_equal_batches_by_rank(spark):
+    d = spark.range(1003).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("h"), (F.col("id") % 37).cast("int").alias("n"))
+    order = sorted(d.collect(), key=lambda r: bytes(r.h))
+    assert [r.id for r in hashed_rank(d, "h", "r").orderBy("r").collect()] == [r.id for r in order]
+    for multiple in (None, 20):
+        want = {}
+        for i, r in enumerate(order):
+            longest = max(x.n for x in order[i // 8 * 8 : i // 8 * 8 + 8])
+            want[r.id] = (i // 8, -(-longest // 20) * 20 if multiple else longest)
+        got = K.batch_cuts(d, ["h"], {"n": "target"}, multiple=multiple).collect()
+        assert {r.id: (r.batch, r.target) for r in got} == want
+
+
 def test_folders_are_written_without_a_sort(spark, tmp_path):
     d = spark.range(100).select(F.col("id").cast("string").alias("prompt"), F.lit("c").alias("completion"), (F.col("id") % 3).cast("string").alias("split"))
     name = "spark.sql.maxConcurrentOutputFileWriters"
