@@ -26,11 +26,11 @@ CUM_TYPE = "decimal(38,15)"
 def ngram_model(seqs: DataFrame, seq_col: str = "seq", n: int = 2) -> DataFrame:
     """Next-word counts after every context of ``n`` tokens -> probabilities."""
     size = F.size(seq_col)
-    js = F.filter(F.sequence(F.lit(n), F.greatest(size - 1, F.lit(n))), lambda j: j < size)
-    ev = F.transform(js, lambda j: F.struct(
-        F.array_join(F.slice(seq_col, j - n + 1, n), " ").alias("context"),
-        F.element_at(seq_col, j + 1).alias("token")))
-    counts = inline_rows(seqs, [], ev).groupBy("context", "token").agg(F.count(F.lit(1)).alias("count"))
+    # only the place is generated; context and token are cut out of the sequence beside it, in generated code
+    at = explode_rows(seqs, [seq_col], F.when(size > n, F.sequence(F.lit(n), size - 1)), "_j")
+    ev = at.select(F.array_join(F.slice(seq_col, F.col("_j") - n + 1, n), " ").alias("context"),
+                   F.element_at(seq_col, F.col("_j") + 1).alias("token"))
+    counts = ev.groupBy("context", "token").agg(F.count(F.lit(1)).alias("count"))
     # totals over the aggregated (context, token) table: one exchange by context, and the
     # upstream (templating, de-dup, counting) is computed once rather than again for a join
     total = F.sum("count").over(Window.partitionBy("context"))
@@ -158,15 +158,15 @@ def banned_tokens(seqs: DataFrame, model: DataFrame, key: str, seq_col: str = "s
     stood first. There the model's other tokens have p = their count / ``remaining``, the context's total
     without the counts of all that is banned so far; 0 remaining means that nothing is left to follow. Bans
     of contexts that don't come again are left out, so the rows grow with the sequences' length, and
-    whatever the model holds for a context is never copied. One exchange brings a sequence's places
-    together, one more the bans to the model; a context of many sequences is broadcast.
+    whatever the model holds for a context is never copied. One exchange of whole sequences brings the
+    places of a key together, one more the bans to a large model; a context of many sequences is broadcast.
     """
     m, n = size - 1, F.size(seq_col)
-    places = F.filter(F.sequence(F.lit(m), F.greatest(n, F.lit(m))), lambda j: j <= n)
-    rows = inline_rows(seqs, [key], F.transform(places, lambda j: F.struct(
-        j.alias("place"), F.array_join(F.slice(seq_col, j - m + 1, m), " ").alias("context"),
-        F.get(seq_col, j).alias("token"))))
-    first = rows.repartition(key).groupBy(key, "context", "token").agg(F.min("place").alias("banned_after"), F.max("place").alias("_last"))
+    # sequences are dealt by their key before their places are: the places of a key are together then
+    at = explode_rows(seqs.select(key, seq_col).repartition(key), [key, seq_col], F.when(n >= m, F.sequence(F.lit(m), n)), "place")
+    rows = at.select(key, "place", F.array_join(F.slice(seq_col, F.col("place") - m + 1, m), " ").alias("context"),
+                     F.get(seq_col, F.col("place")).alias("token"))
+    first = rows.groupBy(key, "context", "token").agg(F.min("place").alias("banned_after"), F.max("place").alias("_last"))
     first = first.withColumn("_last", F.max("_last").over(Window.partitionBy(key, "context")))
     bans = first.where(F.col("token").isNotNull() & (F.col("banned_after") < F.col("_last"))).drop("_last")
     known = heavy_join(bans, model.select("context", "token", "count", "total"), ["context", "token"])

@@ -31,9 +31,11 @@ MODEL_CTE = duckdb_cte(["taf_records"]) + MODEL_BODY
 
 def taf_seqs(spark, sf_dir):
     recs = M.template_records(taf_records(spark, sf_dir))
-    norm = recs.select(F.array_join(py_split_ws("templated"), " ").alias("norm")).dropDuplicates(["norm"])
+    # a test of the key alone would be pushed below the de-dup and derive every text once more; this one waits
+    norm = recs.select(F.array_join(py_split_ws("templated"), " ").alias("norm")) \
+               .groupBy("norm").agg(F.max(F.instr("norm", " ")).alias("_space"))
     w = F.split("norm", " ")
-    return norm.where(F.size(w) > 1).select(
+    return norm.where("_space > 0").select(
         F.concat(F.array(F.lit(taf.BOS)), w, F.array(F.lit(taf.EOS))).alias("seq"))
 
 

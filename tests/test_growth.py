@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taffeta.operators import distributions as N
 from taffeta.operators import tokens as K
 from taffeta.operators.ranking import hashed_rank
 from taffeta.session import open_writers
@@ -49,6 +50,20 @@ def test_batches_by_digest_equal_batches_by_rank(spark):
         assert {r.id: (r.batch, r.target) for r in got} == want
 
 
+def test_bans_shuffle_sequences_not_places(spark):
+    seqs = spark.createDataFrame([(1, ["a", "b", "a", "c", "a"])], "k int, seq array<string>")
+    model = N.ngram_model(seqs, "seq", 1)
+    p = plan(N.banned_tokens(seqs, model, "k"))
+    generate = p.index("Generate posexplode")
+    assert "REPARTITION_BY_COL" in p[generate:]  # below the generator, not above it
+    assert "REPARTITION_BY_COL" not in p[:generate]
+
+
+def test_the_model_derives_each_text_once(spark):
+    from taffeta.plans.distributions import taf_seqs
+    assert plan(taf_seqs(spark, "/root/testdata/sf0.001")).count("array_join(") == 1
+
+
 def test_folders_are_written_without_a_sort(spark, tmp_path):
     d = spark.range(100).select(F.col("id").cast("string").alias("prompt"), F.lit("c").alias("completion"), (F.col("id") % 3).cast("string").alias("split"))
     name = "spark.sql.maxConcurrentOutputFileWriters"
