@@ -12,6 +12,9 @@ from taffeta.session import materialise
 
 RECORD_DELIMITER = "\n###\n"
 
+#: Lines of a split are numbered and summed in runs of at most two to this power: what one window holds at once.
+RUN_BITS = 16
+
 
 def write_corpus(df: DataFrame, path: str, text_col: str = "text",
                  delimiter: str = RECORD_DELIMITER) -> None:
@@ -45,20 +48,28 @@ def scan_records(spark: SparkSession, path: str, keep_empty: bool = False) -> Da
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files with their places: (path, split, mid, sub, value). The reader cuts files into
-    byte ranges and at LF; a CR before it goes, and what a lone CR divides becomes lines of its own."""
+    """Lines of all files with their places: (path, split, mid, sub, value), and whether they begin or end a file.
+    The reader cuts files into byte ranges and at LF; a CR before it goes, and what a lone CR divides becomes
+    lines of its own. ``split`` is a byte range's start and a run of lines in it, so that however large the
+    ranges are, rows with one ``split`` are few. No line is shuffled; the broadcast has one row for each file."""
+    run = F.shiftright(F.monotonically_increasing_id(), RUN_BITS)
     raw = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("mid"), "value")
+        F.struct(F.col("_metadata.file_block_start").alias("at"), run.alias("run")).alias("split"),
+        F.monotonically_increasing_id().alias("mid"), "value")
     # one byte for each LF: a file whose lines and LFs make more than its size has none at its end
-    ends = raw.groupBy("path").agg((F.sum(F.octet_length("value") + 1) > F.max("size")).alias("_open"), F.max("mid").alias("_last"))
-    raw = raw.join(ends, "path")
+    ends = raw.groupBy("path").agg((F.sum(F.octet_length("value") + 1) > F.max("size")).alias("_open"), F.max("mid").alias("_last"),
+                                   F.min(F.struct("split.at", "mid")).alias("_first"))
+    raw = raw.join(F.broadcast(ends), "path")
     at_end = F.col("_open") & (F.col("mid") == F.col("_last"))
+    at_start = (F.col("_first.at") == 0) & (F.col("mid") == F.col("_first.mid"))
     text = F.when(at_end, F.col("value")).otherwise(F.regexp_replace("value", r"\r\z", ""))
-    lines = posexplode_rows(raw.withColumn("_end", at_end), ["path", "split", "mid", "_end"], F.split(text, "\r", -1), "sub", "value")
+    raw = raw.select("path", "split", "mid", at_end.alias("_end"), at_start.alias("_start"), F.split(text, "\r", -1).alias("_parts"))
+    keep = ["path", "split", "mid", "_end", "_start", "_n"]
+    lines = posexplode_rows(raw.withColumn("_n", F.size("_parts")), keep, F.col("_parts"), "sub", "value")
     # only the very last piece of a file is without a newline after it
-    last = F.max("sub").over(Window.partitionBy("path", "split", "mid"))
-    return lines.withColumn("_end", F.when(F.col("_end"), F.col("sub") == last).otherwise(False))
+    return lines.withColumn("_end", F.col("_end") & (F.col("sub") == F.col("_n") - 1)) \
+                .withColumn("_start", F.col("_start") & (F.col("sub") == 0)).drop("_n")
 
 
 def scan_records_by_line(spark: SparkSession, path: str, delimiter_line: str = r"^#+$", keep_empty: bool = False) -> DataFrame:
@@ -69,14 +80,14 @@ def scan_records_by_line(spark: SparkSession, path: str, delimiter_line: str = r
     after it which no divider has taken. The first line and an unended last one therefore don't; of
     several with nothing but empty lines between them, each second one is text. A line's answer depends
     on how many came since the last line of text, and its record on how many divided before it: two
-    prefix sums, each within a split and then over the totals of a file's splits.
+    prefix sums, each within a run of a split's lines and then over the totals of a file's runs.
     """
     lines = _lines(spark, path)
     order = ["mid", "sub"]
-    file_start = (F.col("split") == 0) & (F.row_number().over(Window.partitionBy("path", "split").orderBy(*order)) == 1)
+    file_start = F.col("_start")
     mark = F.col("value").rlike(delimiter_line) & ~F.col("_end") & ~file_start
     lines = lines.withColumn("_mark", mark.cast("long")).withColumn("_text", (~mark & ((F.col("value") != "") | file_start)).cast("long"))
-    lines = materialise(lines, "lines")  # marks are summed, then the lines are read again
+    lines = materialise(lines.drop("_start", "_end"), "lines")  # marks are summed, then the lines are read again
 
     in_split = Window.partitionBy("path", "split").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumns({"_texts": F.sum("_text").over(in_split), "_marks": F.sum("_mark").over(in_split)})

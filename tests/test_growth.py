@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from taffeta.operators import distributions as N
@@ -76,3 +77,17 @@ def test_folders_are_written_without_a_sort(spark, tmp_path):
     jsonl.write_jsonl(d.drop("split"), str(tmp_path / "j"), compression="snappy")
     assert list((tmp_path / "j").glob("*.snappy"))
     assert jsonl.read_jsonl(spark, str(tmp_path / "j"), jsonl.PAIR_SCHEMA).exceptAll(d.drop("split")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_lines_in_short_runs(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(text, "RUN_BITS", bits)
+    for i, body in enumerate(["###\na\n###\n\n###\nb\r\nc\n\n##\n\n#\n#\nd\n###", "x\n###\n", "\n\n#\ry\r\r#\rz"]):
+        (tmp_path / f"{i}.txt").write_bytes(body.encode())
+    rows = lambda d: sorted(map(tuple, d.select("path", "text").collect()))
+    assert rows(text.scan_records_by_line(spark, str(tmp_path), keep_empty=True)) == rows(text.scan_records(spark, str(tmp_path), keep_empty=True))
+
+
+def test_lines_are_not_shuffled_before_they_are_stored(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a\n###\nb")
+    assert "hashpartitioning(path" not in plan(text._lines(spark, str(tmp_path)).select("value", "_end", "_start")).split("BroadcastExchange")[0]
