@@ -22,7 +22,7 @@ from taffeta.functions.text import py_strip, py_split_ws
 
 def _cuts(n):
     # 1..n-1, guarded: sequence(1, 0) would count down and invent two rows for one token.
-    return F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i < n)
+    return F.when(n > 1, F.sequence(F.lit(1), n - 1))
 
 
 def tokenise(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
