@@ -7,10 +7,11 @@ bucket is confirmed on the full shingle sets of the whole texts (100 * shared >=
 and connected components of the confirmed links are the groups.
 
 Equal sets are one node, so copies never meet each other. A bucket of few nodes gives its pairs,
-each once over all bands. A larger one gives a star around its first node; where that leaves more
-than one component, blocks of a bounded number of its nodes are searched breadth first, each block
-against each, so that no link between two members of a bucket is lost and none of the groups is
-gathered in one task. With 32 bands of 4 coordinates a pair at 0.8 shares no bucket with a
+each once over all bands. A larger one gives a star around its first node. Where that leaves more
+than one component, nodes with so many shingles of their own that no other set can be like theirs are
+set aside, and those outside a bucket's largest component are searched for among all of its members, in
+blocks of a bounded number of nodes, so that no link between two members of a bucket is lost and none
+of the groups is gathered in one task. With 32 bands of 4 coordinates a pair at 0.8 shares no bucket with a
 probability of 5e-8.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with
@@ -36,7 +37,7 @@ from taffeta.session import drop_shuffles, materialise
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 4
-#: Buckets up to so many nodes give all their pairs; larger ones are searched in blocks of BLOCK.
+#: Buckets up to so many nodes give all their pairs; larger ones are searched in blocks of about BLOCK.
 FEW, BLOCK = 16, 512
 
 
@@ -116,53 +117,82 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
-def search(nodes: list[int], parts: list[int], sets: list[np.ndarray], percent: int, across: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join the parts of a block: breadth first from each part, each step against what
-    is not yet reached. With ``across``, only links between its two sides are sought."""
+def search(nodes: list[int], parts: list[int], sets: list[np.ndarray], percent: int, seeks: list[bool]) -> list[tuple[int, int]]:
+    """Links that join the parts of a block: each node that ``seeks`` against all nodes that are not in its
+    part yet."""
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column = np.unique(flat, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner_by_column, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(column))])
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    size, part = np.diff(first), np.array(parts)
-    side = None if across is None else np.array(across)
-    open_, links = np.ones(len(sets), bool), []
-    for start in range(len(sets)):
-        queue = [start] if open_[start] else []
-        if queue:
-            queue = np.flatnonzero(part == part[start]).tolist()
-            open_[part == part[start]] = False
-        while queue and open_.any():
-            i = queue.pop()
-            columns = column[first[i] : first[i + 1]]
-            shared = np.bincount(np.concatenate([owner_by_column[at[c] : at[c + 1]] for c in columns]), minlength=len(sets))
-            near = open_ & (100 * shared >= percent * (size + size[i] - shared))
-            if side is not None:
-                near &= side != side[i]
-            for j in np.flatnonzero(near):
-                if open_[j]:
-                    links.append((nodes[i], nodes[j]))
-                    reached = part == part[j]
-                    open_[reached] = False
-                    queue += np.flatnonzero(reached).tolist()
+    size, part, links = np.diff(first), np.array(parts), []
+    for i in np.flatnonzero(seeks):
+        other = part != part[i]
+        if not other.any():
+            break
+        columns = column[first[i] : first[i + 1]]
+        shared = np.bincount(np.concatenate([owner_by_column[at[c] : at[c + 1]] for c in columns]), minlength=len(sets))
+        for j in np.flatnonzero(other & (100 * shared >= percent * (size + size[i] - shared))):
+            if part[j] != part[i]:
+                links.append((nodes[i], nodes[j]))
+                part[part == part[j]] = part[i]
     return links
 
 
+def _set_rows(rows: DataFrame, words: int) -> DataFrame:
+    """(node, n, shingle): the full sets of texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in blocks(texts):
+                sets = Words(texts[a:b]).shingles(words)
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([
+                    nodes.slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), sizes))),
+                    pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64)),
+                ], names=["node", "n", "shingle"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, shingle long")
+
+
+def _linkable(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Members without those that have too many shingles of their own for any link: what a linked pair
+    shares is at least ``percent`` of either set, and is in both."""
+    rows = _set_rows(texts.join(members.select("node").distinct(), "node"), words)
+    own = rows.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"), F.min("n").alias("n")).where("holders = 1")
+    alone = own.groupBy("node").agg(F.count("*").alias("own"), F.min("n").alias("n")).where(f"100 * (n - own) < {percent} * n")
+    return members.join(alone.select("node"), "node", "left_anti")
+
+
+def _outside(members: DataFrame) -> DataFrame:
+    """Members (bucket, node, part) of the buckets that are in parts, of those with the same members one, with
+    its counts of blocks. Those outside the largest part (``outside``) are sought among all members."""
+    parts = members.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("all"), F.sum(F.col("node") % 1000003).alias("sum"))
+    sizes = (parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"),
+                                         F.expr("bit_xor(all)").alias("all"), F.sum("sum").alias("sum"))
+             .where("parts > 1").groupBy("n", "all", "sum").agg(F.min("bucket").alias("bucket"), F.min_by("top", "bucket").alias("top")))
+    n_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("bucket", F.col("top.part").alias("main"), n_blocks(F.col("n")).alias("n_blocks"), n_blocks(F.col("n") - F.col("top.n")).alias("n_outside"))
+    return members.join(sizes, "bucket").withColumn("outside", F.col("part") != F.col("main")).drop("main")
+
+
 def _search_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components within large buckets (bucket, node, part, n_blocks): every block of
-    a bucket against itself and each other."""
-    block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-    rows = rows.select("bucket", "node", "part", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows = rows.join(texts, "node")
+    """Links between components within large buckets (``_outside``). Two nodes of different parts are not both in
+    the largest one, so every block of the nodes outside it is searched against each block of all members."""
+    place = F.xxhash64("node")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    seeking = members.where("outside").select("bucket", "node", "part", F.pmod(place, F.col("n_outside")).cast("int").alias("x"), numbers("n_blocks").alias("y"), F.lit(True).alias("seeks"))
+    sought = members.select("bucket", "node", "part", numbers("n_outside").alias("x"), F.pmod(place, F.col("n_blocks")).cast("int").alias("y"), F.lit(False).alias("seeks"))
+    # a node that meets its own block is there once
+    rows = seeking.union(sought).groupBy("bucket", "x", "y", "node", "part").agg(F.max("seeks").alias("seeks")).join(texts, "node")
 
     def run(pdf):
         import pandas as pd
         pdf = pdf.sort_values("node")
         sets = Words(pdf["text"].tolist()).shingles(words)
-        two = pdf["x"].iloc[0] != pdf["y"].iloc[0]
-        found = search(pdf["node"].tolist(), pdf["part"].tolist(), sets, percent, pdf["block"].tolist() if two else None)
+        found = search(pdf["node"].tolist(), pdf["part"].tolist(), sets, percent, pdf["seeks"].tolist())
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long")
@@ -203,13 +233,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", wo
     groups = materialise(components(links), "minhash-groups")
 
     large = found.where(F.col("members") > FEW).join(groups, "node", "left")
-    large = materialise(large.select("bucket", "node", "members", F.coalesce("root", "node").alias("part")), "minhash-large")
-    # buckets that are still in parts; of those with the same members one
-    open_ = (large.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.first("members").alias("members"),
-                                         F.expr("bit_xor(xxhash64(node))").alias("all"), F.sum(F.col("node") % 1000003).alias("sum"))
-             .where("p <> q").groupBy("members", "all", "sum").agg(F.min("bucket").alias("bucket"))
-             .select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks")))
-    members = materialise(large.join(open_, "bucket").select("bucket", "node", "part", "n_blocks"), "minhash-open")
+    large = materialise(large.select("bucket", "node", F.coalesce("root", "node").alias("part")), "minhash-large")
+    # buckets that are still in parts
+    open_ = large.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+    members = materialise(large.join(open_, "bucket").select("bucket", "node", "part"), "minhash-open")
+    members = materialise(_outside(_linkable(members, texts, words, percent)), "minhash-outside")
     more = materialise(_search_blocks(members, texts, words, percent), "minhash-more")
     if not more.isEmpty():
         groups = materialise(components(more.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))), "minhash-groups")

@@ -110,6 +110,44 @@ def test_no_link_is_lost_in_a_large_group(spark, monkeypatch):
     assert got == [(a, c) for a, _, c, _ in brute_components(items, 2)]
 
 
+def _varied(n, seed=8):
+    """A base text's copies, each with a few words of its own, some of them linked and some not."""
+    base, out = words(seed, 200), []
+    for i in range(n):
+        text = list(base)
+        for j in range(0, 200, 200 // (1 + i % 9)):
+            text[j] = f"own{i // 2}x{j}"
+        out.append((i, " ".join(text + [str(i % 2)])))
+    return out
+
+
+def test_what_stays_outside_is_sought_without_every_pair_of_blocks(spark, monkeypatch):
+    """Members of a large bucket that the star leaves apart are few: rows grow with the members, not their square."""
+    monkeypatch.setattr(minhash, "FEW", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    items = _varied(96)
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    sought = []
+    search_blocks = minhash._search_blocks
+    monkeypatch.setattr(minhash, "_search_blocks", lambda members, *a: sought.append(members) or search_blocks(members, *a))
+    got = sorted((g["doc_id"], g["component_id"]) for g in collect(minhash.near_duplicates(spark, df, words=5)))
+    assert got == [(a, c) for a, _, c, _ in brute_components(items, 5)]
+    rows = sought[0].selectExpr("count(*) as n", "sum(n_outside + if(outside, n_blocks, 0)) as made", "sum(n_blocks) as square").first()
+    assert rows.n == 0 or rows.made < rows.square
+
+
+def test_sets_of_their_own_are_set_aside(spark):
+    members = spark.createDataFrame([(1, n, n) for n in (1, 2, 3)], "bucket long, node long, part long")
+    texts = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "a b c d e f x y z w")], "node long, text string")
+    assert sorted(r.node for r in minhash._linkable(members, texts, 1, 80).collect()) == [1, 2]
+
+
+def test_a_block_is_searched_for_those_that_seek():
+    sets = [np.arange(10), np.arange(10), np.arange(10), np.arange(20, 30)]
+    assert sorted(minhash.search([1, 2, 3, 4], [1, 2, 2, 4], sets, 80, [True, False, False, True])) == [(1, 2)]
+    assert minhash.search([1, 2, 3, 4], [1, 2, 2, 4], sets, 80, [False] * 4) == []
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert collect(minhash.near_duplicates(spark, docs(spark, empty=True))) == []
 
