@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from taffeta.llm.hashing import Words, _power_tables, blocks, mix
 from taffeta.llm.numbering import numbered_buckets
+from taffeta.operators.ranking import global_rank
 from taffeta.session import SCRATCH, drop_shuffles, materialise, remove_scratch, scratch_path
 
 MIN_WORDS = 50
@@ -132,21 +133,19 @@ def _mark_rows(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _window_rows(rows: DataFrame, size: int) -> DataFrame:
-    """(rid, key, mark, hash, at) of the windows whose mark is one of the row's ``marks``."""
+    """(place, mark, hash, at) of the windows whose mark is one of the row's ``marks``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts, wanted = batch.column(2).to_pylist(), batch.column(3)
+            places, texts, wanted = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
             for a, b in blocks(texts):
                 found = Windows(texts[a:b], size)
                 stops = np.searchsorted(found.owner, np.arange(b - a + 1))
                 at = np.concatenate([i + np.flatnonzero(np.isin(found.marks[i:j], wanted[a + k].values.to_numpy()))
                                      for k, (i, j) in enumerate(zip(stops[:-1], stops[1:]))])
-                owner = a + found.owner[at]
-                yield pa.RecordBatch.from_arrays([pa.array(rids[owner]), pa.array(keys[owner]), pa.array(found.marks[at]), pa.array(found.hashes()[at]), pa.array(found.at[at], pa.int64())],
-                                                 names=["rid", "key", "mark", "hash", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(places[a + found.owner[at]]), pa.array(found.marks[at]), pa.array(found.hashes()[at]), pa.array(found.at[at], pa.int32())],
+                                                 names=["place", "mark", "hash", "at"])
 
-    return rows.select("rid", "key", "text", "marks").mapInArrow(run, "rid long, key long, mark long, hash long, at long")
+    return rows.select("place", "text", "marks").mapInArrow(run, "place long, mark long, hash long, at int")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -159,22 +158,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
     marks = spark.read.parquet(path)
     shared = materialise(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "lines-shared")
     drop_shuffles(spark)
-    wanted = materialise(marks.join(shared, "mark").groupBy("rid").agg(F.collect_list("mark").alias("marks")), "lines-wanted")
+    # a document's place in the order of doc_id: one number to compare windows by
+    places = global_rank(rows.select("rid", "key"), ["key", "rid"], "place").select("rid", "place")
+    wanted = marks.join(shared, "mark").groupBy("rid").agg(F.collect_list("mark").alias("marks"))
+    wanted = materialise(wanted.join(places, "rid"), "lines-wanted")
     remove_scratch(spark, path)
     drop_shuffles(spark)
     path = scratch_path(spark, "lines-windows")
     _window_rows(rows.join(wanted, "rid"), min_words).write.options(**SCRATCH).parquet(path)
     drop_shuffles(spark)
     windows = spark.read.parquet(path)
-    heads = (windows.groupBy("mark", "hash").agg(F.min(F.struct("key", "rid")).alias("head"), F.count("*").alias("n"))
-             .where("n > 1").select("mark", "hash", F.col("head.rid").alias("source")))
+    heads = (windows.groupBy("mark", "hash").agg(F.min("place").alias("source"), F.count("*").alias("n"))
+             .where("n > 1").select("mark", "hash", "source"))
     heads = materialise(heads, "lines-heads")
     drop_shuffles(spark)
-    found = (windows.join(heads, ["mark", "hash"]).where(F.col("rid") != F.col("source"))
-             .groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("at").alias("_starts")))
-    found = materialise(found, "lines-found")
+    found = []
+    for half in ("hash < 0", "hash >= 0"):  # the files of one half's shuffle go before the other's come
+        later = windows.where(half).join(heads.where(half), ["mark", "hash"]).where(F.col("place") != F.col("source"))
+        found.append(materialise(later.groupBy("place").agg(F.collect_list("at").alias("starts")), "lines-found"))
+        drop_shuffles(spark)
     remove_scratch(spark, path)
-    drop_shuffles(spark)
+    found = (found[0].union(found[1]).join(wanted.select("rid", "place"), "place")
+             .groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("starts")).alias("_starts")))
     out = rows_in.join(found, "_rid", "left").select(*columns, "_starts")
     at, n = columns.index(text), len(columns)
 

@@ -257,3 +257,19 @@ def test_passages_in_lines_of_any_length(spark):
     texts += ["\n".join(short), " ".join(words(71, 20)) + "\n" + "\n".join(short) + "\n" + " ".join(words(72, 20))]
     alone.append(words(71, 20) + words(72, 20))
     assert left_of(spark, texts)[1::2] == alone
+
+
+def test_windows_are_compared_in_halves_by_one_number(spark, monkeypatch):
+    """A window's row is a place, a mark, a hash and a word; no half of the windows waits for the other's shuffle."""
+    stored = {}
+    keep = lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: stored.setdefault(name, []).append(df) or keep(df, name))
+    windows = []
+    made = lines._window_rows
+    monkeypatch.setattr(lines, "_window_rows", lambda *a: windows.append(made(*a)) or windows[-1])
+    passage = " ".join(words(3, 60))
+    items = [(2, "second " + passage), (None, passage + " null"), (1, "first " + passage), (1, "again " + passage), (None, passage), (3, "other")]
+    got = {tuple(g.values()) for g in collect(lines.dedup_lines(spark, spark.createDataFrame(items, "doc_id long, text string").coalesce(1)))}
+    assert got == {(2, "second "), (None, "null"), (1, "first " + passage), (1, "again "), (None, ""), (3, "other")}
+    assert windows[0].columns == ["place", "mark", "hash", "at"] and len(stored["lines-found"]) == 2
+    assert all("SortAggregate" not in d._jdf.queryExecution().executedPlan().toString() for d in stored["lines-heads"])
