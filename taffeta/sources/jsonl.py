@@ -38,17 +38,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def write_json_arrays(df: DataFrame, path: str, documents: int | None = None) -> None:
     """Write the rows as JSON arrays, the reference's ``json.dump`` of a list: ``documents`` of them (as many
     as shuffle partitions if not given), each in its own folder ``document=<n>``. Rows are dealt out by
-    their content; a document without rows is not written. A window over a document tells its first row
-    from the others, and a row of its own closes the bracket: built-in expressions only."""
-    spark = df.sparkSession
-    n = documents or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    their content, in one shuffle; a document without rows is not written. A window over a document tells its
+    first and last row, which hold the brackets: built-in expressions only."""
+    n = documents or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(_to_json_col(df).alias("json"), F.monotonically_increasing_id().alias("_at"))
-    rows = materialise(rows.withColumn("document", F.pmod(F.xxhash64("json"), F.lit(n))), "json-rows")
-    closing = rows.select("document").distinct().select(F.lit("]").alias("value"), F.lit(1).alias("_closes"), F.lit(0).cast("long").alias("_at"), "document")
-    first = F.row_number().over(Window.partitionBy("document").orderBy("_at")) == 1
-    opened = rows.select(F.concat(F.when(first, "[").otherwise(","), "json").alias("value"), F.lit(0).alias("_closes"), "_at", "document")
-    out = opened.unionByName(closing).repartition("document").sortWithinPartitions("document", "_closes", "_at")
-    out.select("value", "document").write.partitionBy("document").text(path)
+    rows = rows.withColumn("document", F.pmod(F.xxhash64("json"), F.lit(n)))
+    place = Window.partitionBy("document").orderBy("_at")
+    begins, ends = F.row_number().over(place) == 1, F.lead("_at").over(place).isNull()
+    value = F.concat(F.when(begins, "[").otherwise(","), "json", F.when(ends, "\n]").otherwise(""))
+    rows.select(value.alias("value"), "document").write.partitionBy("document").text(path)
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,16 @@ def test_results_by_strategy_leaves_the_pair_schema(spark):
     assert catalog.QUERIES["results_by_strategy"](spark, sf).columns == ["prompt", "completion", "strategy"]
     assert jsonl.PAIR_SCHEMA.names == ["prompt", "completion"]
     assert catalog.QUERIES["jsonl_roundtrip"](spark, sf).columns == ["prompt", "completion"]
+
+
+def test_arrays_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    def stored(*a):
+        raise AssertionError("rows are stored before they are written")
+
+    monkeypatch.setattr(jsonl, "materialise", stored)
+    d = spark.createDataFrame([(i, 'a "]" \n') for i in range(7)] + [(None, None)] * 2, "i int, t string").repartition(3)
+    jsonl.write_json_arrays(d, str(tmp_path / "a"), 4)
+    texts = [p.read_text() for p in (tmp_path / "a").glob("document=*/part-*")]
+    assert len(texts) == len(list((tmp_path / "a").glob("document=*")))
+    got = [(r.get("i"), r.get("t")) for t in texts for r in json.loads(t)]
+    assert sorted(got, key=str) == sorted(map(tuple, d.collect()), key=str)
