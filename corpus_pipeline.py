@@ -73,7 +73,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
-    coded = bpe.encode(docs.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    # executors come here with heaps that the stages before have filled
+    coded = bpe.encode(docs.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN,
+                       remembered=100_000, block_chars=1 << 20)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taffeta.llm.batches import lean
 from taffeta.llm.hashing import blocks
 
 #: Texts of about so many characters are encoded at a time.
@@ -75,7 +76,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Vocabulary and merge table in an in-process DuckDB of one thread."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int | None = None):
         import duckdb
         import pandas as pd
         import regex
@@ -102,7 +103,7 @@ class Coder:
         self.token_at[at] = np.cumsum(self.token_size[at]) - self.token_size[at]
         self.token_bytes = np.frombuffer(b"".join([t for _, t in tokens]), np.uint8)
         # (ids, decoded bytes) of chunks and of their pieces
-        self.chunk_codes, self.piece_codes = Remembered(CHUNKS), Remembered(PIECES)
+        self.chunk_codes, self.piece_codes = Remembered(remembered or CHUNKS), Remembered(remembered or PIECES)
 
     def encode_pieces(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each piece (as int32 bytes), and the bytes that those ids decode to. Raises if these are
@@ -204,13 +205,13 @@ class Remembered:
 
 
 _DOUBLE = re.compile(r"\s\s").search
-_coders: dict[tuple[str, str], Coder] = {}
+_coders: dict[tuple[str, str, int | None], Coder] = {}
 
 
-def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+def coder(path: str, pattern: str, remembered: int | None = None) -> Coder:
+    if (path, pattern, remembered) not in _coders:
+        _coders[path, pattern, remembered] = Coder(path, pattern, remembered)
+    return _coders[path, pattern, remembered]
 
 
 def _offsets(lengths: list[int]) -> np.ndarray:
@@ -232,24 +233,26 @@ def _table(wids, ids: pa.Array) -> pa.Table:
     return pa.table({"wid": pa.array(wids, pa.int64()), "ids": ids})
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+           remembered: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds ``ids array<int>`` and ``decoded binary``: what the ids of a text's pieces decode to, put
     together, and compared with the vocabulary's bytes of the whole text's ids. Input columns of those
-    names are replaced. ``path`` must name the rank file on every executor."""
+    names are replaced. ``path`` must name the rank file on every executor. ``remembered`` (for ``CHUNKS`` and
+    ``PIECES``) and ``block_chars`` trade memory for time; the result does not depend on them."""
     df = df.drop(ids, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern)
+        c = coder(path, pattern, remembered)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in blocks(texts, BLOCK_CHARS):
+            for a, b in blocks(texts, block_chars):
                 flat, sizes, back = c.put_together([c.chunks(t) if t else [] for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns, _int_lists(flat, sizes), _binary(back)], names=[*batch.schema.names, ids, decoded])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -271,7 +274,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
             out = c.decode_lists(flat, _offsets([len(x) for x in lists]))
             yield pa.RecordBatch.from_arrays([*batch.columns, _binary(out)], names=[*batch.schema.names, decoded])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taffeta.llm.batches import lean
 from taffeta.llm.hashing import Words, _power_tables, blocks, mix
 from taffeta.llm.numbering import numbered_buckets
 from taffeta.operators.ranking import global_rank
@@ -129,7 +130,7 @@ def _mark_rows(rows: DataFrame, size: int) -> DataFrame:
                 at = order[new]
                 yield pa.RecordBatch.from_arrays([pa.array(rids[a + owner[at]]), pa.array(marks[at])], names=["rid", "mark"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, mark long")
+    return rows.select("rid", "text").mapInArrow(lean(run), "rid long, mark long")
 
 
 def _window_rows(rows: DataFrame, size: int) -> DataFrame:
@@ -145,7 +146,7 @@ def _window_rows(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(places[a + found.owner[at]]), pa.array(found.marks[at]), pa.array(found.hashes()[at]), pa.array(found.at[at], pa.int32())],
                                                  names=["place", "mark", "hash", "at"])
 
-    return rows.select("place", "text", "marks").mapInArrow(run, "place long, mark long, hash long, at int")
+    return rows.select("place", "text", "marks").mapInArrow(lean(run), "place long, mark long, hash long, at int")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -195,4 +196,4 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
             made[at] = pa.array(texts, made[at].type)
             yield pa.RecordBatch.from_arrays(made, names=columns)
 
-    return out.mapInArrow(run, docs.schema)
+    return out.mapInArrow(lean(run), docs.schema)

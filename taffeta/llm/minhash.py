@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taffeta.llm.batches import lean
 from taffeta.llm.components import components
 from taffeta.llm.hashing import Words, blocks, mix
 from taffeta.llm.numbering import numbered
@@ -88,7 +89,7 @@ def _hashed(rows: DataFrame, words: int) -> DataFrame:
                     pa.array(keys, pa.list_(pa.int64())),
                 ], names=["rid", "doc_id", "n", "node", "bands"])
 
-    return materialise(rows.mapInArrow(run, "rid long, doc_id long, n long, node long, bands array<long>"), "minhash-rows")
+    return materialise(rows.mapInArrow(lean(run), "rid long, doc_id long, n long, node long, bands array<long>"), "minhash-rows")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -114,7 +115,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 good = [k for k in range(i, j) if _linked(sets[a[k]], sets[b[k]], percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def search(nodes: list[int], parts: list[int], sets: list[np.ndarray], percent: int, seeks: list[bool]) -> list[tuple[int, int]]:
@@ -154,7 +155,7 @@ def _set_rows(rows: DataFrame, words: int) -> DataFrame:
                     pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64)),
                 ], names=["node", "n", "shingle"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, n long, shingle long")
+    return rows.select("node", "text").mapInArrow(lean(run), "node long, n long, shingle long")
 
 
 def _linkable(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

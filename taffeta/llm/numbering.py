@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from taffeta.llm.batches import lean
 from taffeta.session import SCRATCH, bucketed, drop_shuffles, materialise, remove_scratch, scratch_path
 
 
@@ -23,7 +24,7 @@ def _numbers(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, *batch.columns], names=["_rid", *batch.schema.names])
             rid += batch.num_rows
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

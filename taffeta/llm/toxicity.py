@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taffeta.llm.batches import lean
 from taffeta.llm.hashing import ALNUM, LOWER, Words, blocks, mix
 from taffeta.session import materialise
 
@@ -66,7 +67,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["code", "n"])
 
     out = np.zeros(size, np.int64)
-    for code, n in docs.select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n")).collect():
+    for code, n in docs.select(text).mapInArrow(lean(run), "code int, n long").groupBy("code").agg(F.sum("n")).collect():
         out[code] = n
     return out
 
@@ -275,7 +276,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
             for a, b in blocks(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(restore_texts(texts[a:b], characters)), batch.column(1).slice(a, b - a).cast(pa.int32())], names=["text", "toxic"])
 
-    sample = materialise(sample.mapInArrow(restored, "text string, toxic int"), "toxic-sample")
+    sample = materialise(sample.mapInArrow(lean(restored), "text string, toxic int"), "toxic-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +292,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
     n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
     share = (p + q) / (n1 + n0)
     z = (p / n1 - q / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    best = (sample.mapInArrow(counted, "key long, p long, q long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    best = (sample.mapInArrow(lean(counted), "key long, p long, q long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
             .where(p + q >= 4).withColumn("z", F.abs(z)).where("z >= 4").orderBy(F.desc("z"), "key").limit(FEATURES))
     keys = np.sort(np.array([r[0] for r in best.select("key").collect()], np.int64).view(np.uint64))
     model = Model(characters, 0.0, keys, np.zeros(len(keys)))
@@ -304,7 +305,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
                 parts = np.split(at, np.searchsorted(owner, np.arange(1, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(parts, pa.list_(pa.int32()))], names=["toxic", "at"])
 
-    rows = sample.mapInArrow(chosen, "toxic int, at array<int>").collect()  # at most the sample's rows
+    rows = sample.mapInArrow(lean(chosen), "toxic int, at array<int>").collect()  # at most the sample's rows
     rows.sort(key=lambda r: (r[0], r[1]))
     label = np.array([r[0] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
@@ -329,4 +330,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", r
                 columns = [*batch.slice(a, b - a).columns, pa.array(m.scores(clear))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(clear, pa.string())] if restored else []), names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

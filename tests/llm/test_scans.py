@@ -117,6 +117,29 @@ def test_what_was_forgotten_is_coded_again():
             assert decoded == [t.encode() for t in some]
 
 
+def test_encoding_with_little_memory_is_the_same(spark, monkeypatch):
+    import corpus_pipeline
+    import public_tokenizers as P
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert (bpe.coder(path, P.PATTERN, 20).piece_codes.limit, bpe.coder(path, P.PATTERN).piece_codes.limit) == (20, bpe.PIECES)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    little, much = (sorted(collect(bpe.encode(docs(spark), path, P.PATTERN, **x)), key=key) for x in ({"remembered": 20, "block_chars": 500}, {}))
+    assert little == much
+    asked, whole = {}, bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **b: asked.update(b) or whole(*a, **b))
+    assert all(r["round_trip"] for r in collect(corpus_pipeline.encode(spark, docs(spark), "")))
+    assert asked["remembered"] <= bpe.PIECES // 2 and asked["block_chars"] <= bpe.BLOCK_CHARS // 2
+
+
+def test_a_lean_function_gives_all_batches_then_memory_back(monkeypatch):
+    from taffeta.llm import batches
+    trimmed = []
+    library = type("Library", (), {"malloc_trim": staticmethod(trimmed.append)})
+    monkeypatch.setattr(batches.ctypes, "CDLL", lambda name: library)
+    out = batches.lean(lambda xs: (x + 1 for x in xs))(iter([1, 2]))
+    assert [next(out), next(out), trimmed] == [2, 3, []] and list(out) == [] and trimmed == [0]
+
+
 def test_ids_that_do_not_spell_the_text_are_an_error():
     import public_tokenizers as P
     import pytest
