@@ -35,8 +35,8 @@ def prefix_pairs(df: DataFrame, text_col: str = "templated", bos: str = BOS, eos
     """G1 (+A1 when ``dedup``): all (prompt, completion) prefix splits of each text.
 
     The text is first normalised to single-space-separated tokens; pair i then cuts that string
-    after its i-th token (``substring_index`` gives the cut point), so each pair is two native
-    substring copies, with no per-pair array building. ``keep`` columns ride along to every pair
+    after its i-th token (``substring_index`` from the left, and from the right for the rest), so each pair is
+    two native copies found by bytes, with no per-pair array building. ``keep`` columns ride along to every pair
     of their text (with ``dedup`` they must be functions of the text, e.g. a split keyed on it).
     """
     w = df.select(*keep, F.array_join(py_split_ws(text_col), " ").alias("_norm"))
@@ -46,11 +46,10 @@ def prefix_pairs(df: DataFrame, text_col: str = "templated", bos: str = BOS, eos
     # the de-dup to the scan, re-running the whole text derivation; the guarded cut sequence
     # already yields nothing for a one-token text
     w = w.withColumn("_n", F.size(F.split(F.col("_norm"), " ")))
-    x = explode_rows(w, [*keep, "_norm"], _cuts(F.col("_n")), "_i")
-    cut = F.expr("length(substring_index(_norm, ' ', _i))")
+    x = explode_rows(w, [*keep, "_norm", "_n"], _cuts(F.col("_n")), "_i")
     return x.select(*keep,
-                    F.concat(F.lit(bos), F.substring(F.col("_norm"), F.lit(1), cut), F.lit(" ")).alias("prompt"),
-                    F.concat(F.substring(F.col("_norm"), cut + 2, F.lit(1 << 30)), F.lit(eos)).alias("completion"))
+                    F.concat(F.lit(bos), F.expr("substring_index(_norm, ' ', _i)"), F.lit(" ")).alias("prompt"),
+                    F.concat(F.expr("substring_index(_norm, ' ', _i - _n)"), F.lit(eos)).alias("completion"))
 
 
 def prefix_cuts(df: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:

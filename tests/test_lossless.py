@@ -205,3 +205,72 @@ def test_an_artefact_is_built_once(spark):
         build_if_absent(spark, other, lambda: (_ for _ in ()).throw(ValueError("no")))
     put(spark, other.rsplit("/", 1)[0], "", other.rsplit("/", 1)[1] + ".claim")  # of an application that died
     assert build_if_absent(spark, other, build, stale_s=-1).count() == 5
+
+
+def test_events_of_a_batch_wait_as_one_value_of_state():
+    import pandas as pd
+    from taffeta.streaming.ask import Asking
+    calls, timers = [], set()
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def exists(self):
+            calls.append("exists")
+            return bool(self.held)
+
+        def get(self):
+            calls.append("get")
+            return self.held[0] if self.value else iter(self.held)
+
+        def update(self, value):
+            calls.append("update")
+            self.held = [value]
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.held.append(value)
+
+        def put(self, values):
+            calls.append("put")
+            self.held = values
+
+        def clear(self):
+            calls.append("clear")
+            self.held = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return type("Value", (State,), {"value": True})()
+
+        def getListState(self, name, schema):
+            return type("Several", (State,), {"value": False})()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.add(at)
+
+    asking = Asking(["event_id", "typed", "completion"])
+    asking.init(Handle())
+    rows = [(3, "AB x y", "third", 30_000_000, False), (1, "AB", "AB x y", 10_000_000, False), (2, "AB x", None, 20_000_000, False), (0, None, None, 99_000_000_000, True)]
+    frame = pd.DataFrame(rows, columns=["event_id", "typed", "completion", "event_us", "event_closes"])
+    assert list(asking.handleInputRows(("u",), iter([frame]), None)) == [] and calls == ["append", "timer"] and timers == {10_000}
+    assert list(asking.handleInputRows(("u",), iter([frame.tail(1)]), None)) == [] and len(calls) == 2
+    got = []
+    for passed in (5_000, 20_001, 40_000):
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self, at=passed: at})()
+        got.append([(r.event_id, r.request) for out in asking.handleExpiredTimer(("u",), now, None) for r in out.itertuples()])
+    assert got == [[], [(1, True), (2, False)], [(3, False)]]
+    assert timers == {10_000, 30_000} and asking.waiting.held == []
+
+
+def test_pairs_are_cut_by_bytes_from_both_ends(spark):
+    from taffeta.operators.prefixes import prefix_pairs
+    texts = ["é😀 漢字  b", " a é é ", "one", "", None, "x y", "x  y"]
+    pairs = prefix_pairs(spark.createDataFrame([(t,) for t in texts], "templated string"), "templated", "<", ">")
+    want = {(f"<{' '.join(w[:i])} ", f"{' '.join(w[i:])}>") for t in texts for w in [(t or "").split()] for i in range(1, len(w))}
+    got = [tuple(r) for r in pairs.collect()]
+    assert sorted(got) == sorted(want)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(" not in plan and "substring(" not in plan
