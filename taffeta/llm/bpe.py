@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from taffeta.llm.hashing import blocks
 
 #: Texts of about so many characters are encoded at a time.
 BLOCK_CHARS = 4 << 20
-#: Chunks and pieces of a generation that a worker remembers; there are two generations.
-CHUNKS, PIECES = 300_000, 300_000
+#: Pieces of a generation that a worker remembers; there are two generations.
+PIECES = 400_000
 #: Steps of one recursive query. What is unfinished then goes on in the next one, so that states
 #: of very long pieces don't pile up.
 STEPS = 48
@@ -96,14 +97,12 @@ class Coder:
             self.db.execute(f"create table {name} as select * from rows")
             self.db.unregister("rows")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        tokens = sorted((i, t) for t, i in self.ranks.items())
-        self.token_size, self.token_at = np.zeros((2, tokens[-1][0] + 1), np.int64)
-        at = [i for i, _ in tokens]
-        self.token_size[at] = [len(t) for _, t in tokens]
-        self.token_at[at] = np.cumsum(self.token_size[at]) - self.token_size[at]
-        self.token_bytes = np.frombuffer(b"".join([t for _, t in tokens]), np.uint8)
-        # (ids, decoded bytes) of chunks and of their pieces
-        self.chunk_codes, self.piece_codes = Remembered(remembered or CHUNKS), Remembered(remembered or PIECES)
+        by_id = {i: t for t, i in self.ranks.items()}
+        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.token_size = np.array([len(t) for t in tokens])
+        self.tokens = pa.array(tokens, pa.large_binary())
+        # ids and decoded bytes of pieces; a chunk's are those of its pieces
+        self.chunk_codes = self.piece_codes = Remembered(remembered or PIECES)
 
     def encode_pieces(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each piece (as int32 bytes), and the bytes that those ids decode to. Raises if these are
@@ -150,37 +149,78 @@ class Coder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Ids and decoded bytes of every chunk. A piece that any earlier chunk had is not encoded again."""
-        new = self.chunk_codes.missing(chunks)
-        found = [self.find(c) for c in new]
-        pieces = self.piece_codes.missing({p for x in found for p in x})
-        if pieces:
-            self.piece_codes.add(pieces, *self.encode_pieces(pieces))
-        ids, back = self.piece_codes.ids, self.piece_codes.decoded
-        self.chunk_codes.add(new, [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in found],
-                             [back[x[0]] if len(x) == 1 else b"".join([back[p] for p in x]) for x in found])
+    def cut(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The ``chunks`` of all texts, and where each text's begin and end. They lie in the texts' own bytes, so that
+        their places are enough."""
+        raw = [t.encode() if t else b"" for t in texts]
+        data, at = b"".join(raw), np.cumsum([0, *map(len, raw)], dtype=np.int64)
+        opens = np.frombuffer(data, np.uint8) == 32
+        opens[at[:-1][at[:-1] < len(data)]] = True
+        for k, t in enumerate(texts):
+            if t and _DOUBLE(t):
+                sizes = [len(x.encode()) for x in self.find(t)]
+                if sum(sizes) != len(raw[k]):  # the pattern leaves characters out
+                    split = [self.chunks(t) if t else [] for t in texts]
+                    return _listed(split)
+                opens[at[k]:at[k + 1]] = False
+                opens[at[k] + np.cumsum([0, *sizes[:-1]], dtype=np.int64)] = True
+        starts = np.flatnonzero(opens)
+        offsets = pa.py_buffer(np.append(starts, len(data)))
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, offsets, pa.py_buffer(data)]), np.searchsorted(starts, at)
+
+    def pieces(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces of all chunks; the place of each chunk's first one, and their number. Chunks that open with a space are
+        cut as one text, if ``chunks`` would part that in the same way."""
+        spaced = np.array([c[0] == " " and not c[-1].isspace() for c in chunks], bool)
+        together = list(compress(chunks, spaced))
+        text = "".join(together)
+        found = [] if _DOUBLE(text) else self.find(text)
+        if sum(map(len, found)) != len(text):  # white space meets, or the pattern leaves characters out
+            found, together, spaced[:] = [], [], False
+        ends, stops = (np.cumsum([0, *map(len, x)]) for x in (found, together))
+        rest = [self.find(c) for c in compress(chunks, ~spaced)]
+        size = np.zeros(len(chunks), np.int64)
+        size[spaced] = np.diff(np.searchsorted(ends, stops))
+        size[~spaced] = [len(x) for x in rest]
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+        first = np.zeros(len(chunks), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return [*found, *chain.from_iterable(rest)], first, size
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids and decoded bytes of every piece that is not remembered."""
+        new = self.piece_codes.missing(set(pieces))
+        if new:
+            self.piece_codes.add(new, *self.encode_pieces(new))
 
     def put_together(self, split: list[list[str]]) -> tuple[np.ndarray, list[int], list[bytes]]:
+        """``code`` of texts that are already cut."""
+        return self.code(*_listed(split))
+
+    def code(self, chunks: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
         """Ids of all texts, each text's number of ids, and each text's decoded bytes: those that the
         decoding query gave for its pieces. The bytes of the ids, read from the vocabulary, must be the same."""
-        self.learn(set().union(*split))
-        own = [b"".join(map(self.chunk_codes.ids.__getitem__, s)) for s in split]
-        ids, sizes = np.frombuffer(b"".join(own), np.int32), [len(x) // 4 for x in own]
-        decoded = [b"".join(map(self.chunk_codes.decoded.__getitem__, s)) for s in split]
-        if self.bytes_of(ids) != b"".join(decoded) or self.lengths_of(ids, sizes) != [len(d) for d in decoded]:
+        coded = chunks.dictionary_encode()
+        found, first, size = self.pieces(_strings(coded.dictionary))
+        known: dict[str, int] = {}
+        number = np.array([known.setdefault(p, len(known)) for p in found], np.int64)
+        self.learn(list(known))
+        each = coded.indices.to_numpy()
+        first, size = first[each], size[each]
+        upto = np.cumsum(np.append(0, size))
+        where = pa.array(number[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])])
+        own, own_at = _taken(self._remembered(self.piece_codes.ids, known), where)
+        text, text_at = _taken(self._remembered(self.piece_codes.decoded, known), where)
+        ids, id_ends, text_ends = np.frombuffer(own, np.int32), own_at[upto[ends]] // 4, text_at[upto[ends]]
+        back, back_at = _taken(self.tokens, pa.array(ids))
+        if back != text or not np.array_equal(back_at[id_ends], text_ends):
             raise ValueError("ids of a text decode to something else than its pieces")
-        return ids, sizes, decoded
-
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        begin, size = self.token_at[ids], self.token_size[ids]
-        last = np.cumsum(size)
-        steps = np.arange(last[-1] if len(last) else 0) + np.repeat(begin - (last - size), size)
-        return self.token_bytes[steps].tobytes()
+        cuts = text_ends.tolist()
+        return ids, np.diff(id_ends).tolist(), [text[i:j] for i, j in zip(cuts, cuts[1:])]
 
-    def lengths_of(self, ids: np.ndarray, sizes: list[int]) -> list[int]:
-        upto = np.concatenate([[0], np.cumsum(self.token_size[ids])])
-        return np.diff(upto[_offsets(sizes)]).tolist()
+    @staticmethod
+    def _remembered(codes: dict[str, bytes], keys: dict[str, int]) -> pa.Array:
+        return pa.array([*map(codes.__getitem__, keys)], pa.large_binary())
 
 
 class Remembered:
@@ -229,6 +269,31 @@ def _binary(parts: list[bytes]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(parts), [None, offsets, pa.py_buffer(b"".join(parts))])
 
 
+def _listed(split: list[list[str]]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array([*chain.from_iterable(split)], pa.large_string()), _offsets([len(x) for x in split])
+
+
+def _strings(values: pa.Array) -> list[str]:
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return []
+    at = np.frombuffer(offsets, np.int64)[:len(values) + 1]
+    raw = np.frombuffer(data, np.uint8)[:at[-1]]
+    text = raw.tobytes().decode()
+    if len(text) < len(raw):
+        at = np.cumsum(np.append(0, (raw & 0xC0) != 0x80))[at]
+    cuts = at.tolist()
+    return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def _taken(values: pa.Array, indices: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The values of the indices as one, and where each begins and ends."""
+    out = values.take(indices)
+    _, offsets, data = out.buffers()
+    at = np.frombuffer(offsets, np.int64)[:len(out) + 1] if len(out) else np.zeros(1, np.int64)
+    return data.to_pybytes()[:at[-1]] if data and at[-1] else b"", at
+
+
 def _table(wids, ids: pa.Array) -> pa.Table:
     return pa.table({"wid": pa.array(wids, pa.int64()), "ids": ids})
 
@@ -237,8 +302,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
            remembered: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds ``ids array<int>`` and ``decoded binary``: what the ids of a text's pieces decode to, put
     together, and compared with the vocabulary's bytes of the whole text's ids. Input columns of those
-    names are replaced. ``path`` must name the rank file on every executor. ``remembered`` (for ``CHUNKS`` and
-    ``PIECES``) and ``block_chars`` trade memory for time; the result does not depend on them."""
+    names are replaced. ``path`` must name the rank file on every executor. ``remembered`` (for ``PIECES``)
+    and ``block_chars`` trade memory for time; the result does not depend on them."""
     df = df.drop(ids, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
     at = df.columns.index(text)
@@ -248,7 +313,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in blocks(texts, block_chars):
-                flat, sizes, back = c.put_together([c.chunks(t) if t else [] for t in texts[a:b]])
+                flat, sizes, back = c.code(*c.cut(texts[a:b]))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns, _int_lists(flat, sizes), _binary(back)], names=[*batch.schema.names, ids, decoded])
 

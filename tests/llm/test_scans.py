@@ -117,6 +117,29 @@ def test_what_was_forgotten_is_coded_again():
             assert decoded == [t.encode() for t in some]
 
 
+def test_a_block_is_cut_and_looked_up_as_one():
+    """Chunks are cut together and are not remembered beside their pieces."""
+    import public_tokenizers as P
+    import tiktoken
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    c = bpe.Coder(path, P.PATTERN)
+    found, cut = [], c.find
+    c.find = lambda text: found.append(text) or cut(text)
+    plain = [" ".join(f"w{i}x{j}, don't\ncaf\u00e9{i}." for i in range(50)) for j in range(40)]
+    c.put_together([c.chunks(t) for t in plain])
+    assert len(found) <= 2 + len(plain)
+    assert set(c.piece_codes.ids) == {p for t in plain for p in cut(t)}
+    odd = [" lead", "trail ", " ", "\n", "a  b", "a\u00a0 b", "\u3000x y\u3000", "x\x1c y", "a\0 b \0", " \0", "tab\t end\n\n\n x", "it's 'll 12 \u00b2\u2167", "", None, "\u6f22\u5b57 \U0001f600!"]
+    for texts in (odd, plain + odd, odd[::-1], [None, ""], []):
+        chunks, at = c.cut(texts)
+        assert [chunks[int(i):int(j)].to_pylist() for i, j in zip(at[:-1], at[1:])] == [c.chunks(t) if t else [] for t in texts]
+        ids, sizes, decoded = c.code(chunks, at)
+        ends = np.cumsum([0, *sizes])
+        assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:])] == [encoding.encode_ordinary(t or "") for t in texts]
+        assert decoded == [(t or "").encode() for t in texts]
+
+
 def test_encoding_with_little_memory_is_the_same(spark, monkeypatch):
     import corpus_pipeline
     import public_tokenizers as P
