@@ -9,8 +9,11 @@ linear in the words however many documents share a window, and leaves no common
 
 Only windows that can be shared are compared. The mark of a window is the least hash of the runs of
 half as many words inside it, so that equal windows have equal marks and neighbours mostly the same
-one. Marks of one document only are dropped first; then the windows of the others are compared by
-their mark and their own hash, 128 bits together.
+one. Marks of one document only are dropped first. The others' windows are compared by runs: windows
+of one mark that follow each other, by the hash of all their words. A run that an earlier document has
+goes whole. What is left are the first documents of each run; where those of one mark have different
+runs, their windows are compared one by one, by their mark and their own hash, 128 bits together. That
+is enough, as the first document of a window is also the first of the run in which it has it.
 
 Defined cases: null and empty texts stay as they are. Documents are ordered by doc_id (null last),
 then in the order of reading; a later copy of a whole text is left with an empty text. What comes
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,16 @@ class Windows:
         n = max(len(self._up_to) - size, 0)
         return mix((self._up_to[size:] - self._up_to[:n]) * _power_tables(n)[1][:n])
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first window of each run of windows of one text and mark, their number, and a hash of all the run's words."""
+        new = np.ones(len(self.at), bool)
+        new[1:] = (np.diff(self.marks) != 0) | (np.diff(self.owner) != 0)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(self.at)))
+        begin = self._inside[first]
+        words = self._up_to[begin + n + (self.size - 1)] - self._up_to[begin]
+        return first, n, mix(words * _power_tables(len(self._up_to))[1][begin]).view(np.int64)
+
     def hashes(self) -> np.ndarray:
         return self._spans(self.size)[self._inside].view(np.int64)
 
@@ -106,31 +120,28 @@ def cut(text: str, ranges: list[tuple[int, int]], words: Words, index: int) -> s
     return b"".join(keep).decode("utf-8", "surrogatepass")
 
 
-def _ranges(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Word ranges that windows from these words cover, in order."""
-    starts = np.unique(starts)
-    gaps = np.flatnonzero(np.diff(starts) > size)
-    first, last = starts[np.concatenate([[0], gaps + 1])], starts[np.concatenate([gaps, [len(starts) - 1]])]
-    return [(int(i), int(j) + size) for i, j in zip(first, last)]
+def _ranges(starts: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Word ranges that so many windows from these words on cover, in order."""
+    order = np.argsort(starts)
+    starts, stops = starts[order], np.maximum.accumulate(starts[order] + counts[order] + (size - 1))
+    gaps = np.flatnonzero(starts[1:] > stops[:-1])
+    first, last = starts[np.concatenate([[0], gaps + 1])], stops[np.concatenate([gaps, [len(stops) - 1]])]
+    return list(zip(first.tolist(), last.tolist()))
 
 
-def _mark_rows(rows: DataFrame, size: int) -> DataFrame:
-    """(rid, mark) of each distinct mark of each document."""
+def _run_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(rid, mark, run, at, n): each run of ``n`` windows of one mark, from word ``at`` on, with a hash of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 found = Windows(texts[a:b], size)
-                new = np.ones(len(found.at), bool)
-                new[1:] = (np.diff(found.marks) != 0) | (np.diff(found.owner) != 0)
-                owner, marks = found.owner[new], found.marks[new]
-                order = np.lexsort((marks, owner))
-                new = np.ones(len(order), bool)
-                new[1:] = (np.diff(marks[order]) != 0) | (np.diff(owner[order]) != 0)
-                at = order[new]
-                yield pa.RecordBatch.from_arrays([pa.array(rids[a + owner[at]]), pa.array(marks[at])], names=["rid", "mark"])
+                first, n, hashes = found.runs()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rids[a + found.owner[first]]), pa.array(found.marks[first]), pa.array(hashes),
+                     pa.array(found.at[first], pa.int32()), pa.array(n, pa.int32())], names=["rid", "mark", "run", "at", "n"])
 
-    return rows.select("rid", "text").mapInArrow(lean(run), "rid long, mark long")
+    return rows.select("rid", "text").mapInArrow(lean(run), "rid long, mark long, run long, at int, n int")
 
 
 def _window_rows(rows: DataFrame, size: int) -> DataFrame:
@@ -149,24 +160,39 @@ def _window_rows(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("place", "text", "marks").mapInArrow(lean(run), "place long, mark long, hash long, at int")
 
 
+def _of_several(rows: DataFrame, document: str) -> DataFrame:
+    """Marks that rows of different documents have."""
+    ends = rows.groupBy("mark").agg(F.min(document).alias("least"), F.max(document).alias("most"))
+    return ends.where("least < most").select("mark")
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``; later repeats of common passages are deleted from the text."""
     columns = docs.columns
+    # joins hash the side that has each key once: the other, of runs, windows or texts, need not be sorted
     rows_in = numbered_buckets(docs)
     rows = rows_in.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col(text).alias("text"))
-    path = scratch_path(spark, "lines-marks")
-    _mark_rows(rows, min_words).write.options(**SCRATCH).parquet(path)
-    marks = spark.read.parquet(path)
-    shared = materialise(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "lines-shared")
+    path = scratch_path(spark, "lines-runs")
+    _run_rows(rows, min_words).write.options(**SCRATCH).parquet(path)
+    runs = spark.read.parquet(path)
+    shared = materialise(_of_several(runs, "rid"), "lines-shared")
     drop_shuffles(spark)
-    # a document's place in the order of doc_id: one number to compare windows by
+    # a document's place in the order of doc_id: one number to compare runs and windows by
     places = global_rank(rows.select("rid", "key"), ["key", "rid"], "place").select("rid", "place")
-    wanted = marks.join(shared, "mark").groupBy("rid").agg(F.collect_list("mark").alias("marks"))
-    wanted = materialise(wanted.join(places, "rid"), "lines-wanted")
+    alike = materialise(runs.join(shared.hint("shuffle_hash"), "mark").join(places, "rid"), "lines-alike")
     remove_scratch(spark, path)
     drop_shuffles(spark)
+    firsts = materialise(alike.groupBy("mark", "run").agg(F.min("place").alias("source")), "lines-heads")
+    alike = materialise(alike.join(firsts.hint("shuffle_hash"), ["mark", "run"]), "lines-known")
+    copies = (alike.where("place != source").groupBy("rid")
+              .agg(F.collect_list(F.struct("at", "n")).alias("runs")))
+    # stored, so that Spark can split a mark of many runs in the join
+    several = materialise(_of_several(firsts, "source"), "lines-several")
+    wanted = alike.where("place = source").join(several.hint("shuffle_hash"), "mark")
+    wanted = materialise(wanted.groupBy("rid", "place").agg(F.collect_list("mark").alias("marks")), "lines-wanted")
+    drop_shuffles(spark)
     path = scratch_path(spark, "lines-windows")
-    _window_rows(rows.join(wanted, "rid"), min_words).write.options(**SCRATCH).parquet(path)
+    _window_rows(rows.join(wanted.hint("shuffle_hash"), "rid"), min_words).write.options(**SCRATCH).parquet(path)
     drop_shuffles(spark)
     windows = spark.read.parquet(path)
     heads = (windows.groupBy("mark", "hash").agg(F.min("place").alias("source"), F.count("*").alias("n"))
@@ -175,25 +201,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_wo
     drop_shuffles(spark)
     found = []
     for half in ("hash < 0", "hash >= 0"):  # the files of one half's shuffle go before the other's come
-        later = windows.where(half).join(heads.where(half), ["mark", "hash"]).where(F.col("place") != F.col("source"))
+        later = windows.where(half).join(heads.where(half).hint("shuffle_hash"), ["mark", "hash"]).where(F.col("place") != F.col("source"))
         found.append(materialise(later.groupBy("place").agg(F.collect_list("at").alias("starts")), "lines-found"))
         drop_shuffles(spark)
     remove_scratch(spark, path)
-    found = (found[0].union(found[1]).join(wanted.select("rid", "place"), "place")
-             .groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("starts")).alias("_starts")))
-    out = rows_in.join(found, "_rid", "left").select(*columns, "_starts")
+    one = F.transform("starts", lambda at: F.struct(at.alias("at"), F.lit(1).alias("n")))
+    found = found[0].union(found[1]).join(wanted.select("rid", "place"), "place").select("rid", one.alias("runs"))
+    found = found.union(copies).groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("runs")).alias("_runs"))
+    out = rows_in.join(found.hint("shuffle_hash"), "_rid", "left").select(*columns, "_runs")
     at, n = columns.index(text), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column(at).to_pylist(), batch.column(n)
-            hit = [i for i in range(len(texts)) if starts[i].is_valid]
-            for a, b in blocks([texts[i] for i in hit]):
-                words = Words([texts[i] for i in hit[a:b]])
-                for k, i in enumerate(hit[a:b]):
-                    texts[i] = cut(texts[i], _ranges(starts[i].values.to_numpy(), min_words), words, k)
+            hit = batch.column(n).is_valid()
+            texts, runs = batch.column(at).filter(hit).to_pylist(), batch.column(n).filter(hit)
+            for a, b in blocks(texts):
+                words = Words(texts[a:b])
+                for i in range(a, b):
+                    starts, counts = runs[i].values.flatten()
+                    texts[i] = cut(texts[i], _ranges(starts.to_numpy(), counts.to_numpy(), min_words), words, i - a)
             made = list(batch.columns[:n])
-            made[at] = pa.array(texts, made[at].type)
+            made[at] = pc.replace_with_mask(made[at], hit, pa.array(texts, made[at].type))
             yield pa.RecordBatch.from_arrays(made, names=columns)
 
     return out.mapInArrow(lean(run), docs.schema)

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from taffeta.llm.batches import lean
 from taffeta.session import SCRATCH, bucketed, drop_shuffles, materialise, remove_scratch, scratch_path
 
 
 def _numbers(docs: DataFrame) -> DataFrame:
-    docs = docs.drop("_rid")
-    schema = T.StructType([T.StructField("_rid", T.LongType()), *docs.schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids = pa.array(range(rid, rid + batch.num_rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, *batch.columns], names=["_rid", *batch.schema.names])
-            rid += batch.num_rows
-
-    return docs.mapInArrow(lean(run), schema)
+    """The rows behind a number for each, which rises in the order of reading."""
+    return docs.drop("_rid").select(F.monotonically_increasing_id().alias("_rid"), "*")
 
 
 def numbered(docs: DataFrame) -> DataFrame:

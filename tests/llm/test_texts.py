@@ -273,3 +273,23 @@ def test_windows_are_compared_in_halves_by_one_number(spark, monkeypatch):
     assert got == {(2, "second "), (None, "null"), (1, "first " + passage), (1, "again "), (None, ""), (3, "other")}
     assert windows[0].columns == ["place", "mark", "hash", "at"] and len(stored["lines-found"]) == 2
     assert all("SortAggregate" not in d._jdf.queryExecution().executedPlan().toString() for d in stored["lines-heads"])
+
+
+def test_windows_of_copied_runs_are_not_compared_one_by_one(spark, monkeypatch):
+    """A run of windows that an earlier document has goes whole; only different runs of one mark are opened."""
+    counted = []
+    made = lines._window_rows
+    monkeypatch.setattr(lines, "_window_rows", lambda *a: counted.append(made(*a).count()) or made(*a))
+    copies = [" ".join(words(90 + i // 3, 300)) for i in range(9)]
+    assert left_of(spark, copies)[1::3] == [[]] * 3 and counted == [0]
+    twice = words(95, 120)
+    near = [[w if (i + 37 * k) % 160 else w + "x" for i, w in enumerate(words(96, 500))] for k in range(5)]
+    parts = [words(97, 80) + near[2][100:260], twice + words(98, 20) + twice, words(99, 40) + twice[30:] + near[0][:90]]
+    left_of(spark, [*copies[:2], *(" ".join(t) for t in near + parts + near[:2] + parts[::-1])])
+    assert 0 < counted[1] < 2500
+
+
+def test_rows_are_numbered_in_the_order_of_reading(spark):
+    from taffeta.llm.numbering import numbered
+    stored = numbered(spark.range(0, 500, 1, 7).withColumn("_rid", F.lit(0)))
+    assert stored.columns == ["_rid", "id"] and [r.id for r in stored.orderBy("_rid").collect()] == list(range(500))
