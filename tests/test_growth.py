@@ -114,3 +114,33 @@ def test_arrays_are_written_in_one_pass(spark, tmp_path, monkeypatch):
     assert len(texts) == len(list((tmp_path / "a").glob("document=*")))
     got = [(r.get("i"), r.get("t")) for t in texts for r in json.loads(t)]
     assert sorted(got, key=str) == sorted(map(tuple, d.collect()), key=str)
+
+
+def test_compressed_arrays_are_neither_stored_nor_shuffled_to_be_read(spark, tmp_path, monkeypatch):
+    def stored(*a):
+        raise AssertionError("pieces are stored before they are read")
+
+    monkeypatch.setattr(jsonl, "materialise", stored)
+    d = spark.createDataFrame([(i, ['{"}', "a\\", ""][i % 3] * (i % 4)) for i in range(40)] + [(None, None)], "i int, t string")
+    jsonl.write_json_arrays(d, str(tmp_path / "a"), 3, compression="gzip")
+    assert len(list((tmp_path / "a").glob("document=*/part-*.txt.gz"))) == 3
+    back = jsonl.read_json_arrays(spark, str(tmp_path / "a"), d.schema)
+    assert "Exchange" not in plan(back)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, d.collect()), key=str)
+
+
+def test_split_and_compressed_arrays_are_read_together(spark, tmp_path):
+    import gzip
+    rows = [{"k": i, "v": ['}"{', "\\" * 3, "é{", ""][i % 4] * (i % 5)} for i in range(90)]
+    (tmp_path / "a.json").write_text(json.dumps(rows[:60]))
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(json.dumps(rows[60:], indent=1).encode()))
+    names = {"spark.sql.files.maxPartitionBytes": "250", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = jsonl.read_json_arrays(spark, str(tmp_path), "k long, v string").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.k, r.v) for r in got) == [(r["k"], r["v"]) for r in rows]
