@@ -53,6 +53,25 @@ def test_batches_by_digest_equal_batches_by_rank(spark):
         assert {r.id: (r.batch, r.target) for r in got} == want
 
 
+def test_batches_shuffle_short_digests_and_let_their_shuffle_go(spark, monkeypatch):
+    seen, store = [], K.materialise
+    monkeypatch.setattr(K, "materialise", lambda d, name: seen.append(plan(d)) or store(d, name))
+    monkeypatch.setattr(K, "drop_shuffles", lambda s: seen.append("dropped"))
+    d = spark.range(40).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("h"), F.lit(3).alias("n"))
+    order = {r.id: i for i, r in enumerate(sorted(d.collect(), key=lambda r: bytes(r.h)))}
+    got = K.batch_cuts(d, ["h"], {"n + 1": "target"}).collect()
+    assert {r.id: (r.batch, r.target) for r in got} == {i: (at // 8, 4) for i, at in order.items()}
+    assert "1, 8)" in seen[0] and seen[1:] == ["dropped"]
+
+
+def test_batches_of_tied_short_digests_follow_the_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEAD", 1)
+    d = spark.range(3000).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("h"), (F.col("id") % 37).cast("int").alias("n"))
+    rows = sorted(d.collect(), key=lambda r: bytes(r.h))
+    want = {r.id: (i // 8, max(x.n for x in rows[i // 8 * 8 : i // 8 * 8 + 8])) for i, r in enumerate(rows)}
+    assert {r.id: (r.batch, r.target) for r in K.batch_cuts(d, ["h"], {"n": "target"}).collect()} == want
+
+
 def test_bans_shuffle_sequences_not_places(spark):
     seqs = spark.createDataFrame([(1, ["a", "b", "a", "c", "a"])], "k int, seq array<string>")
     model = N.ngram_model(seqs, "seq", 1)
